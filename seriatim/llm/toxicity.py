@@ -1,14 +1,15 @@
 """Toxicity by maximum-scoring segments.
 
-A token is a maximal run of letters, digits and bytes of other alphabets, with A-Z lowered. Its score is the log-odds
-of occurring in toxic against other labelled texts, under a Dirichlet prior proportional to the token's count over
-*all* documents, taken at the end of its confidence interval that lies nearer to zero; a small cost per token
-makes the expected score negative. Tokens never seen in the labelled sample cost the same.
+A token is a maximal run of letters, digits and bytes of other alphabets, with A-Z lowered; its stem is its first
+``STEM`` bytes. The score of either is the log-odds of occurring in toxic against other labelled texts (a text counts
+once for each), under a Dirichlet prior proportional to the count over *all* documents, taken at the end of the
+confidence interval that lies nearer to zero. A token scores as itself or its stem, whichever says more; a small cost
+per token makes the expected score negative. What is not in the labelled sample costs the same.
 
 For each document one linear scan finds every maximal-scoring segment. A segment of score S in a text of m tokens
 has the extreme-value expectation E = K m exp(-lambda S), with lambda solving the Karlin-Altschul equation on the scores of non-toxic
 text. Segments with E below ``SIGNIFICANT`` are the toxic passages. A document's evidence sums lambda S - ln(K m) over
-its passages (the best segment stands in where none is significant), and a logistic curve fitted on the labelled sample turns it into
+its passages (the best segment stands in, also below 0, where none is significant), and a logistic curve fitted on the labelled sample turns it into
 the score.
 
 At most ``FIT_DOCS`` labelled rows outside the held-out fold are used, by a hash of doc_id; their vocabulary bounds the prior and the
@@ -31,18 +32,20 @@ from ._spark import hash_mod, hashed_sample
 from ._text import FOLDED, Prefix, slices, summed, utf8
 
 FIT_DOCS = 12_000
-PRIOR_MASS = 500.0
+PRIOR_MASS, LEAST_PRIOR = 500.0, 0.5
 COST = 0.05
-Z = 1.645
+Z = 2.5
 K = 0.1
 SIGNIFICANT = 0.05
+STEM = 6
+STEM_SALT = np.uint64(0x5BD1E9955BD1E995)
 THRESHOLD = 0.5
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, byte start within the text, byte end, first token of each text and one more)."""
+    """(hashes of tokens and of their stems, byte start within the text, byte end, first token of each text and one more)."""
     raw, offsets = utf8(column)
     solid = TOKEN[raw]
     edge = np.zeros(len(raw) + 1, bool)
@@ -54,7 +57,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     at = np.searchsorted(start, offsets)
     base = np.repeat(offsets[:-1], np.diff(at))
-    return Prefix(raw, FOLDED).spans(start, end), start - base, end - base, at
+    prefix = Prefix(raw, FOLDED)
+    stem = prefix.spans(start, np.minimum(end, start + STEM)) ^ STEM_SALT
+    return np.stack([prefix.spans(start, end), stem]), start - base, end - base, at
 
 
 @dataclass
@@ -68,7 +73,8 @@ class Model:
     def of(self, h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, h)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == h, self.scores[at], -COST)
+        word, stem = np.where(self.keys[at] == h, self.scores[at], 0.0)
+        return np.where(np.abs(word) > np.abs(stem), word, stem) - COST
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -103,15 +109,15 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def evidence(score: np.ndarray, first: np.ndarray, rate: float) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-    """(evidence per text, significant segments per text). A text without any positive token has evidence 0."""
+    """(evidence per text, significant segments per text). A text without any positive token has that of a segment of score 0."""
     n = np.diff(first)
-    out, passages = np.zeros(len(n)), [[] for _ in n]
+    out, passages = -np.log(K * np.maximum(n, 1 / K)), [[] for _ in n]
     best_possible = summed(np.maximum(score, 0), first)
     for i in np.flatnonzero(best_possible > 0):
         found = maximal_segments(score[first[i] : first[i + 1]])
-        bits = [(s, e, rate * x - np.log(K * n[i])) for s, e, x in found]
+        bits = [(s, e, rate * x - np.log(max(1.0, K * n[i]))) for s, e, x in found]
         passages[i] = [x for x in bits if x[2] > -np.log(SIGNIFICANT)]
-        out[i] = sum(x[2] for x in passages[i]) or max(0.0, max(x[2] for x in bits))
+        out[i] = sum(x[2] for x in passages[i]) or max(x[2] for x in bits)
     return out, passages
 
 
@@ -151,7 +157,7 @@ def corpus_counts(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
         keys = shared.value
         n = np.zeros(len(keys), np.int64)
         for part in slices(batches):
-            h = tokens(part.column("text"))[0]
+            h = tokens(part.column("text"))[0].ravel()
             at = np.searchsorted(keys, h)
             at[at == len(keys)] = 0
             n += np.bincount(at[keys[at] == h], minlength=len(keys))
@@ -173,25 +179,27 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> Model | No
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             h, _, _, first = tokens(part.column("text"))
-            label = np.repeat(part.column("label").to_numpy(), np.diff(first))
+            text = np.repeat(np.arange(part.num_rows), np.diff(first))
+            label = part.column("label").to_numpy()
+            once = np.unique(np.stack([np.tile(text, 2).astype(np.uint64), h.ravel()], axis=1), axis=0)
             for y in (0, 1):
-                keys, n = np.unique(h[label == y], return_counts=True)
+                keys, n = np.unique(once[label[once[:, 0].astype(np.int64)] == y, 1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), y, np.int32)), pa.array(n)], names=["key", "label", "n"])
 
     counted = sample.mapInArrow(count, "key long, label int, n long").groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    rows = counted.where(F.col("toxic") + F.col("clean") >= 3).toArrow()
+    rows = counted.where(F.col("toxic") + F.col("clean") >= 4).toArrow()
     keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys, toxic, clean = keys[order], rows.column("toxic").to_numpy()[order].astype(float), rows.column("clean").to_numpy()[order].astype(float)
     if toxic.sum() == 0 or clean.sum() == 0:
         return None
-    prior = corpus_counts(docs, keys) + 1
-    prior *= PRIOR_MASS / prior.sum()
+    prior = corpus_counts(docs, keys)
+    prior = LEAST_PRIOR + PRIOR_MASS * prior / max(prior.sum(), 1)
     a, b = toxic + prior, clean + prior
     ratio = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
     slack = Z * np.sqrt(1 / a + 1 / b)
-    scores = np.where(ratio > 0, np.maximum(ratio - slack, 0), np.minimum(ratio + slack, 0)) - COST
-    model = Model(keys, scores, karlin(scores, b / b.sum()), 1.0, 0.0)
+    scores = np.where(ratio > 0, np.maximum(ratio - slack, 0), np.minimum(ratio + slack, 0))
+    model = Model(keys, scores, karlin(scores - COST, b / b.sum()), 1.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
