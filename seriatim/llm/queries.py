@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, secret_scan, toxicity
+from . import exact_topk, language_id, quality_classifier, secret_scan, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -33,10 +33,30 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (hash_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op7_language": op7_language,
+    "op8_warc": op8_warc,
+    "op10_topk": op10_topk,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+                   from embeddings where vec_id is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+              from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+        select query_id, cast(rank as integer) as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
