@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, quality_classifier, secret_scan, sentence_piece, toxicity, warc
+from . import decontaminate, exact_topk, language_id, quality_classifier, secret_scan, sentence_piece, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -38,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = language_id.predict(docs, language_id.fit(docs))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
     "op10_topk": op10_topk,
