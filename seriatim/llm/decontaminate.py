@@ -1,6 +1,6 @@
 """Benchmark decontamination: BM25 over the test items, searched with block-max bounds, then verified.
 
-Words are maximal runs of letters, digits and bytes of other alphabets, A-Z lowered. Test items are cut into segments of at most
+Words are maximal runs of letters, digits and bytes of other alphabets, lower-cased. Test items are cut into segments of at most
 ``STRIDE`` words, which are the documents of the index. Every training text is read whole, in passages of 2 * STRIDE
 words that begin every STRIDE words (the last may be shorter), so a copied segment always lies whole in
 some passage. A passage is the query; its distinct words are the query terms. A segment's score is divided by the score of the
@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import FOLDED, Prefix, mixed, slices, utf8
+from ._text import Prefix, mixed, slices, utf8
 
 STRIDE, BLOCK, SHARD = 32, 64, 20_000
 K1, B = 1.2, 0.75
@@ -42,7 +43,7 @@ SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and one more)."""
-    raw, offsets = utf8(column)
+    raw, offsets = utf8(pc.utf8_lower(column))
     solid = WORD[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
@@ -51,7 +52,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         first[1:] &= ~solid[:-1] | edge[1:-1]
         last[:-1] &= ~solid[1:] | edge[1:-1]
     start = np.flatnonzero(first)
-    return Prefix(raw, FOLDED).spans(start, np.flatnonzero(last) + 1), np.searchsorted(start, offsets)
+    return Prefix(raw).spans(start, np.flatnonzero(last) + 1), np.searchsorted(start, offsets)
 
 
 def sequences(h: np.ndarray) -> np.ndarray:

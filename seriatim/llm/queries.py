@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, quality_classifier, secret_scan, sentence_piece, toxicity, warc
+from . import decontaminate, exact_topk, language_id, minhash_dedup, quality_classifier, secret_scan, sentence_piece, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -38,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
