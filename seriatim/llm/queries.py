@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, minhash_dedup, quality_classifier, secret_scan, sentence_piece, toxicity, warc
+from . import decontaminate, exact_topk, language_id, minhash_dedup, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -56,6 +56,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=400)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
+    "op9_suffix": op9_suffix,
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
