@@ -202,3 +202,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     final = member.withColumn("node", own).join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return final.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document is the smallest of its group. Rows with a null doc_id stay."""
+    gone = near_duplicates(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = stored(gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "near-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
