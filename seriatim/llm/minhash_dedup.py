@@ -5,14 +5,15 @@
    nodes go on, so groups of copies cost one row each afterwards.
 2. Nodes are posted under each (coordinate, value) pair. Pairs with one node match nothing. Two nodes are candidates when
    ``MATCHES`` coordinates or more collide, so with the postings of a node ordered from rare to common, each candidate
-   pair shares one of the first COORDINATES - MATCHES + 1 (the prefix); the rest is skipped while merging and
-   counted on the two signatures afterwards. A node with fewer than MATCHES shared pairs is out at once.
+   pair shares one of the first COORDINATES - MATCHES + 1 (the prefix). The rest is skipped while merging: its collisions
+   are counted where two nodes of a list meet, on 4 bits of each coordinate, and a pair goes on only when no more
+   than COORDINATES - MATCHES of these differ. A node with fewer than MATCHES shared pairs is out at once.
 3. Only connections matter to the result, so pairs are not expanded within a posting list at first: each node is
    paired with the list's smallest node, candidates are counted, confirmed on full sets, and joined into components.
    Then every pair of nodes of one list that still lie in *different* components is counted and confirmed, which
    leaves no link undone. A large group of near copies has by then become one component and makes no pairs.
 
-A pair of similarity 0.8 has 38 collisions expected of 48; it has fewer than 22 with probability below 1e-6.
+A pair of similarity 0.8 has 51 collisions expected of 64; it has fewer than 34 with probability below 1e-6.
 Confirmation compares 64-bit shingle hashes of whole texts.
 
 Null or empty text: no shingles, linked with nothing. Fewer words than ``width``: the whole sequence as one shingle. Rows that
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from ._spark import stored
 from ._text import FOLDED, Words, mixed, slices, utf8
 
-COORDINATES, MATCHES = 48, 22
+COORDINATES, MATCHES = 64, 34
+PACKED = COORDINATES // 16  # longs that hold 4 bits of each coordinate
 SALT_ROWS = 512
 _rng = np.random.Generator(np.random.PCG64(99))
 FACTOR = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,6 +89,29 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
 
 
+def packed(sig: Column) -> list[Column]:
+    """4 bits of each coordinate in PACKED longs."""
+    longs = []
+    for k in range(PACKED):
+        nibbles = [F.shiftleft(sig[16 * k + i].cast("long").bitwiseAND(15), 4 * i) for i in range(16)]
+        out = nibbles[0]
+        for x in nibbles[1:]:
+            out = out.bitwiseOR(x)
+        longs.append(out)
+    return longs
+
+
+def meets(a: str, b: str, percent: int) -> Column:
+    """Whether the nodes with columns n_a, k0_a, .. and n_b, k0_b, .. may reach the similarity: by their sizes, and by the coordinates of which 4 bits differ."""
+    differ = F.lit(0)
+    for k in range(PACKED):
+        x = F.col(f"k{k}_{a}").bitwiseXOR(F.col(f"k{k}_{b}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(0x1111111111111111)
+        differ = differ + F.bit_count(x)
+    return (100 * F.least(f"n_{a}", f"n_{b}") >= percent * F.greatest(f"n_{a}", f"n_{b}")) & (differ <= COORDINATES - MATCHES)
+
+
 def sets(docs: DataFrame, width: int) -> DataFrame:
     """Per row: node, hashes of the full set."""
 
@@ -110,15 +135,8 @@ def spread(pairs: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return dealt.join(wide.withColumnRenamed("node", key), [key, "salt"]).drop("salt")
 
 
-def collisions(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Of distinct (a, b), those with MATCHES collisions whose full sets reach the similarity. docs: node and text of each node."""
-    counted = spread(pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a"), nodes.select("node", F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
-    fit = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (collisions(F.col("sig_a"), F.col("sig_b")) >= MATCHES)
-    close = stored(counted.where(fit).select("a", "b"), f"{name}-close")
+def confirmed(close: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """Of distinct candidates (a, b), a written table, those whose full sets reach the similarity. docs: node and text of each node."""
     if close.isEmpty():
         return close
     wanted = stored(close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct(), f"{name}-wanted")
@@ -167,33 +185,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = stored(sketches(docs, width), "near-sketch")
     filled = base.where("n_shingles > 0 and doc_id is not null")
     classes = stored(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig")), "near-class")
-    nodes = classes.select("node", "sig", "n_shingles")
-
     # one doc_id with several sets: its rows are one document, so their classes are linked
     again = filled.select("doc_id", "f1", "f2", "n_shingles").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     same = filled.join(again, "doc_id").join(classes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
-    posted = nodes.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("post"))
+    posted = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("post"))
     frequent = stored(posted.groupBy("post").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-posts")
     shared = posted.join(frequent, "post").groupBy("node").agg(F.collect_list(F.struct("df", "post")).alias("posts")).where(F.size("posts") >= MATCHES)
     prefix = F.slice(F.array_sort("posts"), F.lit(1), F.size("posts") - MATCHES + 1)
-    lists = stored(shared.select("node", F.explode(prefix).alias("p")).select("node", F.col("p.post").alias("post")), "near-lists")
+    brief = classes.select("node", F.col("n_shingles").alias("n"), *(x.alias(f"k{k}") for k, x in enumerate(packed(F.col("sig")))))
+    keys = ["n", *(f"k{k}" for k in range(PACKED))]
+    lists = shared.select("node", F.transform(prefix, lambda p: p["post"]).alias("posts")).join(brief, "node").select(F.explode("posts").alias("post"), "node", *keys)
+    lists = stored(lists, "near-lists")
+
+    def named(frame: DataFrame, side: str) -> DataFrame:
+        return frame.select("post", F.col("node").alias(side), *(F.col(k).alias(f"{k}_{side}") for k in keys), *(F.col(c).alias(f"{c}_{side}") for c in frame.columns if c == "component"))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    first = stored(lists.groupBy("post").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("post", "b"), "near-first")
-    star = stored(lists.join(first, "post").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
-    links = confirmed(star, nodes, texts, width, percent, "near1").unionByName(same)
+    first = lists.groupBy("post").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", *keys)).alias("one")).where("size > 1").select("post", "one.*")
+    met = named(lists, "a").join(named(stored(first, "near-first"), "b"), "post").where((F.col("a") != F.col("b")) & meets("a", "b", percent))
+    star = stored(met.select("a", "b").distinct(), "near-star")
+    links = confirmed(star, texts, width, percent, "near1").unionByName(same)
     found = components(links, "near1")
 
     # pairs within a list across components
-    placed = lists.join(found, "node", "left").select("post", "node", F.coalesce("component", "node").alias("component"))
-    placed = stored(placed, "near-placed")
+    placed = stored(lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
     several = stored(placed.groupBy("post").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("post"), "near-several")
     open_ = stored(placed.join(several, "post", "left_semi"), "near-open")
-    other = open_.select("post", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    cross = open_.join(other, "post").where("component > component_b").select(F.col("node").alias("a"), "b").distinct()
-    done = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = confirmed(stored(cross.join(done, ["a", "b"], "left_anti"), "near-cross"), nodes, texts, width, percent, "near2")
+    cross = named(open_, "a").join(named(open_, "b"), "post").where((F.col("component_a") > F.col("component_b")) & meets("a", "b", percent)).select("a", "b").distinct()
+    done = star.union(star.select("b", "a"))
+    cross = stored(stored(cross, "near-met").join(done, ["a", "b"], "left_anti"), "near-cross")
+    more = confirmed(cross, texts, width, percent, "near2")
     if not more.isEmpty():
         found = components(links.unionByName(more), "near2")
 
