@@ -165,20 +165,21 @@ register("downstream_tasks", "emb", models.downstream_tasks)
 
 # scoring, on the columns of two views as variants
 def variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    """The results table that scoring works on: a row for each column and dimension, so it is small however large the series are."""
+    rows: list[tuple[str, str, str, float]] = []
     for view, kind in (("types", "conditional"), ("bars", "unconditional")):
         p = POINTS[view](spark, sf_dir)
         frames = {
-            "diversity": diversity.column_diversity(p).select("column", F.col("column_diversity_score").alias("value")),
-            "fidelity": fidelity.column_fidelity(p).select("column", F.col("column_fidelity_score").alias("value")),
-            "privacy": privacy.column_distributional_privacy(p).select("column", F.col("overall_privacy_score").alias("value")),
-            "utility": utility.column_utility(p).select("column", F.col("overall_utility_score").alias("value")),
+            "diversity": diversity.column_diversity(p).select("column", "column_diversity_score"),
+            "fidelity": fidelity.column_fidelity(p).select("column", "column_fidelity_score"),
+            "privacy": privacy.column_distributional_privacy(p).select("column", "overall_privacy_score"),
+            "utility": utility.column_utility(p).select("column", "overall_utility_score"),
         }
         for dimension, frame in frames.items():
-            rows = frame.select(F.lit(kind).alias("gen_type"), F.col("column").alias("variant"), F.lit(dimension).alias("dimension"), "value")
-            out = rows if out is None else out.unionByName(rows)
-    first = out.where("gen_type = 'conditional'").agg(F.min("variant")).scalar()
-    return out.withColumn("variant_type", F.when((F.col("gen_type") == "conditional") & (F.col("variant") == first), "baseline").otherwise("synthetic"))
+            rows += [(kind, column, dimension, value) for column, value in frame.collect()]
+    first = min((r[1] for r in rows if r[0] == "conditional"), default="")
+    typed = [(kind, column, "baseline" if kind == "conditional" and column == first else "synthetic", dimension, value) for kind, column, dimension, value in rows]
+    return spark.createDataFrame(typed, "gen_type string, variant string, variant_type string, dimension string, value double")
 
 
 def scored(name: str, make: Callable[[DataFrame], DataFrame], oracle: str) -> None:
