@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by distributed prefix doubling over content-defined positions.
 
 A byte goes when a string of ``WIDTH`` bytes that covers it also starts anywhere else, in any text. Sorting every position of
-a large corpus is out of reach, so the suffix array is sparse: its positions are anchors, where the hash of ``GRAM`` bytes is smaller than
-at all positions within ``RADIUS``. Whether a position is an anchor depends only on the bytes near it, so equal
+a large corpus is out of reach, so the suffix array is sparse: its positions are anchors, where the hash of ``GRAM`` bytes is the
+least within ``RADIUS``, on one side at least without an equal (so runs of one pattern have anchors at both ends). Whether a position is an anchor depends only on the bytes near it, so equal
 strings have equal anchors, and a string of WIDTH bytes holds about five.
 
 1. A position's first rank is the hash of the chunk from its anchor to the next one. Spark groups the (position, rank) pairs;
@@ -13,7 +13,8 @@ strings have equal anchors, and a string of WIDTH bytes holds about five.
    its outer string covers all its windows. Intervals are grouped by core and outer string:
      a core with one member is unique; members with equal outer strings repeat each other whole;
      where a core has several outer strings, one member of each is opened, and its windows are compared as such.
-3. Windows with fewer than two anchors (long runs of one pattern) are compared as such from the start, after those that
+   A window with one anchor has no chunk; its first rank is that of the anchor's surroundings.
+3. Windows without an anchor (long runs of one pattern) are compared as such from the start, after those that
    repeat within their own text are settled there.
 
 So every window is settled by equality of 128-bit hashes, and the result is the same as comparing all windows. Only texts
@@ -55,7 +56,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, prefix: Prefix) -> np.ndarray:
         low = np.minimum(low[:-step], low[step:])
     low = np.minimum(low[: len(low) - RADIUS + 16], low[RADIUS - 16 :])
     here = h[RADIUS : RADIUS + n]
-    is_anchor = (here < low[:n]) & (here < low[RADIUS + 1 : RADIUS + 1 + n])
+    before, after = low[:n], low[RADIUS + 1 : RADIUS + 1 + n]
+    is_anchor = ((here < before) & (here <= after)) | ((here <= before) & (here < after))
     at = np.flatnonzero(is_anchor)
     text = np.searchsorted(offsets, at, "right") - 1
     return at[(at - RADIUS >= offsets[text]) & (at + REACH <= offsets[text + 1])]
@@ -113,8 +115,9 @@ POSITIONS = "kind int, key long, i int, p long, w1 long, w2 long"
 
 
 def positions(docs: DataFrame, width: int) -> DataFrame:
-    """From key and text: kind 0, chunks (key, i, w1 rank); kind 1, windows of fewer than two anchors, each once for a text
-    (key, p, w1, w2, i = 1 if it repeats there); kind 2, byte ranges covered by the latter (key, p start, w1 end)."""
+    """From key and text: kind 0, chunks (key, i, w1 rank); kind 1, windows without an anchor, each once for a text
+    (key, p, w1, w2, i = 1 if it repeats there); kind 2, byte ranges covered by the latter (key, p start, w1 end);
+    kind 3, anchors that are alone in some window (key, i, w1 rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -130,7 +133,11 @@ def positions(docs: DataFrame, width: int) -> DataFrame:
             rank = p1.spans(a[link] - RADIUS, a[link + 1] + REACH)
             yield table({"kind": zeros.astype(np.int32), "key": key[of[link]], "i": (link - base[of[link]]).astype(np.int32), "p": zeros, "w1": rank, "w2": zeros})
             text, start, end, f, l = intervals(a, offsets, width)
-            bare = l - f < 1
+            lone = np.unique(f[l == f])
+            if len(lone):
+                zeros = np.zeros(len(lone), np.int64)
+                yield table({"kind": np.full(len(lone), 3, np.int32), "key": key[of[lone]], "i": (lone - base[of[lone]]).astype(np.int32), "p": zeros, "w1": p1.spans(a[lone] - RADIUS, a[lone] + REACH), "w2": zeros})
+            bare = l < f
             if not bare.any():
                 continue
             p2 = Prefix(raw, family=1)
@@ -164,7 +171,8 @@ def doubled(level: DataFrame, offset: int, name: str) -> DataFrame:
 
 
 def cores(chosen: DataFrame, width: int) -> DataFrame:
-    """From key, text and the chains left (lists i0, i1, i2 by offset): (key, p0, p1, c1, c2, o1, o2) of the intervals left."""
+    """From key, text and the chains left (lists i0, i1, i2 by offset, i3 of lone anchors): (key, p0, p1, core, o1, o2) of the intervals left. Cores only bring
+    intervals together, so 64 bits do; outer strings decide, and have 128."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -174,7 +182,7 @@ def cores(chosen: DataFrame, width: int) -> DataFrame:
             a = anchors(raw, offsets, p1)
             base = np.searchsorted(a, offsets[:-1])
             missing = []
-            for c in ("i0", "i1", "i2"):
+            for c in ("i0", "i1", "i2", "i3"):
                 lists = part.column(c)
                 count = lists.value_lengths().fill_null(0).to_numpy()
                 left = np.zeros(len(a) + 1, bool)
@@ -182,19 +190,21 @@ def cores(chosen: DataFrame, width: int) -> DataFrame:
                 missing.append(np.concatenate([[0], np.cumsum(~left)]))
             text, start, end, f, l = intervals(a, offsets, width)
             chunks = l - f
-            span = np.where(chunks >= 4, 4, np.where(chunks >= 2, 2, 1))
-            last = np.maximum(l - span + 1, f)  # chains begin at f .. last - 1
-            gaps = np.select([span == 1, span == 2], [missing[0][last] - missing[0][np.minimum(f, last)], missing[1][last] - missing[1][np.minimum(f, last)]], missing[2][last] - missing[2][np.minimum(f, last)])
-            good = (chunks >= 1) & (gaps == 0)
+            # chains of ``span`` chunks begin at f .. last - 1; a lone anchor is a chain of its own
+            good = np.zeros(len(f), bool)
+            for level, span, fits in ((0, 1, chunks == 1), (1, 2, (chunks == 2) | (chunks == 3)), (2, 4, chunks >= 4), (3, 0, chunks == 0)):
+                some = np.flatnonzero(fits)
+                last = l[some] - span + 1
+                good[some] = missing[level][last] == missing[level][f[some]]
             text, start, end, f, l = (x[good] for x in (text, start, end, f, l))
             lead = (a[f] - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             out = {"key": key[text], "p0": start - offsets[text], "p1": end - offsets[text]}
-            for name, p in (("1", p1), ("2", p2)):
-                out["c" + name] = p.spans(a[f] - RADIUS, a[l] + REACH)
-                out["o" + name] = p.spans(start, end + width) ^ lead
+            out["core"] = p1.spans(a[f] - RADIUS, a[l] + REACH)
+            for name, p in (("o1", p1), ("o2", p2)):
+                out[name] = p.spans(start, end + width) ^ lead
             yield table(out)
 
-    return chosen.mapInArrow(run, "key long, p0 long, p1 long, c1 long, o1 long, c2 long, o2 long")
+    return chosen.mapInArrow(run, "key long, p0 long, p1 long, core long, o1 long, o2 long")
 
 
 def windows(chosen: DataFrame, width: int) -> DataFrame:
@@ -248,10 +258,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     level0 = stored(chunks.join(counted(chunks, ["rank"], "repeat-ranks0").select("rank"), "rank", "left_semi").select("key", "i", "rank").distinct(), "repeat-level0")
     level1 = doubled(level0, 1, "repeat-level1")
     level2 = doubled(level1, 2, "repeat-level2")
+    lone = found.where("kind = 3").select("key", "i", F.col("w1").alias("rank"))
+    lone = lone.join(counted(lone, ["rank"], "repeat-ranks3").select("rank"), "rank", "left_semi").distinct()
     left = level0.select("key", "i", F.lit(0).alias("level"))
-    for k, level in ((1, level1), (2, level2)):
+    for k, level in ((1, level1), (2, level2), (3, lone)):
         left = left.unionByName(level.select("key", "i", F.lit(k).alias("level")))
-    lists = left.groupBy("key").agg(*(F.collect_list(F.when(F.col("level") == k, F.col("i"))).alias(f"i{k}") for k in range(3)))
+    lists = left.groupBy("key").agg(*(F.collect_list(F.when(F.col("level") == k, F.col("i"))).alias(f"i{k}") for k in range(4)))
 
     twins = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("n_bytes"), F.max(F.sha2("text", 256)).alias("sha"))
     twins = stored(twins, "repeat-texts")
@@ -260,10 +272,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = stored(keyed.select("key", "text").join(stored(some, "repeat-lists"), "key"), "repeat-chosen")
 
     grouped = stored(cores(texts.where("i0 is not null"), width), "repeat-cores")
-    outer = stored(grouped.groupBy("c1", "c2", "o1", "o2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p0", "p1")).alias("one")), "repeat-outer")
-    equal = grouped.join(stored(outer.where("n > 1").select("c1", "c2", "o1", "o2"), "repeat-equal"), ["c1", "c2", "o1", "o2"], "left_semi")
-    mixed_ = stored(outer.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("c1", "c2"), "repeat-mixed")
-    opened = outer.join(mixed_, ["c1", "c2"], "left_semi").select("one.key", F.struct("one.p0", "one.p1", (F.col("n") == 1).alias("single")).alias("x")).groupBy("key").agg(F.collect_list("x").alias("open"))
+    outer = stored(grouped.groupBy("core", "o1", "o2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p0", "p1")).alias("one")), "repeat-outer")
+    equal = grouped.join(stored(outer.where("n > 1").select("core", "o1", "o2"), "repeat-equal"), ["core", "o1", "o2"], "left_semi")
+    mixed_ = stored(outer.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("core"), "repeat-mixed")
+    opened = outer.join(mixed_, "core", "left_semi").select("one.key", F.struct("one.p0", "one.p1", (F.col("n") == 1).alias("single")).alias("x")).groupBy("key").agg(F.collect_list("x").alias("open"))
     single = stored(windows(texts.select("key", "text").join(stored(opened, "repeat-open"), "key"), width).unionByName(bare), "repeat-windows")
     again = single.join(counted(single, ["w1", "w2"], "repeat-again").select("w1", "w2"), ["w1", "w2"], "left_semi").where("single")
 
