@@ -171,8 +171,8 @@ def doubled(level: DataFrame, offset: int, name: str) -> DataFrame:
 
 
 def cores(chosen: DataFrame, width: int) -> DataFrame:
-    """From key, text and the chains left (lists i0, i1, i2 by offset, i3 of lone anchors): (key, p0, p1, core, o1, o2) of the intervals left. Cores only bring
-    intervals together, so 64 bits do; outer strings decide, and have 128."""
+    """From key, text and the chains left (lists i0, i1, i2 by offset, i3 of lone anchors): (key, at, core, o1, o2) of the intervals left, where at
+    is the first start times 2**16 plus the length less 1. Cores only bring intervals together, so 64 bits do; outer strings decide, and have 128."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -198,17 +198,17 @@ def cores(chosen: DataFrame, width: int) -> DataFrame:
                 good[some] = missing[level][last] == missing[level][f[some]]
             text, start, end, f, l = (x[good] for x in (text, start, end, f, l))
             lead = (a[f] - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            out = {"key": key[text], "p0": start - offsets[text], "p1": end - offsets[text]}
+            out = {"key": key[text], "at": (start - offsets[text] << 16) + (end - start)}
             out["core"] = p1.spans(a[f] - RADIUS, a[l] + REACH)
             for name, p in (("o1", p1), ("o2", p2)):
                 out[name] = p.spans(start, end + width) ^ lead
             yield table(out)
 
-    return chosen.mapInArrow(run, "key long, p0 long, p1 long, core long, o1 long, o2 long")
+    return chosen.mapInArrow(run, "key long, at long, core long, o1 long, o2 long")
 
 
 def windows(chosen: DataFrame, width: int) -> DataFrame:
-    """From key, text and open (list of p0, p1, single): (key, p, w1, w2, single) of every window."""
+    """From key, text and open (list of at, single): (key, q, w1, w2) of every window, q twice its start plus single."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
@@ -216,14 +216,15 @@ def windows(chosen: DataFrame, width: int) -> DataFrame:
             raw, offsets = utf8(part.column("text"))
             opened = part.column("open")
             of = np.repeat(np.arange(part.num_rows), opened.value_lengths().to_numpy())
-            p0, p1, single = (opened.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            which, at = members(p0 + offsets[of], p1 + offsets[of])
-            out = {"key": key[of[which]], "p": at - offsets[of[which]]}
+            packed, single = (opened.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            start = (packed >> 16) + offsets[of]
+            which, at = members(start, start + (packed & 0xFFFF))
+            out = {"key": key[of[which]], "q": 2 * (at - offsets[of[which]]) + single[which]}
             for k in (0, 1):
                 out[f"w{k + 1}"] = Prefix(raw, family=k).spans(at, at + width)
-            yield table(out | {"single": single[which]})
+            yield table(out)
 
-    return chosen.mapInArrow(run, "key long, p long, w1 long, w2 long, single boolean")
+    return chosen.mapInArrow(run, "key long, q long, w1 long, w2 long")
 
 
 def removed(chosen: DataFrame) -> DataFrame:
@@ -267,19 +268,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     twins = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("n_bytes"), F.max(F.sha2("text", 256)).alias("sha"))
     twins = stored(twins, "repeat-texts")
-    bare = found.where("kind = 1").select("key", "p", "w1", "w2", (F.col("i") == 0).alias("single"))
+    bare = found.where("kind = 1").select("key", (2 * F.col("p") + 1 - F.col("i")).alias("q"), "w1", "w2")
     some = lists.join(bare.select("key").distinct(), "key", "full").join(twins.where(f"n_bytes >= {width}").select("key"), "key")
     texts = stored(keyed.select("key", "text").join(stored(some, "repeat-lists"), "key"), "repeat-chosen")
 
     grouped = stored(cores(texts.where("i0 is not null"), width), "repeat-cores")
-    outer = stored(grouped.groupBy("core", "o1", "o2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p0", "p1")).alias("one")), "repeat-outer")
-    equal = grouped.join(stored(outer.where("n > 1").select("core", "o1", "o2"), "repeat-equal"), ["core", "o1", "o2"], "left_semi")
+    # equal outer strings have equal cores
+    outer = stored(grouped.groupBy("o1", "o2").agg(F.min("core").alias("core"), F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")), "repeat-outer")
+    equal = grouped.select("key", "at", "o1", "o2").join(stored(outer.where("n > 1").select("o1", "o2"), "repeat-equal"), ["o1", "o2"], "left_semi")
     mixed_ = stored(outer.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("core"), "repeat-mixed")
-    opened = outer.join(mixed_, "core", "left_semi").select("one.key", F.struct("one.p0", "one.p1", (F.col("n") == 1).alias("single")).alias("x")).groupBy("key").agg(F.collect_list("x").alias("open"))
+    opened = outer.join(mixed_, "core", "left_semi").select("one.key", F.struct("one.at", (F.col("n") == 1).alias("single")).alias("x")).groupBy("key").agg(F.collect_list("x").alias("open"))
     single = stored(windows(texts.select("key", "text").join(stored(opened, "repeat-open"), "key"), width).unionByName(bare), "repeat-windows")
-    again = single.join(counted(single, ["w1", "w2"], "repeat-again").select("w1", "w2"), ["w1", "w2"], "left_semi").where("single")
+    again = single.join(counted(single, ["w1", "w2"], "repeat-again").select("w1", "w2"), ["w1", "w2"], "left_semi").where("q % 2 = 1").withColumn("p", F.shiftright("q", 1))
 
-    cover = equal.select("key", F.col("p0").alias("start"), (F.col("p1") + width).alias("end"))
+    first = F.shiftright("at", 16)
+    cover = equal.select("key", first.alias("start"), (first + F.col("at").bitwiseAND(0xFFFF) + width).alias("end"))
     cover = cover.unionByName(again.select("key", F.col("p").alias("start"), (F.col("p") + width).alias("end")))
     cover = cover.unionByName(found.where("kind = 2").select("key", F.col("p").alias("start"), F.col("w1").alias("end")))
     cover = stored(cover.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cover")), "repeat-cover")
