@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ._text import Prefix, mixed, slices, utf8
 
 STRIDE, BLOCK, SHARD = 32, 64, 20_000
+AT_ONCE = 256
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
 GRAM = 3
@@ -168,17 +169,21 @@ def retrieved(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     pair = np.concatenate(pairs, axis=1)
     pair = np.unique(pair[0][pair[0] >= 0] * len(index.terms) + pair[1][pair[0] >= 0])
     p, t = pair // len(index.terms), pair % len(index.terms)
-    # bounds by block, then scores in the blocks left
-    of, entry = expanded(index.block_first[t], index.block_first[t + 1])
-    n_blocks = int(index.block.max()) + 1
-    key = p[of] * n_blocks + index.block[entry]
-    open_, bound = totals(key, index.block_impact[entry])
-    live = np.isin(key, open_[bound >= THRESHOLD - 1e-9])
-    of, entry = of[live], entry[live]
-    of2, posting = expanded(index.block_posting[entry], index.block_posting[entry + 1])
-    n_segments = len(index.segment_item)
-    found, score = totals(p[of[of2]] * n_segments + index.segment[posting], index.impact[posting])
-    found, score = found[score >= THRESHOLD], score[score >= THRESHOLD]
+    # bounds by block, then scores in the blocks left, for AT_ONCE passages at a time
+    n_blocks, n_segments = int(index.block.max()) + 1, len(index.segment_item)
+    parts_found, parts_score = [], []
+    cuts = np.searchsorted(p, np.arange(0, len(passage) + AT_ONCE, AT_ONCE))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        of, entry = expanded(index.block_first[t[lo:hi]], index.block_first[t[lo:hi] + 1])
+        key = p[lo:hi][of] * n_blocks + index.block[entry]
+        blocks, bound = totals(key, index.block_impact[entry])
+        live = np.isin(key, blocks[bound >= THRESHOLD - 1e-9])
+        of, entry = of[live], entry[live]
+        of2, posting = expanded(index.block_posting[entry], index.block_posting[entry + 1])
+        some, score = totals(p[lo:hi][of[of2]] * n_segments + index.segment[posting], index.impact[posting])
+        parts_found.append(some[score >= THRESHOLD])
+        parts_score.append(score[score >= THRESHOLD])
+    found, score = np.concatenate(parts_found), np.concatenate(parts_score)
     text = np.searchsorted(base, passage[found // n_segments], "right") - 1
     match = text * len(index.item_ids) + index.segment_item[found % n_segments]
     distinct, back = np.unique(match, return_inverse=True)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from ._text import slices
 
-SLICE, POINTS = 6 << 20, 1_500_000
+SLICE, POINTS = 3 << 20, 500_000
 SEGMENT = re.compile(" +[^ ]*")
 CACHE_BITS = 21
 NONE = -1
