@@ -9,7 +9,8 @@
    are counted where two nodes of a list meet, on 4 bits of each coordinate, and a pair goes on only when no more
    than COORDINATES - MATCHES of these differ. A node with fewer than MATCHES shared pairs is out at once.
 3. Only connections matter to the result, so pairs are not expanded within a posting list at first: each node is
-   paired with the list's smallest node, candidates are counted, confirmed on full sets, and joined into components.
+   paired with the list's most shared node (the one with most shared postings, as the original of a group of edited copies
+   has), candidates are counted, confirmed on full sets, and joined into components.
    Then every pair of nodes of one list that still lie in *different* components is counted and confirmed, which
    leaves no link undone. A large group of near copies has by then become one component and makes no pairs.
 
@@ -195,14 +196,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     prefix = F.slice(F.array_sort("posts"), F.lit(1), F.size("posts") - MATCHES + 1)
     brief = classes.select("node", F.col("n_shingles").alias("n"), *(x.alias(f"k{k}") for k, x in enumerate(packed(F.col("sig")))))
     keys = ["n", *(f"k{k}" for k in range(PACKED))]
-    lists = shared.select("node", F.transform(prefix, lambda p: p["post"]).alias("posts")).join(brief, "node").select(F.explode("posts").alias("post"), "node", *keys)
+    lists = shared.select("node", F.size("posts").alias("u"), F.transform(prefix, lambda p: p["post"]).alias("posts")).join(brief, "node").select(F.explode("posts").alias("post"), "node", "u", *keys)
     lists = stored(lists, "near-lists")
 
     def named(frame: DataFrame, side: str) -> DataFrame:
         return frame.select("post", F.col("node").alias(side), *(F.col(k).alias(f"{k}_{side}") for k in keys), *(F.col(c).alias(f"{c}_{side}") for c in frame.columns if c == "component"))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    first = lists.groupBy("post").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", *keys)).alias("one")).where("size > 1").select("post", "one.*")
+    first = lists.groupBy("post").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("u", (-F.col("node")).alias("minus"), *keys)).alias("one")).where("size > 1").select("post", (-F.col("one.minus")).alias("node"), "one.*")
     met = named(lists, "a").join(named(stored(first, "near-first"), "b"), "post").where((F.col("a") != F.col("b")) & meets("a", "b", percent))
     star = stored(met.select("a", "b").distinct(), "near-star")
     links = confirmed(star, texts, width, percent, "near1").unionByName(same)
