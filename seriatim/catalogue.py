@@ -19,6 +19,7 @@ from .sources import views
 Query = Callable[[SparkSession, str], DataFrame]
 POINTS = {"ev": views.event_points, "types": views.event_type_points, "bars": views.bar_points, "emb": views.embedding_points}
 WIDE = Config(coverage_threshold=9.0)
+ALL = Config(distance_rows=None, pattern_rows=None)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,6 +133,12 @@ register("pattern_uniqueness", "emb", privacy.pattern_uniqueness, sql.query("emb
          "few as (select ord from (select distinct ord from rk where variant = 's') order by (ord * 7919) % 10007, ord limit 50)",
          f"pr as (select a.ord as a, b.ord as b, {sql.corr('a.value', 'b.value')} as r from rk a join rk b on a.f = b.f and a.variant = 's' and b.variant = 's' and a.ord < b.ord where a.ord in (select ord from few) and b.ord in (select ord from few) group by a.ord, b.ord)",
          select="select round(pd, 6) as pattern_diversity, round(greatest(0.2, least(0.9, 0.2 + 0.7 * tanh(0.4 * least(s / (o + 1e-6), 2.0) + 0.6 * pd))), 6) as pattern_uniqueness from pv, (select coalesce(greatest(0.1, 1 - avg(abs(r))), 0.5) as pd from pr)"))
+# the two above over every synthetic row
+register("distance_privacy_all", "emb", lambda p: privacy.distance_privacy(p, ALL), sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "nd as (select series, min(d) as d from dd group by series)",
+         select="select round(greatest(0.2, least(0.9, 0.2 + 0.7 / (1 + exp(-2 * (avg(d) / (quantile_cont(d, 0.75) + 1e-6) - 0.5))))), 6) as distance_privacy from nd"))
+register("pattern_uniqueness_all", "emb", lambda p: privacy.pattern_uniqueness(p, ALL), sql.query("emb", sql.M2, f"pv as (select {sql.side('stddev_pop', 'o', 'v')} as o, {sql.side('stddev_pop', 's', 'v')} as s from (select variant, series, var_pop(value) as v from m group by variant, series))",
+         f"pr as (select a.ord as a, b.ord as b, {sql.corr('a.value', 'b.value')} as r from m a join m b on a.f = b.f and a.variant = 's' and b.variant = 's' and a.ord < b.ord group by a.ord, b.ord)",
+         select="select round(pd, 6) as pattern_diversity, round(greatest(0.2, least(0.9, 0.2 + 0.7 * tanh(0.4 * least(s / (o + 1e-6), 2.0) + 0.6 * pd))), 6) as pattern_uniqueness from pv, (select coalesce(greatest(0.1, 1 - avg(abs(r))), 0.5) as pd from pr)"))
 register("kl_privacy", "ev", privacy.kl_privacy, sql.query("ev", sql.M2, sql.KL, select=f"select {sql.rounded('mean_kl', 'kl_privacy')} from klp"))
 register("moment_privacy", "ev", privacy.moment_privacy, sql.query("ev", sql.M2, sql.MOMP, select=f"select {sql.rounded('moment_privacy')} from mp"))
 register("distributional_privacy", "ev", lambda p: privacy.distributional_privacy(p).select("distributional_privacy"), sql.query("ev", sql.M2, sql.KL, sql.MOMP, select="select round(greatest(0.2, least(0.9, 0.6 * kl_privacy + 0.4 * moment_privacy)), 6) as distributional_privacy from klp, mp"))

@@ -1,4 +1,4 @@
-"""Parameters of the measures, with their defaults."""
+"""Parameters of the measures, with their defaults. Where a number of pairs or rows is None, all are taken."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Config:
     max_lag: int = 10
-    dtw_pairs: int = 20
+    dtw_pairs: int | None = None
     histogram_bins: int = 50
     entropy_bins: int = 10
     overlap_edges: int = 20
@@ -19,8 +19,8 @@ class Config:
     components: int = 10
     rare_share: float = 0.1
     neighbours: int = 5
-    pattern_rows: int = 50
-    distance_rows: int = 100
+    pattern_rows: int | None = 50
+    distance_rows: int | None = 100
     trees: int = 50
     depth: int = 10
     seed: int = 42

@@ -77,9 +77,10 @@ def wasserstein_distance(points: DataFrame) -> DataFrame:
     return summarized(ecdf.wasserstein(standardized(overlap(points)), ["f"]), "w1", "wasserstein", "min")
 
 
-def dtw_distances(points: DataFrame, pairs: int = DEFAULT.dtw_pairs) -> DataFrame:
-    """Per pair of series (the first ``pairs``) and common column: warping distance over the longer length."""
-    rows = points.where((F.col("ord") < pairs) & F.col("value").isNotNull()).groupBy(*SERIES, "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("v"))
+def dtw_distances(points: DataFrame, pairs: int | None = DEFAULT.dtw_pairs) -> DataFrame:
+    """Per pair of series (all, or the first ``pairs``) and common column: warping distance over the longer length."""
+    taken = points if pairs is None else points.where(F.col("ord") < pairs)
+    rows = taken.where(F.col("value").isNotNull()).groupBy(*SERIES, "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("v"))
     both = paired(rows, ["column"], "v").where("size(v_o) > 1 and size(v_s) > 1")
     return both.repartition("ord", "column").select("ord", "column", (dtw(F.col("v_o"), F.col("v_s")) / F.greatest(F.size("v_o"), F.size("v_s"))).alias("score"))
 

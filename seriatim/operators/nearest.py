@@ -1,4 +1,4 @@
-"""Exact nearest neighbours between two sets of series, by a grid of blocks.
+"""Exact nearest neighbours between two sets of series, and correlations within one, by a grid of blocks.
 
 Both sides are dealt to blocks of bounded size, and each pair of blocks is one task cell that keeps the k best of its
 block; so no side is broadcast, no task holds more than two blocks, and the work is even.
@@ -46,3 +46,43 @@ def nearest(rows: DataFrame, others: DataFrame, k: int = 1) -> DataFrame:
     local = grid.select("a_rows", "b_rows").mapInArrow(run, "series long, distance double")
     order = Window.partitionBy("series").orderBy("distance")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("series", "rank", "distance")
+
+
+def absolute_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x with each of y, over cells that both know; NaN where either is constant."""
+
+    def centred(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = ~np.isnan(rows)
+        z = np.where(known, rows - (np.where(known, rows, 0).sum(axis=1) / np.maximum(known.sum(axis=1), 1))[:, None], 0)
+        lo, hi = np.where(known, rows, np.inf).min(axis=1), np.where(known, rows, -np.inf).max(axis=1)
+        z[lo >= hi] = 0
+        return z, known.astype(float)
+
+    (a, in_a), (b, in_b) = centred(x), centred(y)
+    n = np.maximum(in_a @ in_b.T, 1)
+    sum_a, sum_b, square_a, square_b = a @ in_b.T, in_a @ b.T, (a * a) @ in_b.T, in_a @ (b * b).T
+    var_a, var_b = square_a - sum_a**2 / n, square_b - sum_b**2 / n
+    # what is left of a row that is constant on the common cells is rounding
+    varies = (var_a > 1e-12 * square_a) & (var_b > 1e-12 * square_b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(varies, np.abs(a @ b.T - sum_a * sum_b / n) / np.sqrt(var_a * var_b), np.nan)
+
+
+def correlation_sums(rows: DataFrame) -> DataFrame:
+    """Partial sums over all pairs of ``rows`` (series, v): total of the absolute correlations that are defined, and their number n."""
+    rows = rows.select("series", "v")
+    m = -(-max(rows.count(), 1) // BLOCK)
+    grid = blocks(rows, "a", m, m, "b").join(blocks(rows, "b", m, m, "a"), ["a", "b"]).where("a <= b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x = unpacked(batch.column("a_rows").slice(i, 1))
+                others, y = unpacked(batch.column("b_rows").slice(i, 1))
+                r = absolute_correlations(x, y)
+                if batch.column("a")[i].as_py() == batch.column("b")[i].as_py():
+                    r[ids[:, None] >= others] = np.nan
+                known = ~np.isnan(r)
+                yield pa.RecordBatch.from_arrays([pa.array([r[known].sum()]), pa.array([int(known.sum())])], names=["total", "n"])
+
+    return grid.select("a", "b", "a_rows", "b_rows").mapInArrow(run, "total double, n long")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, clipped, of, pearson, ratio
+from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, clipped, of, ratio
 from .diversity import side
 from .fidelity import reranked, side_by_side
-from .nearest import nearest
+from .nearest import correlation_sums, nearest
 from .shape import overlap, padded, standardized, vectors, without
 from .utility import SIDES, two_sided
 
@@ -61,22 +61,20 @@ def differential_privacy(points: DataFrame) -> DataFrame:
 
 
 def distance_privacy(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A sigmoid of the mean least distance of the first synthetic rows over its 75th percentile."""
+    """A sigmoid of the mean least distance of the synthetic rows (all, or the first ``distance_rows``) over its 75th percentile."""
     m = reranked(standardized(padded(points)))
-    rows = vectors(m.where((F.col("variant") == ORIGINAL) | (F.col("ord") < config.distance_rows)))
+    rows = vectors(m if config.distance_rows is None else m.where((F.col("variant") == ORIGINAL) | (F.col("ord") < config.distance_rows)))
     d = nearest(side(rows, SYNTHETIC), side(rows, ORIGINAL)).agg(F.avg("distance").alias("mean"), F.percentile("distance", F.lit(0.75)).alias("q"))
     x = F.when(F.col("q") > 0, F.col("mean") / (F.col("q") + 1e-6)).otherwise(F.col("mean"))
     return d.select(F.coalesce(clipped(0.2 + 0.7 / (1 + F.exp(-2 * (x - 0.5))), 0.2, 0.9), F.lit(0.5)).alias("distance_privacy"))
 
 
 def pattern_repetition(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """1 less the mean absolute correlation between ``pattern_rows`` synthetic rows at most, chosen by a fixed scramble of ord; 0.1 at least, 0.5 without pairs."""
-    scramble = F.struct((F.col("ord") * 7919) % 10007, "ord")
-    few = rows.orderBy(scramble).limit(config.pattern_rows).select("ord", "v")
-    a, b = few.select(F.col("ord").alias("a"), F.col("v").alias("x"), F.lit(1).alias("one")), few.select(F.col("ord").alias("b"), F.col("v").alias("y"), F.lit(1).alias("one"))
-    cells = a.join(b, "one").where("a < b").select("a", "b", F.inline(F.arrays_zip("x", "y")))
-    r = cells.groupBy("a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
-    return r.agg(F.coalesce(F.greatest(F.lit(0.1), 1 - F.avg(F.abs("r"))), F.lit(0.5)).alias("pattern_diversity"))
+    """1 less the mean absolute correlation between synthetic rows, all or ``pattern_rows`` at most, chosen by a fixed scramble of ord; 0.1 at least, 0.5 without pairs."""
+    if config.pattern_rows is not None:
+        rows = rows.orderBy(F.struct((F.col("ord") * 7919) % 10007, "ord")).limit(config.pattern_rows)
+    r = correlation_sums(rows).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("r"))
+    return r.select(F.coalesce(F.greatest(F.lit(0.1), 1 - F.col("r")), F.lit(0.5)).alias("pattern_diversity"))
 
 
 def pattern_uniqueness(points: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriatim.config import Config
-from seriatim.operators import diversity, ecdf, fidelity, models, privacy, shape, utility
+from seriatim.operators import diversity, ecdf, fidelity, models, nearest, privacy, shape, utility
 
 SCHEMA = "variant string, series long, ord int, t int, column string, col_ord int, value double"
 
@@ -77,6 +77,41 @@ def test_dtw_is_the_dynamic_programme(pair):
     assert np.allclose(sorted(r["score"] for r in fidelity.dtw_distances(p).collect()), want)
 
 
+def test_dtw_takes_every_pair(spark):
+    o = [[[0.0], [0.0]]] * 25
+    p = points(spark, o, [*o[:24], [[3.0], [3.0]]], names=("a",))
+    assert fidelity.dtw_distances(p).count() == 25
+    assert np.isclose(fidelity.dynamic_time_warping(p).first()["dtw_mean"], np.sqrt(18) / 2 / 25)
+    assert fidelity.dtw_distances(p, 20).count() == 20
+
+
+def test_distances_and_patterns_of_every_row(spark):
+    rng = np.random.default_rng(7)
+    o, s = ([rng.normal(size=(6, 1)) for _ in range(n)] for n in (30, 130))
+    s[120] = np.ones((6, 1))
+    p = points(spark, o, s, names=("a",))
+    every = Config(distance_rows=None, pattern_rows=None)
+    rows = shape.vectors(shape.padded(p)).orderBy("variant", "ord").collect()
+    a, b = (np.array([r["v"] for r in rows if r["variant"] == x]) for x in "os")
+    r = [abs(np.corrcoef(b[i], b[j])[0, 1]) for i in range(130) for j in range(i) if 120 not in (i, j)]
+    got = privacy.pattern_uniqueness(p, every).first()["pattern_diversity"]
+    assert np.isclose(got, 1 - np.mean(r)) and not np.isclose(got, privacy.pattern_uniqueness(p).first()["pattern_diversity"])
+    x, y = ((v - a.mean(axis=0)) / a.std(axis=0) for v in (a, b))
+    d = np.sqrt(((y[:, None] - x) ** 2).sum(axis=2)).min(axis=1)
+    want = 0.2 + 0.7 / (1 + np.exp(-2 * (d.mean() / (np.percentile(d, 75) + 1e-6) - 0.5)))
+    assert np.isclose(privacy.distance_privacy(p, every).first()[0], want)
+
+
+def test_correlations_skip_unknown_and_constant_cells():
+    x = np.array([[1.0, 2, np.nan, 4, 7], [5, 5, 5, 5, 5], [np.nan, 3, 3, 3, 9], [2, 1, 8, 0, np.nan]])
+    got = nearest.absolute_correlations(x, x)
+    for i in range(4):
+        for j in range(4):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            a, b = x[i, both], x[j, both]
+            assert np.isnan(got[i, j]) if np.ptp(a) == 0 or np.ptp(b) == 0 else np.isclose(got[i, j], abs(np.corrcoef(a, b)[0, 1]))
+
+
 def test_autocorrelation_of_constants_and_short_series_is_zero(spark):
     p = points(spark, [np.ones((20, 1)), np.arange(5).reshape(-1, 1)], [np.arange(20).reshape(-1, 1)], names=("a",))
     got = fidelity.autocorrelations(p).groupBy("variant", "ord").agg(F.min("acf").alias("lo"), F.max("acf").alias("hi")).collect()
