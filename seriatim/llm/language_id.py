@@ -32,6 +32,8 @@ ORDERS = (1, 2, 3, 4)
 FIT_DOCS = 12_000
 MIN_SHARE = 2e-5
 MIN_LIFT = 0.3
+#: A text is in no learned language where its share of known n-grams is below LEAST of this quantile of labelled texts.
+QUANTILE, LEAST = 0.001, 0.5
 HASHES = 3
 SALT = np.uint64(0x2545F4914F6CDD1D)
 _letters: list[np.ndarray] = []
@@ -124,10 +126,15 @@ def build(languages: list[str], members: list[np.ndarray]) -> Filters:
     return out
 
 
+def labelled(docs: DataFrame, bound: int) -> DataFrame:
+    """lang and text of the learning fold, or of about ``bound`` of its rows."""
+    pool = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_mod(F.col("doc_id"), 3) != 1))
+    return hashed_sample(pool.select("lang", "text", "doc_id"), bound, F.col("doc_id")).select("lang", "text")
+
+
 def fit(docs: DataFrame, bound: int = FIT_DOCS) -> Filters | None:
     """Learns from text and lang where lang is not null and crc32(doc_id as text) mod 3 is not 1."""
-    pool = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_mod(F.col("doc_id"), 3) != 1))
-    sample = hashed_sample(pool.select("lang", "text", "doc_id"), bound, F.col("doc_id")).select("lang", "text")
+    sample = labelled(docs, bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -175,13 +182,38 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, filters: Filters | None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learned language; those decided ``und`` go."""
+def known_share(filters: Filters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(corrected hits of the best language per n-gram, letters) of each text."""
+    hits, total, n_letters = filters.counts(texts)
+    return hits.max(axis=1) / np.maximum(total, 1), n_letters
+
+
+def least_share(docs: DataFrame, filters: Filters | None, bound: int = FIT_DOCS) -> float:
+    """Half (``LEAST``) of the share of known n-grams that all but one in a thousand (``QUANTILE``) texts of the learning fold reach; 0 without any."""
+    if filters is None:
+        return 0.0
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            share, n_letters = known_share(model.value, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(share[n_letters > 0])], names=["share"])
+
+    shares = [r["share"] for r in labelled(docs, bound).mapInArrow(run, "share double").collect()]  # about bound numbers
+    return LEAST * float(np.quantile(shares, QUANTILE, method="lower")) if shares else 0.0
+
+
+def keep_known(docs: DataFrame, filters: Filters | None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language.
+
+    Those decided ``und`` go, and those of which no n-gram, or a share below ``least`` (see ``least_share``), is known.
+    """
     model = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            names, _ = decided(model.value, part.column("text").to_pylist())
-            yield part.filter(pa.array([x != "und" for x in names], pa.bool_()))
+            if model.value is not None:
+                share, n_letters = known_share(model.value, part.column("text").to_pylist())
+                yield part.filter(pa.array((n_letters > 0) & (share > 0) & (share >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -199,6 +199,16 @@ def test_language_is_learned_from_the_other_fold(spark, docs, rows):
     assert {r["lang_pred"] for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
+def test_texts_in_an_unlearned_script_go(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(7001, "Быстрая коричневая лиса прыгает. " * 9, None), (7002, "今日はとても良い天気ですね。散歩に行きましょう。", "en"), (7003, "Η γρήγορη καφέ αλεπού", None), (7004, "Б", "de"), (7005, "Быстрая лиса of the " + "прыгает через собаку " * 20, None)]
+    both = real.unionByName(spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in odd], DOCS))
+    filters = language_id.fit(real)
+    kept = language_id.keep_known(both, filters, language_id.least_share(real, filters))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in real.collect())
+    assert language_id.least_share(empty(spark), None) == 0 and language_id.keep_known(both, None).count() == 0
+
+
 def test_archives_round_trip(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     odd = [(5001, None, None), (5002, "http://a b/\n", ""), (5003, "http://x/", "a\r\n\r\nWARC/1.0\r\n é"), (5004, "http://y/", "a\r\n\r\nWARC/1.0\r\n é"), (5004, "http://y/", "a\r\n\r\nWARC/1.0\r\n é")]
