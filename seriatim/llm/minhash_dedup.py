@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored
+from ._spark import counted, stored
 from ._text import FOLDED, Words, mixed, slices, utf8
 
 COORDINATES, MATCHES = 64, 34
@@ -228,7 +228,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is the smallest of its group. Rows with a null doc_id stay."""
+    """The rows of ``docs``, all columns, whose document is the smallest of its group.
+
+    Of rows that share doc_id and text, a null doc_id included, one stays: the least by its other columns, in their order.
+    Rows with a null doc_id and texts of their own stay, as do different texts under one doc_id.
+    """
     gone = near_duplicates(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
     gone = stored(gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # few rows share a hash of both; only these are compared
+    marked = own.withColumn("seriatim_print", F.xxhash64("doc_id", "text"))
+    again = counted(marked.select("seriatim_print"), ["seriatim_print"], "near-again").select("seriatim_print")
+    if again.isEmpty():
+        return own
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = marked.join(again, "seriatim_print", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("seriatim_zero"), *(F.col(f"`{c}`") for c in others))).alias("seriatim_row"))
+    one = first.select(*(F.col(f"seriatim_row.`{c}`") if c in others else F.col(c) for c in docs.columns))
+    return marked.join(again, "seriatim_print", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one)

@@ -138,6 +138,14 @@ def test_near_duplicates_are_the_brute_force_components(spark, docs, rows, width
         assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_row_stays_of_those_with_equal_id_and_text(spark):
+    long_ = " ".join(f"w{k}" for k in range(60))
+    data = [(5, long_, "b"), (5, long_, "a"), (5, long_, "c"), (6, long_, "a"), (None, "no id", "z"), (None, "no id", "y"), (None, "other", "y"), (None, None, "q"), (None, None, "p"), (8, "alone", "x"), (9, "", "k"), (9, "", "k")]
+    got = minhash_dedup.keep_one(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    want = [(5, long_, "a"), (None, "no id", "y"), (None, "other", "y"), (None, None, "p"), (8, "alone", "x"), (9, "", "k")]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
 def test_components_follow_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (55, 55)], "a long, b long")
     got = {r["node"]: r["component"] for r in minhash_dedup.components(edges, "t").collect()}
