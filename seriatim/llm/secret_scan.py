@@ -39,7 +39,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Lines may end as in a JSON string, with a backslash and n or r.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+ESCAPED = re.compile(r"\\[nr]")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:MI|MC|MB|MD|ME|MF|MG|MH|AAAA)[A-Za-z0-9+/]{26,}={0,2}(?![A-Za-z0-9+/=])")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
 #: The key types that open an SSH key blob.
@@ -109,6 +111,18 @@ def ssh_fields(raw: bytes) -> bool:
     return at == len(raw) and count >= 2
 
 
+def tokens(text: str) -> list[tuple[int, int, str]]:
+    """Spans of tokens; where three parts are none, the next part may be a header too."""
+    found: list[tuple[int, int, str]] = []
+    m = JWT.search(text)
+    while m:
+        good = is_json_object(m[1], True) and is_json_object(m[2])
+        if good:
+            found.append((m.start(), m.end(), "jwt"))
+        m = JWT.search(text, m.end() if good else m.start(2))
+    return found
+
+
 def spans_of(text: str) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind as listed."""
     found: list[tuple[int, int, str]] = []
@@ -118,12 +132,12 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if "." in text and "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_json_object(m[1], True) and is_json_object(m[2])]
+    if "." in text:
+        found += tokens(text)
     pem: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            raw = from_base64("".join(m[2].split()))
+            raw = from_base64("".join(ESCAPED.sub(" ", m[2]).split()))
             if raw is not None and (der_nests(raw) or raw.startswith(b"openssh-key-v1\0")):
                 found.append((m.start(), m.end(), "der"))
                 pem.append(m.span())

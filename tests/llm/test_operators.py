@@ -101,6 +101,22 @@ def test_secrets_match_the_base_rule_and_confirm_structures(spark, docs, rows):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_tokens_after_words_and_keys_with_escaped_lines_are_secrets():
+    b64 = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+    body = f"{b64(b'{"sub": "1"}')}.abcDEF_123"
+    plain, spaced, indented = (f"{b64(head)}.{body}" for head in (b'{"alg": "HS256"}', b'{ "alg": "HS256"}', b'{\n  "alg": "HS256"}'))
+    assert spaced.startswith("eyAi") and indented.startswith("ewog")
+    for token in (plain, spaced, b64(b'{\n "alg": "HS256"}') + "." + b64(b'{\n "sub": "1"}') + ".abc"):
+        assert secret_scan.spans_of(token) == [(0, len(token), "jwt")]
+    text = f"credentials.{plain} and elephants.credentials.{indented}."
+    assert [(text[a:b], k) for a, b, k in secret_scan.spans_of(text)] == [(plain, "jwt"), (indented, "jwt")]
+    integer = b"\x02\x20" + b"\x11" * 32
+    der = base64.b64encode(b"\x30" + bytes([2 * len(integer)]) + integer * 2).decode()
+    for end in ("\n", "\\n", "\\r\\n"):
+        pem = end.join(["-----BEGIN PRIVATE KEY-----", der[:64], der[64:], "-----END PRIVATE KEY-----"])
+        assert secret_scan.spans_of(f'"{pem}{end}"') == [(1, 1 + len(pem), "der")]
+
+
 def shingle_set(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
