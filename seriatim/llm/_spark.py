@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+BATCH_CONF, SPARK_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset on a local master (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/seriatim-{spark.sparkContext.applicationId}"
@@ -31,6 +41,17 @@ def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, once everything that reads them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        mark = f"/{shared_dir(spark).rsplit('/', 1)[1]}/"
+        for file in table.inputFiles()[:1]:
+            folder = file[: file.index("/", file.index(mark) + len(mark))]
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash_mod(column: Column, n: int) -> Column:
     """crc32 of the column as text, modulo n: the fold rule of the held-out contracts. Null: null."""
     return F.crc32(column.cast("string")) % n
@@ -47,3 +68,22 @@ def hashed_sample(df: DataFrame, bound: int, key: Column) -> DataFrame:
     if n <= bound:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * bound / n))
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow``, with bounded batches, and workers that give memory back after each task.
+
+    Batches are cut at ``BATCH_BYTES`` where the session has left Spark's own, far larger bound as it is: executors
+    and their Python workers each hold several at once.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_CONF, SPARK_BATCH) == SPARK_BATCH:
+        conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return rows.mapInArrow(bounded, schema)

@@ -11,8 +11,14 @@
 3. Only connections matter to the result, so pairs are not expanded within a posting list at first: each node is
    paired with the list's most shared node (the one with most shared postings, as the original of a group of edited copies
    has), candidates are counted, confirmed on full sets, and joined into components.
-   Then every pair of nodes of one list that still lie in *different* components is counted and confirmed, which
-   leaves no link undone. A large group of near copies has by then become one component and makes no pairs.
+4. Pairs across components remain. A node goes on when some node of another component meets it in a list (a semi-join: no
+   pair is emitted). The full sets of these nodes are then posted under their rarest shingles: two sets of sizes m <= n
+   that reach the similarity p share p / (1 + p) * (m + n) shingles, so one of the first n - p n + 1 of the larger meets one
+   of the first m - 2 p / (1 + p) m + 1 of the smaller, in one order of all shingles. What follows the place where they meet
+   bounds what they can share. Pairs that also have the collisions are confirmed on full sets.
+   A large group of edited copies that resemble each other by less than the similarity thus yields few
+   pairs: the rarest shingles of each are its own edits. In every list, members of its largest component are not
+   compared with each other.
 
 A pair of similarity 0.8 has 51 collisions expected of 64; it has fewer than 34 with probability below 1e-6.
 Confirmation compares 64-bit shingle hashes of whole texts.
@@ -31,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import counted, stored
+from ._spark import counted, discard, mapped, stored
 from ._text import FOLDED, Words, mixed, slices, utf8
 
 COORDINATES, MATCHES = 64, 34
 PACKED = COORDINATES // 16  # longs that hold 4 bits of each coordinate
 SALT_ROWS = 512
+FILTER_BITS = 1 << 26
 _rng = np.random.Generator(np.random.PCG64(99))
 FACTOR = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFT = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -87,7 +94,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sig = pa.FixedSizeListArray.from_arrays(pa.array(signatures(h, first).ravel()), COORDINATES).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), sig], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
 
 
 def packed(sig: Column) -> list[Column]:
@@ -113,15 +120,38 @@ def meets(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(f"n_{a}", f"n_{b}") >= percent * F.greatest(f"n_{a}", f"n_{b}")) & (differ <= COORDINATES - MATCHES)
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: node, hashes of the full set."""
+def sets(docs: DataFrame, width: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """Per row of (node, bit, text): node, hashes of the full set. With ``wanted``, of rows whose bit is set there only."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            if shared.value is not None:
+                bit = part.column("bit").fill_null(0).to_numpy()
+                part = part.filter(pa.array((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             h, first = shingles(part.column("text"), width)
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "full"])
 
-    return docs.mapInArrow(run, "node long, full array<long>")
+    return mapped(docs, run, "node long, full array<long>")
+
+
+def full_sets(nodes: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
+    """A written table of (node, full) that holds the distinct ``nodes``, and a few others. docs: node and text of each node.
+
+    The nodes are looked up in a filter of FILTER_BITS bits, which is all that is broadcast, so texts need no shuffle. Where
+    so many are wanted that they would fill a tenth of it, a join picks them instead; the links found are the same.
+    """
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    marked = docs.withColumn("bit", bit)
+    if nodes.count() > FILTER_BITS // 10:
+        return stored(sets(marked.join(nodes, "node", "left_semi"), width), name)
+    # at most FILTER_BITS / 32768 rows of 4 kB; the functions count from 1
+    bits = nodes.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in bits.collect():
+        at = (row["bucket"] - 1) * 4096
+        wanted[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return stored(sets(marked, width, wanted), name)
 
 
 def spread(pairs: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -136,15 +166,45 @@ def spread(pairs: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return dealt.join(wide.withColumnRenamed("node", key), [key, "salt"]).drop("salt")
 
 
-def confirmed(close: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Of distinct candidates (a, b), a written table, those whose full sets reach the similarity. docs: node and text of each node."""
-    if close.isEmpty():
-        return close
-    wanted = stored(close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct(), f"{name}-wanted")
-    full = stored(sets(docs.join(wanted, "node", "left_semi"), width), f"{name}-sets")
+def confirmed(close: DataFrame, full: DataFrame, percent: int, name: str) -> DataFrame:
+    """Of distinct candidates (a, b), a written table, those whose full sets reach the similarity."""
     both = spread(close.join(full.select(F.col("node").alias("a"), F.col("full").alias("full_a")), "a"), full.withColumnRenamed("full", "full_b"), "b")
     shared = F.size(F.array_intersect("full_a", "full_b"))
-    return stored(both.where(100 * shared >= percent * (F.size("full_a") + F.size("full_b") - shared)).select("a", "b").distinct(), f"{name}-links")
+    return stored(both.where(100 * shared >= percent * (F.size("full_a") + F.size("full_b") - shared)).select("a", "b"), f"{name}-links")
+
+
+def side(frame: DataFrame, name: str, key: str) -> DataFrame:
+    """The columns of ``frame`` with the name of a side of a join at their end, but for the key; node becomes the name itself."""
+    return frame.select(key, F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in frame.columns if c not in (key, "node")))
+
+
+def divided(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The written ``rows`` whose key is in several components, with main: whether the row's component is the key's most frequent."""
+    each = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n_rows"))
+    several = each.groupBy(key).agg(F.max_by("component", F.struct("n_rows", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(key, "top")
+    return stored(rows.join(stored(several, f"{name}-several"), key).withColumn("main", F.col("component") == F.col("top")).drop("top"), name)
+
+
+def crossing(a: DataFrame, b: DataFrame, key: str, condition: Column, how: str) -> DataFrame:
+    """Joins divided rows across components. Two rows of a key's main component are never compared."""
+    differ = condition & (F.col("component_a") != F.col("component_b"))
+    one = side(a, "a", key).join(side(b.where("not main"), "b", key).withColumnRenamed(key, "key_b"), (F.col(key) == F.col("key_b")) & differ, how)
+    other = side(a.where("not main"), "a", key).join(side(b.where("main"), "b", key).withColumnRenamed(key, "key_b"), (F.col(key) == F.col("key_b")) & differ, how)
+    return one.unionByName(other)
+
+
+def rarest(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(shingle, the columns of nodes, rest, place, short) of each node's prefix, where rest is the number of its shingles that other nodes
+    have too, and short marks the prefix that it needs as the smaller of two. Shingles that no other node has come first and are left out."""
+    rows = full.select("node", F.explode("full").alias("shingle"))
+    common = counted(rows, ["shingle"], "near-common").withColumnRenamed("n", "df")
+    # a node's own set in one row, as it was before
+    ordered = rows.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    wide = ordered.join(nodes, "node").withColumn("rest", F.size("common"))
+    longer = F.col("rest") - F.ceil(percent * F.col("n") / 100) + 1
+    shorter = F.col("rest") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    wide = wide.where(longer > 0).withColumn("until", shorter).withColumn("common", F.slice("common", F.lit(1), F.greatest(longer, F.lit(0)).cast("int")))
+    return wide.select(*nodes.columns, "rest", "until", F.posexplode("common").alias("place", "one")).select(F.col("one.shingle").alias("shingle"), *nodes.columns, "rest", "place", (F.col("place") < F.col("until")).alias("short"))
 
 
 def rooted(parent: DataFrame, name: str) -> DataFrame:
@@ -198,25 +258,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = ["n", *(f"k{k}" for k in range(PACKED))]
     lists = shared.select("node", F.size("posts").alias("u"), F.transform(prefix, lambda p: p["post"]).alias("posts")).join(brief, "node").select(F.explode("posts").alias("post"), "node", "u", *keys)
     lists = stored(lists, "near-lists")
-
-    def named(frame: DataFrame, side: str) -> DataFrame:
-        return frame.select("post", F.col("node").alias(side), *(F.col(k).alias(f"{k}_{side}") for k in keys), *(F.col(c).alias(f"{c}_{side}") for c in frame.columns if c == "component"))
+    discard(frequent)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     first = lists.groupBy("post").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("u", (-F.col("node")).alias("minus"), *keys)).alias("one")).where("size > 1").select("post", (-F.col("one.minus")).alias("node"), "one.*")
-    met = named(lists, "a").join(named(stored(first, "near-first"), "b"), "post").where((F.col("a") != F.col("b")) & meets("a", "b", percent))
+    first = stored(first, "near-first")
+    met = side(lists, "a", "post").join(side(first, "b", "post"), "post").where((F.col("a") != F.col("b")) & meets("a", "b", percent))
     star = stored(met.select("a", "b").distinct(), "near-star")
-    links = confirmed(star, texts, width, percent, "near1").unionByName(same)
+    ends = stored(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ends")
+    full = full_sets(ends, texts, width, "near-sets1")
+    links = stored(confirmed(star, full, percent, "near1").unionByName(same), "near-links")
+    discard(first, star, ends, full)
     found = components(links, "near1")
 
-    # pairs within a list across components
-    placed = stored(lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
-    several = stored(placed.groupBy("post").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("post"), "near-several")
-    open_ = stored(placed.join(several, "post", "left_semi"), "near-open")
-    cross = named(open_, "a").join(named(open_, "b"), "post").where((F.col("component_a") > F.col("component_b")) & meets("a", "b", percent)).select("a", "b").distinct()
-    done = star.union(star.select("b", "a"))
-    cross = stored(stored(cross, "near-met").join(done, ["a", "b"], "left_anti"), "near-cross")
-    more = confirmed(cross, texts, width, percent, "near2")
+    # pairs across components
+    placed = stored(lists.drop("u").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    open_ = divided(placed, "post", "near-open")
+    discard(lists, placed)
+    nodes = stored(crossing(open_, open_, "post", meets("a", "b", percent), "left_semi").select(F.col("a").alias("node"), *(F.col(f"{c}_a").alias(c) for c in ("component", *keys))).distinct(), "near-across")
+    discard(open_)
+    full = full_sets(nodes.select("node"), texts, width, "near-sets2")
+    prefixes = divided(stored(rarest(nodes, full, percent), "near-prefix"), "shingle", "near-posted")
+    smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    enough = (100 + percent) * F.least(F.col("rest_a") - F.col("place_a"), F.col("rest_b") - F.col("place_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    cross = stored(crossing(prefixes, prefixes.where("short"), "shingle", smaller & enough & meets("a", "b", percent), "inner").select("a", "b").distinct(), "near-cross")
+    more = confirmed(cross, full, percent, "near2")
+    discard(prefixes, nodes, full)
     if not more.isEmpty():
         found = components(links.unionByName(more), "near2")
 
