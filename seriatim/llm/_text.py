@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: For work that sums up each slice before it goes on.
+COUNT_BYTES = 1 << 20
 #: White space as the word contract has it: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

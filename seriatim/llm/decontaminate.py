@@ -30,10 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import mapped
 from ._text import Prefix, mixed, slices, utf8
 
 STRIDE, BLOCK, SHARD = 32, 64, 20_000
-AT_ONCE = 256
+AT_ONCE, TEXT_BYTES = 256, 1 << 19
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
 GRAM = 3
@@ -226,12 +227,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
+            for part in slices(batches, limit=TEXT_BYTES):
                 if got := matches(shared.value, part.column("text")):
                     text, *rest = zip(*got)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(rest[0], pa.int64()), *(pa.array(c, pa.float64()) for c in rest[1:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(mapped(docs.select("doc_id", "text"), run, schema))
     return out
 
 
@@ -241,10 +242,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
+            for part in slices(batches, limit=TEXT_BYTES):
                 keep = np.ones(part.num_rows, bool)
                 keep[[m[0] for m in matches(shared.value, part.column("text"))]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

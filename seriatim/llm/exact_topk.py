@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import mapped
+
 GROUP, QUERIES, AT_ONCE, DIMS_AT_ONCE, SEEDS = 8192, 1024, 32, 16, 128
 
 
@@ -105,6 +107,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
                 a, b, c = cell(qid, q, xid, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    local = grid.select("x", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    local = mapped(grid.select("x", "q"), run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

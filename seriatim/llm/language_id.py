@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_mod, hashed_sample
-from ._text import mixed, slices, summed
+from ._spark import hash_mod, hashed_sample, mapped
+from ._text import COUNT_BYTES, mixed, slices, summed
 
 ORDERS = (1, 2, 3, 4)
 FIT_DOCS = 12_000
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, bound: int = FIT_DOCS) -> Filters | None:
     sample = labelled(docs, bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=COUNT_BYTES):
             langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 points, first, _ = codes([t for t, x in zip(texts, langs) if x == lang])
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, bound: int = FIT_DOCS) -> Filters | None:
                     h, n = np.unique(grams(points, first, order)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), order, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "ord", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
+    counts = mapped(sample, count, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(totals), ["lang", "ord"]).select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
     best = share.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("of"))
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
             names, score = decided(model.value, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def known_share(filters: Filters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def least_share(docs: DataFrame, filters: Filters | None, bound: int = FIT_DOCS)
             share, n_letters = known_share(model.value, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(share[n_letters > 0])], names=["share"])
 
-    shares = [r["share"] for r in labelled(docs, bound).mapInArrow(run, "share double").collect()]  # about bound numbers
+    shares = [r["share"] for r in mapped(labelled(docs, bound), run, "share double").collect()]  # about bound numbers
     return LEAST * float(np.quantile(shares, QUANTILE, method="lower")) if shares else 0.0
 
 
@@ -216,4 +216,4 @@ def keep_known(docs: DataFrame, filters: Filters | None, least: float = 0.0) ->
                 share, n_letters = known_share(model.value, part.column("text").to_pylist())
                 yield part.filter(pa.array((n_letters > 0) & (share > 0) & (share >= least), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

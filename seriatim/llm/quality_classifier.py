@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_mod, hashed_sample
-from ._text import SPACE, Prefix, slices, summed, utf8
+from ._spark import hash_mod, hashed_sample, mapped
+from ._text import COUNT_BYTES, SPACE, Prefix, slices, summed, utf8
 
 BUCKETS, DIMS, NONZERO, SIGNS = 4096, 64, 6, 16
 FIT_DOCS = 12_000
@@ -70,7 +70,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIMS)
-        for part in slices(batches):
+        for part in slices(batches, limit=COUNT_BYTES):
             word, first = buckets(*utf8(part.column("text")))
             i = neighbours(word, first)
             pair, n = np.unique(np.concatenate([word[i] * BUCKETS + word[i + 1], word[i + 1] * BUCKETS + word[i]]), return_counts=True)
@@ -82,7 +82,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, d]) for d in range(DIMS))], names=["bucket", *(f"d{d}" for d in range(DIMS))])
 
     schema = "bucket int, " + ", ".join(f"d{d} long" for d in range(DIMS))
-    rows = docs.select("text").mapInArrow(contexts, schema).groupBy("bucket").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS))).toArrow()
+    rows = mapped(docs.select("text"), contexts, schema).groupBy("bucket").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS))).toArrow()
     vectors = np.zeros((BUCKETS, DIMS), np.float32)
     if rows.num_rows:
         got = np.stack([rows.column(f"d{d}").to_numpy() for d in range(DIMS)], axis=1).astype(float)
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, bound: int = FI
 
     # chosen holds about ``bound`` rows at most, so it may be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).alias("aside"))
-    rows = sample.mapInArrow(extract, "label int, aside boolean, x array<double>").toArrow()
+    rows = mapped(sample, extract, "label int, aside boolean, x array<double>").toArrow()
     y = rows.column("label").to_numpy()
     if rows.num_rows == 0:
         return None
@@ -194,7 +194,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None) -> Data
             p = np.full(part.num_rows, 0.5) if network is None else network.probabilities(features(part.column("text"), vectors))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (hash_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._spark import mapped
 from ._text import slices
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
@@ -184,7 +185,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -203,4 +204,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 arrays[k] = pa.array([c if a is b or b is None else len(b) for a, b, c in zip(old, new, arrays[k].to_pylist())], part.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

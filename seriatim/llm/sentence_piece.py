@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._spark import mapped
 from ._text import slices
 
-SLICE, POINTS = 3 << 20, 500_000
+SLICE, POINTS = 3 << 19, 300_000
 SEGMENT = re.compile(" +[^ ]*")
 CACHE_BITS = 21
 NONE = -1
@@ -342,7 +343,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             lists = pa.array([None if t is None else x for t, x in zip(texts, lists.to_pylist())], pa.list_(pa.int32())) if part.column("text").null_count else lists
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array([None if z else t for z, t in zip(null.to_pylist(), decoded)], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -359,4 +360,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             same = [a == (b or "").replace("▁", " ") for a, b in zip(decode_ids(v, ids, first), texts)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import counted, stored
+from ._spark import counted, mapped, stored
 from ._text import Prefix, slices, utf8
 
 WIDTH = 400
@@ -156,7 +156,7 @@ def positions(docs: DataFrame, width: int) -> DataFrame:
             rt, rs, re_ = runs(at[again][order], width, t[again][order])
             yield table({"kind": np.full(len(rt), 2, np.int32), "key": key[rt], "i": np.zeros(len(rt), np.int32), "p": rs - offsets[rt], "w1": re_ - offsets[rt], "w2": np.zeros(len(rt), np.int64)})
 
-    return docs.mapInArrow(run, POSITIONS)
+    return mapped(docs, run, POSITIONS)
 
 
 def doubled(level: DataFrame, offset: int, name: str) -> DataFrame:
@@ -204,7 +204,7 @@ def cores(chosen: DataFrame, width: int) -> DataFrame:
                 out[name] = p.spans(start, end + width) ^ lead
             yield table(out)
 
-    return chosen.mapInArrow(run, "key long, at long, core long, o1 long, o2 long")
+    return mapped(chosen, run, "key long, at long, core long, o1 long, o2 long")
 
 
 def windows(chosen: DataFrame, width: int) -> DataFrame:
@@ -224,7 +224,7 @@ def windows(chosen: DataFrame, width: int) -> DataFrame:
                 out[f"w{k + 1}"] = Prefix(raw, family=k).spans(at, at + width)
             yield table(out)
 
-    return chosen.mapInArrow(run, "key long, q long, w1 long, w2 long")
+    return mapped(chosen, run, "key long, q long, w1 long, w2 long")
 
 
 def removed(chosen: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def removed(chosen: DataFrame) -> DataFrame:
             n_removed, n_spans, sha = zip(*rows)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)], names=["key", "n_removed", "n_spans", "kept_sha256"])
 
-    return chosen.mapInArrow(run, "key long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(chosen, run, "key long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_mod, hashed_sample
-from ._text import FOLDED, Prefix, slices, summed, utf8
+from ._spark import hash_mod, hashed_sample, mapped
+from ._text import COUNT_BYTES, FOLDED, Prefix, slices, summed, utf8
 
 FIT_DOCS = 12_000
 PRIOR_MASS, LEAST_PRIOR = 500.0, 0.5
@@ -156,7 +156,7 @@ def corpus_counts(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
         n = np.zeros(len(keys), np.int64)
-        for part in slices(batches):
+        for part in slices(batches, limit=COUNT_BYTES):
             h = tokens(part.column("text"))[0].ravel()
             at = np.searchsorted(keys, h)
             at[at == len(keys)] = 0
@@ -164,7 +164,7 @@ def corpus_counts(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["i", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    rows = mapped(docs.select("text"), run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(keys))
     out[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> Model | No
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=COUNT_BYTES):
             h, _, _, first = tokens(part.column("text"))
             text = np.repeat(np.arange(part.num_rows), np.diff(first))
             label = part.column("label").to_numpy()
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> Model | No
                 keys, n = np.unique(once[label[once[:, 0].astype(np.int64)] == y, 1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), y, np.int32)), pa.array(n)], names=["key", "label", "n"])
 
-    counted = sample.mapInArrow(count, "key long, label int, n long").groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    counted = mapped(sample, count, "key long, label int, n long").groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
     rows = counted.where(F.col("toxic") + F.col("clean") >= 4).toArrow()
     keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> Model | No
             x, _ = evidence(shared.value.of(h), first, shared.value.rate)
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x)], names=["label", "x"])
 
-    got = sample.mapInArrow(measure, "label int, x double").toArrow()
+    got = mapped(sample, measure, "label int, x double").toArrow()
     model.slope, model.bias = logistic(got.column("x").to_numpy(), got.column("label").to_numpy().astype(float))
     return model
 
@@ -229,7 +229,7 @@ def passages(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = [[{"start": int(start[first[i] + s]), "end": int(end[first[i] + e - 1]), "evidence": float(v)} for s, e, v in got] for i, got in enumerate(segments)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(found, kind)], names=["doc_id", "score", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:bigint,end:bigint,evidence:double>>")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:bigint,end:bigint,evidence:double>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> DataFrame:

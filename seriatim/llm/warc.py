@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_dir, stored
+from ._spark import mapped, shared_dir, stored
 from ._text import slices
 
 #: The fields of an ARC header line by version, as the version block names them.
@@ -87,7 +87,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
 
     typed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    typed.mapInArrow(run, "value string").write.options(**GZIP).option("lineSep", "\n").text(path)
+    mapped(typed, run, "value string").write.options(**GZIP).option("lineSep", "\n").text(path)
 
 
 def opened(content: bytes) -> io.BufferedReader:
@@ -155,7 +155,7 @@ def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CONVERTED)
+    return mapped(spark.read.format("binaryFile").load(path).select("path", "content"), run, CONVERTED)
 
 
 def record_id(uri: str, date: str, payload_digest: str, item: int | None) -> str:
@@ -197,7 +197,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
             yield pa.RecordBatch.from_arrays([pa.array([warc_record(*r) for r in zip(*(c.to_pylist() for c in part.columns))], pa.string())], names=["value"])
 
     wide = rows.select("item_id", "uri", "date", "type", "http", "payload", "payload_bytes", "payload_digest", refers.alias("refers"))
-    wide.mapInArrow(run, "value string").write.options(**GZIP).option("lineSep", "\r\n\r\n").text(warc_path)
+    mapped(wide, run, "value string").write.options(**GZIP).option("lineSep", "\r\n\r\n").text(warc_path)
 
 
 def warc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -236,7 +236,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return mapped(spark.read.format("binaryFile").load(path).select("content"), run, schema)
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
