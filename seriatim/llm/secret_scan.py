@@ -9,12 +9,15 @@ Kinds, in the order that breaks ties between spans with one start:
   hex     a run of 16 or more lower-case hexadecimal digits
   jwt     header.payload.signature, where the header decodes to a JSON object with a string "alg"
           and the payload decodes to a JSON object
-  der     base64 (also wrapped in PEM lines) or hex that decodes to an ASN.1 SEQUENCE whose declared lengths
-          nest exactly to the end and that holds an INTEGER, BIT STRING, OCTET STRING or OBJECT IDENTIFIER
-  ssh     base64 that decodes to length-prefixed fields, the first a known key type, ending exactly at the end
-
-Null text counts as empty; rows keep their multiplicity, null doc_id included. Spans are code points, end
-exclusive. Texts of any length are scanned whole, and each row stands alone, so skew and ties do not arise.
+  der     base64 of either alphabet (also wrapped in PEM lines) or hex that decodes to a *private* key in ASN.1: PKCS#8,
+          encrypted PKCS#8, PKCS#1, SEC1 or DSA, its declared lengths nested exactly to the end; or a PEM block
+          whose headers declare a cipher and initial vector, over whole cipher blocks
+  ssh     base64, PEM or hex that decodes to an OpenSSH private key, its length-prefixed fields ending exactly at the end
+
+Certificates and public keys, SSH ones included, are no secrets and are left alone. Null text counts as empty; rows keep their
+multiplicity, null doc_id included; equal rows get equal results. Spans are code points, end exclusive. Texts of any length
+are scanned whole, one at a time, and each row stands alone, so skew and ties do not arise. An empty table gives no
+rows. Other columns than doc_id and text are not read, whatever their names; ``redact`` passes them through and needs both.
 """
 
 from __future__ import annotations
@@ -40,13 +43,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: Lines may end as in a JSON string, with a backslash and n or r.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: Lines may end as in a JSON string, with a backslash and n or r. Headers may come before the body.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s|\\[nr])*+(?:[A-Za-z-]+: [^\n\\]*(?:\n|\\r\\n|\\n))*+)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+CIPHER = re.compile(r"Proc-Type: 4,ENCRYPTED.*DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,32}\b", re.DOTALL)
 ESCAPED = re.compile(r"\\[nr]")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:MI|MC|MB|MD|ME|MF|MG|MH|AAAA)[A-Za-z0-9+/]{26,}={0,2}(?![A-Za-z0-9+/=])")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
-#: The key types that open an SSH key blob.
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Base64 that begins with a SEQUENCE or with the mark of OpenSSH keys.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:MI|MC|MD|ME|MF|MG|MH|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{26,}={0,2}(?![A-Za-z0-9+/=_-])")
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
+OPENSSH = b"openssh-key-v1\0"
+#: Object identifiers of password-based encryption, PKCS#5 and PKCS#12.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
 def from_base64(text: str) -> bytes | None:
@@ -70,10 +77,10 @@ def is_json_object(text: str, needs_alg: bool = False) -> bool:
     return isinstance(value, dict) and (not needs_alg or isinstance(value.get("alg"), str))
 
 
-def der_nests(raw: bytes) -> bool:
-    """One ASN.1 SEQUENCE over all of raw; its constructed members nest exactly, and a primitive of a key is inside."""
-
-    def header(at: int, end: int) -> tuple[int, int, int] | None:
+def members(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end of content) of the ASN.1 values that fill raw[at:end] exactly; None where they don't."""
+    out = []
+    while at < end:
         if at + 2 > end:
             return None
         tag, n, at = raw[at], raw[at + 1], at + 2
@@ -82,34 +89,71 @@ def der_nests(raw: bytes) -> bool:
             if not 1 <= width <= 4 or at + width > end:
                 return None
             n, at = int.from_bytes(raw[at : at + width]), at + width
-        return (tag, at, at + n) if at + n <= end else None
+        if at + n > end:
+            return None
+        out.append((tag, at, at + n))
+        at += n
+    return out
 
-    if raw[:1] != b"\x30":
-        return False
-    held, todo = False, [(0, len(raw))]
+
+def nests(raw: bytes, values: list[tuple[int, int, int]]) -> bool:
+    """Whether all constructed values are filled exactly by others."""
+    todo = list(values)
     while todo:
-        at, end = todo.pop()
-        while at < end:
-            got = header(at, end)
-            if got is None:
+        tag, start, end = todo.pop()
+        if tag & 0x20:
+            inner = members(raw, start, end)
+            if inner is None:
                 return False
-            tag, at, until = got
-            if tag & 0x20:
-                todo.append((at, until))
-            held |= tag in (0x02, 0x03, 0x04, 0x06) and until > at
-            at = until
-    top = header(0, len(raw))
-    return held and top is not None and top[2] == len(raw)
-
-
-def ssh_fields(raw: bytes) -> bool:
-    at = count = 0
-    while at + 4 <= len(raw):
-        n = int.from_bytes(raw[at : at + 4])
-        if at + 4 + n > len(raw) or (count == 0 and raw[at + 4 : at + 4 + n] not in SSH_TYPES):
+            todo += inner
+    return True
+
+
+def private_key(raw: bytes) -> bool:
+    """Whether raw is a private key in ASN.1."""
+    top = members(raw, 0, len(raw))
+    if top is None or len(top) != 1 or top[0][0] != SEQUENCE or not nests(raw, top):
+        return False
+    inner = members(raw, *top[0][1:]) or []
+    tags = [tag for tag, _, _ in inner]
+
+    def algorithm(value: tuple[int, int, int]) -> bytes:
+        first = members(raw, *value[1:])
+        return raw[first[0][1] : first[0][2]] if first and first[0][0] == OBJECT else b""
+
+    if tags == [SEQUENCE, OCTETS]:
+        return algorithm(inner[0]).startswith(PASSWORD_BASED) and inner[1][2] > inner[1][1]
+    if tags[:1] != [INTEGER] or inner[0][2] - inner[0][1] != 1:
+        return False
+    version = raw[inner[0][1]]
+    filled = all(end > start for _, start, end in inner)
+    if tags[1:3] == [SEQUENCE, OCTETS]:
+        return version <= 1 and filled and bool(algorithm(inner[1])) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    if tags[1:2] == [OCTETS]:
+        return version == 1 and filled and set(tags[2:]) <= {0xA0, 0xA1}
+    return filled and set(tags[:9]) == {INTEGER} and (len(tags) == 9 and version == 0 or len(tags) == 10 and version == 1 or len(tags) == 6 and version == 0)
+
+
+def openssh_key(raw: bytes) -> bool:
+    """Whether raw is an OpenSSH private key: cipher, derivation and its options, number of keys, public keys, private part."""
+    if not raw.startswith(OPENSSH):
+        return False
+    at, left = len(OPENSSH), 3
+    while left:
+        if at + 4 > len(raw):
             return False
-        at, count = at + 4 + n, count + 1
-    return at == len(raw) and count >= 2
+        at, left = at + 4 + int.from_bytes(raw[at : at + 4]), left - 1
+    keys = int.from_bytes(raw[at : at + 4])
+    at, left = at + 4, keys + 1
+    while left and at + 4 <= len(raw):
+        at, left = at + 4 + int.from_bytes(raw[at : at + 4]), left - 1
+    return keys > 0 and left == 0 and at == len(raw)
+
+
+def key_kind(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    return "ssh" if openssh_key(raw) else "der" if private_key(raw) else None
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
@@ -138,19 +182,17 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     pem: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            raw = from_base64("".join(ESCAPED.sub(" ", m[2]).split()))
-            if raw is not None and (der_nests(raw) or raw.startswith(b"openssh-key-v1\0")):
-                found.append((m.start(), m.end(), "der"))
-                pem.append(m.span())
+            raw = from_base64("".join(ESCAPED.sub(" ", m[3]).split()))
+            kind = key_kind(raw) or ("der" if raw and len(raw) % 8 == 0 and "PRIVATE KEY" in m[1] and CIPHER.search(m[2]) else None)
+            pem.append(m.span())
+            if kind:
+                found.append((m.start(), m.end(), kind))
     for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in pem) and (raw := from_base64(m[0])) is not None:
-            if der_nests(raw):
-                found.append((m.start(), m.end(), "der"))
-            elif ssh_fields(raw):
-                found.append((m.start(), m.end(), "ssh"))
-    for m in HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and der_nests(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "der"))
+        if not any(a <= m.start() < b for a, b in pem) and (kind := key_kind(from_base64(m[0]))):
+            found.append((m.start(), m.end(), kind))
+    for m in HEX_KEY.finditer(text):
+        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
+            found.append((m.start(), m.end(), kind))
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import json
 import math
@@ -79,6 +80,44 @@ def test_maximal_segments_are_those_of_the_definition():
         assert got == brute(x), x
 
 
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2)
+    return bytes([tag]) + n + body
+
+
+def field(raw):
+    return len(raw).to_bytes(4) + raw
+
+
+NUMBER = der(2, b"\x11" * 32)
+ED25519 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, b"\x07" * 32)))
+OPENSSH = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4) + field(field(b"ssh-ed25519") + field(b"\x07" * 32)) + field(b"\x01" * 136)
+
+
+def test_only_private_keys_are_secrets():
+    oid = der(0x30, der(6, bytes.fromhex("2a864886f70d010101")), b"\x05\0")
+    private = {
+        "der": [ED25519, der(0x30, der(2, b"\0"), *[NUMBER] * 8), der(0x30, der(2, b"\1"), der(4, b"\x09" * 32), der(0xA0, der(6, b"\x2b\x81\x04\0\x0a"))),
+                der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, NUMBER)), der(4, b"\x05" * 48))],
+        "ssh": [OPENSSH],
+    }
+    public = [der(0x30, oid, der(3, b"\0" + der(0x30, NUMBER, NUMBER))), der(0x30, NUMBER, NUMBER), der(0x30, der(0x30, der(0xA0, der(2, b"\2")), NUMBER, oid), oid, der(3, b"\0" * 40)), field(b"ssh-ed25519") + field(b"\x07" * 32)]
+    for kind, raws in private.items():
+        for raw in raws:
+            forms = [base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).rstrip(b"=").decode(), raw.hex().upper()]
+            for text in forms:
+                assert [s for s in secret_scan.spans_of(f"x {text} y") if s[2] == kind] == [(2, 2 + len(text), kind)], (kind, text)
+            assert not [s for s in secret_scan.spans_of(f"x {base64.b64encode(raw[:-1]).decode()} y") if s[2] in ("der", "ssh")]
+    for raw in public:
+        for label in ("CERTIFICATE", "PUBLIC KEY"):
+            text = f"-----BEGIN {label}-----\n{base64.b64encode(raw).decode()}\n-----END {label}----- and {base64.b64encode(raw).decode()}"
+            assert not [s for s in secret_scan.spans_of(text) if s[2] in ("der", "ssh")], label
+    old = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + base64.b64encode(b"\x5a" * 64).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert [s[2] for s in secret_scan.spans_of(old)] == ["der"]
+    assert secret_scan.spans_of("-----BEGIN A-----" + " " * 200_000) == []
+
+
 def test_secrets_match_the_base_rule_and_confirm_structures(spark, docs, rows):
     def base(text):
         found = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
@@ -91,10 +130,9 @@ def test_secrets_match_the_base_rule_and_confirm_structures(spark, docs, rows):
     assert collections.Counter((r["doc_id"], r["base_sha256"]) for r in secret_scan.scan(docs).collect()) == want
     b64 = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
     jwt = f"{b64(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{b64(json.dumps({'sub': '1'}).encode())}.abcDEF_123"
-    integer = b"\x02\x20" + b"\x11" * 32
-    der = base64.b64encode(b"\x30" + bytes([2 * len(integer)]) + integer * 2).decode()
-    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + b"\x07" * 32).decode()
-    spans = secret_scan.spans_of(f"é {jwt} and {der} and {ssh} but not {der[:-8]}AAAAAAAA")
+    der = base64.b64encode(ED25519).decode()
+    ssh = base64.b64encode(OPENSSH).decode()
+    spans = secret_scan.spans_of(f"é {jwt} and {der} and {ssh} but not {der[:-8]}")
     assert [s[2] for s in spans] == ["jwt", "der", "ssh"] and spans[0][:2] == (2, 2 + len(jwt))
     assert [s[2] for s in secret_scan.spans_of("token=secret=abc password : abcdefghijkl1234")] == ["assign"]
     assert secret_scan.redacted("a token=abcdef0123456789abcdef z", secret_scan.spans_of("a token=abcdef0123456789abcdef z")) == "a [assign] z"
@@ -110,10 +148,9 @@ def test_tokens_after_words_and_keys_with_escaped_lines_are_secrets():
         assert secret_scan.spans_of(token) == [(0, len(token), "jwt")]
     text = f"credentials.{plain} and elephants.credentials.{indented}."
     assert [(text[a:b], k) for a, b, k in secret_scan.spans_of(text)] == [(plain, "jwt"), (indented, "jwt")]
-    integer = b"\x02\x20" + b"\x11" * 32
-    der = base64.b64encode(b"\x30" + bytes([2 * len(integer)]) + integer * 2).decode()
+    der = base64.b64encode(ED25519).decode()
     for end in ("\n", "\\n", "\\r\\n"):
-        pem = end.join(["-----BEGIN PRIVATE KEY-----", der[:64], der[64:], "-----END PRIVATE KEY-----"])
+        pem = end.join(["-----BEGIN PRIVATE KEY-----", der[:40], der[40:], "-----END PRIVATE KEY-----"])
         assert secret_scan.spans_of(f'"{pem}{end}"') == [(1, 1 + len(pem), "der")]
 
 
@@ -261,7 +298,39 @@ def test_arc_versions_and_truncation():
         raw = "\n".join(warc.arc_lines(0, iter([(1, "http://a/", "one"), (2, "http://b/", "two\n\nlines")]), version)) + "\n"
         got = list(warc.arc_records(io.BufferedReader(io.BytesIO(raw.encode()))))
         assert [warc.http_parts(c)[1] for _, c in got[1:]] == [b"one", b"two\n\nlines"] and got[1][0]["URL"] == "http://a/"
-        assert len(list(warc.arc_records(io.BufferedReader(io.BytesIO(raw.encode()[:-8]))))) == 2
+        # the record that ends early counts as damaged
+        assert [bool(h) for h, _ in warc.arc_records(io.BufferedReader(io.BytesIO(raw.encode()[:-8])))] == [True, True, False]
+
+
+def test_foreign_arc_files_keep_every_readable_record(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    latin = http + "caf\xe9 ".encode("latin-1") * 5
+    about = b"1 0 elsewhere\nURL IP-address Archive-date Content-type Archive-length\n"
+    records = [
+        (b"http://a/ 10.0.0.1 20010101000000 text/html; charset=utf-8", http + b"first"),
+        (b"http://b/with space 10.0.0.2 20010102000000 text/html", latin),
+        (b"http://c/ 10.0.0.3 notadate text/html", latin),
+        (b"filedesc://in-the-middle 10.0.0.4 20010103000000 text/html", http + b"odd"),
+        (b"ftp://d/x 10.0.0.5 20010104000000 image/png", b"\x89PNG\0\xff" * 9),
+    ]
+    whole = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain %d\n%s\n" % (len(about), about) + b"".join(b"%s %d\n%s\n" % (head, len(body), body) for head, body in records)
+    broken = whole.replace(b"first\n", b"first and more than declared\nlines\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.arc").write_bytes(whole)
+    (tmp_path / "in/b.arc").write_bytes(broken)
+    warc.convert(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert warc.damaged(spark, f"{tmp_path}/in/a.arc") == 0 and warc.damaged(spark, f"{tmp_path}/in/b.arc") == 1
+    got = warc.read_warc(spark, f"{tmp_path}/out").collect()
+    digests = lambda raw: base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    want = collections.Counter({digests(b"first"): 2, digests(latin[len(http) :]): 4, digests(b"odd"): 2})
+    assert collections.Counter(r["payload_digest"] for r in got) == want
+    assert {r["payload_bytes"] for r in got if r["payload_digest"] == digests(latin[len(http) :])} == {len(latin) - len(http)}
+    assert sum(r["record_type"] == "response" for r in got) == 3
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "out").glob("*.gz"))
+    assert raw.count(latin) == 1 and b"WARC-IP-Address: 10.0.0.2" in raw and b"Content-Type: image/png" in raw and b"WARC-Date: 1970-01-01T00:00:00Z" in raw
+    ids = set(re.findall(rb"WARC-Record-ID: (\S+)", raw))
+    refers = re.findall(rb"WARC-Refers-To: (\S+)", raw)
+    assert len(refers) == 5 and set(refers) <= ids
 
 
 def test_repeats_are_those_of_all_windows(spark, docs, rows):
