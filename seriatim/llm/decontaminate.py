@@ -14,8 +14,11 @@ A retrieved item is verified on the whole text: the share of the 3-word sequence
 occur there must reach ``OVERLAP`` each. The answer is the item's last sentence, or its last third where it has one
 sentence, but 3 words at least, and so is the question. Items of fewer than 3 words are too short to tell and match nothing.
 
-The index is broadcast in shards of at most ``SHARD`` items, each ranked by its own statistics. Null or empty texts and items without
-words match nothing. Rows of documents keep their multiplicity; of items that share an id the best match counts.
+The index is broadcast in shards of about ``SHARD`` items. Document frequencies, the number of segments and their mean length are
+counted over all items, so scores do not depend on how the index is cut. Null or empty texts and items without
+words match nothing. Rows of documents keep their multiplicity; of items that share an id the best match counts, and equal items or
+texts match alike. Texts of any length are read whole, one at a time where they are long. An empty table on either side gives no match. Columns other
+than doc_id, text and item_id are not read, whatever their names; ``clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -91,28 +94,64 @@ class Index:
     block_posting: np.ndarray  # by block entry: its first posting, and one more
 
 
-def build(item_ids: list[int], texts: list[str | None]) -> Index | None:
-    """The index of test items; impacts are BM25 term scores over the segment's score against itself."""
+@dataclass
+class Statistics:
+    """What BM25 needs of all items: number and mean length of segments, and of each word (sorted hashes) how many hold it."""
+
+    segments: int
+    mean_length: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def segmented(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segments of each text, segment of each word): texts cut evenly into pieces of at most STRIDE words."""
+    n_words = np.diff(first)
+    n_pieces = -(-n_words // STRIDE)
+    within = np.arange(first[-1]) - np.repeat(first[:-1], n_words)
+    piece = within * np.repeat(n_pieces, n_words) // np.repeat(np.maximum(n_words, 1), n_words)
+    return n_pieces, np.repeat(np.cumsum(n_pieces) - n_pieces, n_words) + piece
+
+
+def statistics(items: DataFrame) -> Statistics:
+    """Over all items, added up in Spark. The words of the test items are what the indexes hold anyway."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            h, first = words(part.column("text"))
+            n_pieces, segment = segmented(first)
+            once = np.unique(np.stack([h, segment.astype(np.uint64)], axis=1), axis=0)[:, 0] if len(h) else h
+            keys, n = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.zeros(len(keys), np.int64))], names=["term", "n", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(n_pieces.sum())]), pa.array([len(h)])], names=["term", "n", "n_words"])
+
+    rows = mapped(items.select("text"), run, "term long, n long, n_words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_words").alias("n_words")).toArrow()
+    whole = {r["term"]: r for r in rows.filter(pc.is_null(rows.column("term"))).to_pylist()}.get(None, {"n": 0, "n_words": 0})
+    own = rows.filter(pc.is_valid(rows.column("term")))
+    terms = own.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    return Statistics(whole["n"], whole["n_words"] / max(whole["n"], 1), terms[order], own.column("n").to_numpy()[order])
+
+
+def build(item_ids: list[int], texts: list[str | None], known: Statistics | None = None) -> Index | None:
+    """The index of test items; impacts are BM25 term scores over the segment's score against itself. ``known``: statistics of more items than these."""
     h, first = words(pa.array(texts, pa.string()))
     n_words = np.diff(first)
     some = n_words > 0
     if not some.any():
         return None
     both = [parts(t or "", h[a:b]) for t, a, b in zip(texts, first[:-1], first[1:])]
-    # cut evenly: pieces of at most STRIDE words
-    n_pieces = -(-n_words // STRIDE)
-    within = np.arange(len(h)) - np.repeat(first[:-1], n_words)
-    piece = within * np.repeat(n_pieces, n_words) // np.repeat(np.maximum(n_words, 1), n_words)
+    n_pieces, segment_of = segmented(first)
     base = np.concatenate([[0], np.cumsum(n_pieces)])
-    segment_of = np.repeat(base[:-1], n_words) + piece
     n_segments = int(base[-1])
     length = np.bincount(segment_of, minlength=n_segments)
     terms, term_of = np.unique(h, return_inverse=True)
     posting, tf = np.unique(term_of.astype(np.int64) * n_segments + segment_of, return_counts=True)
     term, segment = posting // n_segments, posting % n_segments
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((n_segments - df + 0.5) / (df + 0.5))
-    score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[segment] / length.mean()))
+    known = known or Statistics(n_segments, length.mean(), terms, np.bincount(term, minlength=len(terms)))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log1p((known.segments - df + 0.5) / (df + 0.5))
+    score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[segment] / known.mean_length))
     own = np.bincount(segment, score, n_segments)
     impact = score / own[segment]
     at = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -212,9 +251,10 @@ def indexes(items: DataFrame) -> Iterator[Index]:
     """The index of each shard of (item_id, text)."""
     known = items.select("item_id", "text").where("item_id is not null and text is not null")
     shards = -(-known.count() // SHARD)
+    over_all = statistics(known) if shards else None
     for k in range(shards):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        index = build(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
+        index = build(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), over_all)
         if index is not None:
             yield index
 

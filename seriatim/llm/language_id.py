@@ -1,17 +1,19 @@
 """Language ID by n-gram filters with a bit for each language.
 
-Fitting counts the n-grams of each language on a bounded sample of labelled documents (``FIT_DOCS``, chosen by a
-hash of doc_id). An n-gram enters a language's filter when its share of that language's n-grams is at least
+Fitting counts the n-grams of each language on a bounded sample of labelled documents (``FIT_DOCS`` at least, shared out evenly
+over languages with ``LEAST_DOCS`` for each at least, so that rare ones are learned too; chosen by a hash of doc_id). An n-gram enters a language's filter when its share of that language's n-grams is at least
 ``MIN_SHARE`` and at least ``MIN_LIFT`` of its largest share in any language, so one language holds at most
 (orders / MIN_SHARE) n-grams and the broadcast filter is bounded whatever the input. The filter is bit-sliced: slot s
-holds a mask with one bit per language, and the AND of an n-gram's slots names all languages that hold it.
+holds a mask with one bit per language (several 64-bit words beyond 64 languages), and the AND of an n-gram's slots names all languages that hold it.
 
 Prediction looks up every n-gram of the whole text, counts set bits per language, takes off the hits that
 the filters' measured false-positive rates explain, and picks the largest corrected count; ties go to the
 language that sorts first. The score is the winner's share of all corrected counts.
 
 Text null, empty or without a letter: ``und``, score 0. With no labelled rows at all: ``und`` throughout. A text of which no
-n-gram is known takes the first language, score 0. Rows keep their multiplicity; null doc_id is kept and never learned from.
+n-gram is known takes the first language, score 0. Rows keep their multiplicity and equal texts get equal results; null doc_id
+is kept and never learned from. Texts of any length are read whole, one at a time where they are long; an empty table gives no rows. Columns other than
+doc_id, text and lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_mod, hashed_sample, mapped
+from ._spark import hash_mod, mapped
 from ._text import COUNT_BYTES, mixed, slices, summed
 
 ORDERS = (1, 2, 3, 4)
-FIT_DOCS = 12_000
+FIT_DOCS, LEAST_DOCS = 12_000, 100
 MIN_SHARE = 2e-5
 MIN_LIFT = 0.3
 #: A text is in no learned language where its share of known n-grams is below LEAST of this quantile of labelled texts.
@@ -86,18 +88,23 @@ def slot(h: np.ndarray, k: int, size: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """Bit-sliced Bloom filters: ``slots`` has one mask per slot, bit i for ``languages[i]``."""
+    """Bit-sliced Bloom filters: ``slots`` has one mask per word of 64 languages and slot, bit i % 64 of word i // 64 for ``languages[i]``."""
 
     languages: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        out = self.slots[slot(h, 0, len(self.slots))]
+        """Words x n-grams."""
+        size = self.slots.shape[1]
+        out = self.slots[:, slot(h, 0, size)]
         for k in range(1, HASHES):
-            out &= self.slots[slot(h, k, len(self.slots))]
+            out &= self.slots[:, slot(h, k, size)]
         return out
 
+    def held(self, masks: np.ndarray, i: int) -> np.ndarray:
+        return (masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(np.int64)
+
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(corrected hits per text and language, n-grams per text, letters per text)."""
         points, first, n_letters = codes(texts)
@@ -107,29 +114,39 @@ class Filters:
             mask = self.masks(h)
             total += np.diff(starts)
             for i in range(len(self.languages)):
-                hits[:, i] += summed((mask >> np.uint64(i) & np.uint64(1)).astype(np.int64), starts)
+                hits[:, i] += summed(self.held(mask, i), starts)
         corrected = (hits - total[:, None] * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
         return np.maximum(corrected, 0), total, n_letters
 
 
 def build(languages: list[str], members: list[np.ndarray]) -> Filters:
     """Filters with at least 16 slots for each member; the false-positive rate of each language is measured on random n-grams."""
-    if len(languages) > 64:
-        raise ValueError("64 languages at most fit one mask")
     size = 1 << max(10, int(16 * max(1, sum(map(len, members)))).bit_length())
-    out = Filters(languages, np.zeros(size, np.uint64), np.zeros(len(languages)))
+    out = Filters(languages, np.zeros((-(-len(languages) // 64), size), np.uint64), np.zeros(len(languages)))
     for i, h in enumerate(members):
         for k in range(HASHES):
-            out.slots[np.unique(slot(h, k, size))] |= np.uint64(1 << i)
+            out.slots[i // 64, np.unique(slot(h, k, size))] |= np.uint64(1 << i % 64)
     probe = out.masks(np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, 200_000, dtype=np.uint64))
-    out.false_rate = np.array([(probe >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))])
+    out.false_rate = np.array([out.held(probe, i).mean() for i in range(len(languages))])
     return out
 
 
 def labelled(docs: DataFrame, bound: int) -> DataFrame:
-    """lang and text of the learning fold, or of about ``bound`` of its rows."""
+    """lang and text of the learning fold, or of about ``bound`` of its rows: an equal number of each language, or all it has; LEAST_DOCS for each at least."""
     pool = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_mod(F.col("doc_id"), 3) != 1))
-    return hashed_sample(pool.select("lang", "text", "doc_id"), bound, F.col("doc_id")).select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    share, left, names = bound, bound, sorted(sizes, key=lambda x: sizes[x])
+    for k, x in enumerate(names):  # what small languages leave goes to larger ones
+        share = max(LEAST_DOCS, left // (len(names) - k))
+        if sizes[x] > share:
+            break
+        left -= sizes[x]
+    spaces = 1 << 20
+    chosen = F.lit(False)
+    rates = {x: spaces if n <= share else int(spaces * share / n) for x, n in sizes.items()}
+    if rates:
+        chosen = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(spaces)) < F.create_map(*(F.lit(y) for pair in rates.items() for y in pair))[F.col("lang")]
+    return pool.where(chosen).select("lang", "text")
 
 
 def fit(docs: DataFrame, bound: int = FIT_DOCS) -> Filters | None:
