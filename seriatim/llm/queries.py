@@ -53,7 +53,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash": r"""
+        with recursive w as (
+          select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+        s as (select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 2 then [words[1]] else list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) end) as shingle from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+        e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 80 * (a.n + b.n - common)),
+        r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, case when e.x = r.reach then e.y else e.x end from r join e on r.reach in (e.x, e.y)),
+        c as (select doc_id, min(reach) as component_id from r group by doc_id)
+        select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+        from documents d join c using (doc_id) left join n using (doc_id)
+    """,
+    "op8_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as h from p),
+        t as (select *, max(page_id) over (partition by h) as top from d)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((cast('0x' || substr(h, cast(5 * (i // 4) + 1 as integer), 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31), 1)), '') as payload_digest,
+          case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+        from t
+    """,
     "op10_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
                    from embeddings where vec_id is not null and embedding is not null
