@@ -19,7 +19,6 @@ from .sources import views
 Query = Callable[[SparkSession, str], DataFrame]
 POINTS = {"ev": views.event_points, "types": views.event_type_points, "bars": views.bar_points, "emb": views.embedding_points}
 WIDE = Config(coverage_threshold=9.0)
-ALL = Config(distance_rows=None, pattern_rows=None)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,23 +64,23 @@ def ohlcv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def static_series_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as static conditions beside the length and first value of their order series."""
     static = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("series"), "c_mktsegment", "c_acctbal")
-    orders = views.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("series")).agg(F.count(F.lit(1)).alias("n"), F.min_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("first_value"))
+    orders = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("series")).agg(F.count(F.lit(1)).alias("n"), F.min_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("first_value"))
     return rounded(static.join(orders, "series"))
 
 
 def static_missing_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without a series: their ids are what a load warns about."""
+    """Customers without a series of events: their ids are what a load warns about."""
     static = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("series"), "c_mktsegment")
-    orders = views.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("series"))
-    return static.join(orders, "series", "left_anti")
+    events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("series"))
+    return static.join(events, "series", "left_anti")
 
 
 QUERIES |= {"ohlcv_bars": ohlcv_bars, "static_series_join": static_series_join, "static_missing_series": static_missing_series}
 ORACLE_SQL |= {
     "ohlcv_bars": "with " + sql.BARS_WIDE + ' select variant, series, t, round("Open", 6) as "Open", round("High", 6) as "High", round("Low", 6) as "Low", round("Close", 6) as "Close", round("Volume", 6) as "Volume" from bars',
     "static_series_join": """select c_custkey as series, c_mktsegment, round(c_acctbal, 6) as c_acctbal, n, round(first_value, 6) as first_value from customer
-      join (select o_custkey, count(*) as n, arg_min(o_totalprice, (o_orderdate, o_orderkey)) as first_value from orders where o_orderstatus = 'F' group by o_custkey) on c_custkey = o_custkey""",
-    "static_missing_series": "select c_custkey as series, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)",
+      join (select o_custkey, count(*) as n, arg_min(o_totalprice, (o_orderdate, o_orderkey)) as first_value from orders group by o_custkey) on c_custkey = o_custkey""",
+    "static_missing_series": "select c_custkey as series, c_mktsegment from customer where c_custkey not in (select user_id from events)",
 }
 
 # fidelity
@@ -127,18 +126,14 @@ register("reidentification", "emb", privacy.re_identification, sql.query("emb",
          select="select 1.0::double as reidentification_risk, round(avg(case when n >= 5 then 1.0 else 0.0 end), 6) as k_anonymity_score from (select series, count(distinct round(d, 4)) as n from k group by series)"))
 register("dp_epsilon", "ev", privacy.differential_privacy, sql.query("ev", sql.M2, sql.STATS2, select="""select round(coalesce(least(e, 100.0), 100.0), 6) as dp_epsilon_estimate, round(coalesce(1 / (1 + e), 0.0), 6) as dp_privacy_score from (
   select case when max(abs(mean_o - mean_s)) = 0 then 0.1 else max(abs(mean_o - mean_s)) / nullif(stddev_pop(sd_o - sd_s), 0) end as e from s2)"""))
-register("distance_privacy", "emb", privacy.distance_privacy, sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "nd as (select series, min(d) as d from dd where series in (select series from vec where variant = 's' order by ord limit 100) group by series)",
-         select="select round(greatest(0.2, least(0.9, 0.2 + 0.7 / (1 + exp(-2 * (avg(d) / (quantile_cont(d, 0.75) + 1e-6) - 0.5))))), 6) as distance_privacy from nd"))
-register("pattern_uniqueness", "emb", privacy.pattern_uniqueness, sql.query("emb", sql.M2, sql.RANKED.format(m="m"), f"pv as (select {sql.side('stddev_pop', 'o', 'v')} as o, {sql.side('stddev_pop', 's', 'v')} as s from (select variant, series, var_pop(value) as v from m group by variant, series))",
-         "few as (select ord from (select distinct ord from rk where variant = 's') order by (ord * 7919) % 10007, ord limit 50)",
-         f"pr as (select a.ord as a, b.ord as b, {sql.corr('a.value', 'b.value')} as r from rk a join rk b on a.f = b.f and a.variant = 's' and b.variant = 's' and a.ord < b.ord where a.ord in (select ord from few) and b.ord in (select ord from few) group by a.ord, b.ord)",
-         select="select round(pd, 6) as pattern_diversity, round(greatest(0.2, least(0.9, 0.2 + 0.7 * tanh(0.4 * least(s / (o + 1e-6), 2.0) + 0.6 * pd))), 6) as pattern_uniqueness from pv, (select coalesce(greatest(0.1, 1 - avg(abs(r))), 0.5) as pd from pr)"))
-# the two above over every synthetic row
-register("distance_privacy_all", "emb", lambda p: privacy.distance_privacy(p, ALL), sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "nd as (select series, min(d) as d from dd group by series)",
-         select="select round(greatest(0.2, least(0.9, 0.2 + 0.7 / (1 + exp(-2 * (avg(d) / (quantile_cont(d, 0.75) + 1e-6) - 0.5))))), 6) as distance_privacy from nd"))
-register("pattern_uniqueness_all", "emb", lambda p: privacy.pattern_uniqueness(p, ALL), sql.query("emb", sql.M2, f"pv as (select {sql.side('stddev_pop', 'o', 'v')} as o, {sql.side('stddev_pop', 's', 'v')} as s from (select variant, series, var_pop(value) as v from m group by variant, series))",
-         f"pr as (select a.ord as a, b.ord as b, {sql.corr('a.value', 'b.value')} as r from m a join m b on a.f = b.f and a.variant = 's' and b.variant = 's' and a.ord < b.ord group by a.ord, b.ord)",
-         select="select round(pd, 6) as pattern_diversity, round(greatest(0.2, least(0.9, 0.2 + 0.7 * tanh(0.4 * least(s / (o + 1e-6), 2.0) + 0.6 * pd))), 6) as pattern_uniqueness from pv, (select coalesce(greatest(0.1, 1 - avg(abs(r))), 0.5) as pd from pr)"))
+# over every synthetic row; the names with _all stay for those who used them beside capped versions
+for name in ("distance_privacy", "distance_privacy_all"):
+    register(name, "emb", privacy.distance_privacy, sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "nd as (select series, min(d) as d from dd group by series)",
+             select="select round(greatest(0.2, least(0.9, 0.2 + 0.7 / (1 + exp(-2 * (avg(d) / (quantile_cont(d, 0.75) + 1e-6) - 0.5))))), 6) as distance_privacy from nd"))
+for name in ("pattern_uniqueness", "pattern_uniqueness_all"):
+    register(name, "emb", privacy.pattern_uniqueness, sql.query("emb", sql.M2, f"pv as (select {sql.side('stddev_pop', 'o', 'v')} as o, {sql.side('stddev_pop', 's', 'v')} as s from (select variant, series, var_pop(value) as v from m group by variant, series))",
+             f"pr as (select a.ord as a, b.ord as b, {sql.corr('a.value', 'b.value')} as r from m a join m b on a.f = b.f and a.variant = 's' and b.variant = 's' and a.ord < b.ord group by a.ord, b.ord)",
+             select="select round(pd, 6) as pattern_diversity, round(greatest(0.2, least(0.9, 0.2 + 0.7 * tanh(0.4 * least(s / (o + 1e-6), 2.0) + 0.6 * pd))), 6) as pattern_uniqueness from pv, (select coalesce(greatest(0.1, 1 - avg(abs(r))), 0.5) as pd from pr)"))
 register("kl_privacy", "ev", privacy.kl_privacy, sql.query("ev", sql.M2, sql.KL, select=f"select {sql.rounded('mean_kl', 'kl_privacy')} from klp"))
 register("moment_privacy", "ev", privacy.moment_privacy, sql.query("ev", sql.M2, sql.MOMP, select=f"select {sql.rounded('moment_privacy')} from mp"))
 register("distributional_privacy", "ev", lambda p: privacy.distributional_privacy(p).select("distributional_privacy"), sql.query("ev", sql.M2, sql.KL, sql.MOMP, select="select round(greatest(0.2, least(0.9, 0.6 * kl_privacy + 0.4 * moment_privacy)), 6) as distributional_privacy from klp, mp"))

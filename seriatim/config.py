@@ -19,8 +19,8 @@ class Config:
     components: int = 10
     rare_share: float = 0.1
     neighbours: int = 5
-    pattern_rows: int | None = 50
-    distance_rows: int | None = 100
+    pattern_rows: int | None = None
+    distance_rows: int | None = None
     trees: int = 50
     depth: int = 10
     seed: int = 42

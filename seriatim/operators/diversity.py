@@ -57,7 +57,7 @@ def entropies(values: DataFrame, keys: Sequence[str], bins: int = DEFAULT.entrop
     flat = F.col("lo") == F.col("hi")
     ranges = ranges.select(*keys, "n", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     # a row for each key and variant
-    counts = values.where(F.col("value").isNotNull()).join(F.broadcast(ranges), keys).withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins)).groupBy(*keys, "n", "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("c"))
+    counts = values.where(F.col("value").isNotNull()).join(ranges, keys).withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins)).groupBy(*keys, "n", "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("c"))
     width = (F.col("hi") - F.col("lo")) / bins
     total = 1 / width + bins * 1e-10
     p, empty = (F.col("c") / (F.col("n") * width) + 1e-10) / total, 1e-10 / total

@@ -21,7 +21,7 @@ def steps(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     sizes = values.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(of(ORIGINAL, F.col("value"))).alias("size_o"), F.count(of(SYNTHETIC, F.col("value"))).alias("size_s"))
     # a row for each key (feature or column)
-    placed = values.join(F.broadcast(sizes), keys).withColumn("range", bin_of(F.col("value"), F.col("lo"), F.col("hi"), RANGES))
+    placed = values.join(sizes, keys).withColumn("range", bin_of(F.col("value"), F.col("lo"), F.col("hi"), RANGES))
     counts = placed.where(F.col("value").isNotNull()).groupBy(*keys, "range", "value", "size_o", "size_s").agg(F.count(of(ORIGINAL, F.lit(1))).alias("n_o"), F.count(of(SYNTHETIC, F.lit(1))).alias("n_s"))
     over = Window.partitionBy(*keys).orderBy("range")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -29,7 +29,7 @@ def steps(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     base = ranges.select(*keys, "range", F.coalesce(F.sum("all_o").over(before), F.lit(0)).alias("base_o"), F.coalesce(F.sum("all_s").over(before), F.lit(0)).alias("base_s"), F.lead("first").over(over).alias("next"))
     inside = Window.partitionBy(*keys, "range").orderBy("value")
     # RANGES rows for each key
-    joined = counts.join(F.broadcast(base), [*keys, "range"])
+    joined = counts.join(base, [*keys, "range"])
     cdf = [((F.sum(f"n_{x}").over(inside) + F.col(f"base_{x}")) / F.col(f"size_{x}")).alias(f"cdf_{x}") for x in (ORIGINAL, SYNTHETIC)]
     return joined.where("size_o > 0 and size_s > 0").select(*keys, "value", *cdf, (F.coalesce(F.lead("value").over(inside), F.col("next")) - F.col("value")).alias("gap"))
 

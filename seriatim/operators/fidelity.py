@@ -24,7 +24,7 @@ def histogram_distances(matrix: DataFrame, bins: int = DEFAULT.histogram_bins) -
     """Per feature: L1 distance of the two sides' histograms on their common range. Scaling a feature leaves it unchanged."""
     sides = matrix.where(F.col("value").isNotNull()).groupBy("f").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(of(ORIGINAL, F.lit(1))).alias("size_o"), F.count(of(SYNTHETIC, F.lit(1))).alias("size_s"))
     # a row for each feature
-    binned = matrix.join(F.broadcast(sides.where("size_o > 0 and size_s > 0")), "f").withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    binned = matrix.join(sides.where("size_o > 0 and size_s > 0"), "f").withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins))
     counts = binned.groupBy("f", "size_o", "size_s", "lo", "hi", "bin").agg(F.count(of(ORIGINAL, F.col("value"))).alias("n_o"), F.count(of(SYNTHETIC, F.col("value"))).alias("n_s"))
     return counts.groupBy("f").agg(F.sum(F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.abs(F.col("n_o") / F.col("size_o") - F.col("n_s") / F.col("size_s")))).alias("score"))
 

@@ -38,7 +38,7 @@ def attribute_disclosure(points: DataFrame, config: Config = DEFAULT, raw: bool
     counts = m.where(F.col("value").isNotNull()).groupBy("f", "value").agg(*(F.count(of(x, F.lit(1))).alias(f"n_{x}") for x in SIDES))
     sizes = counts.groupBy("f").agg(F.sum("n_o").alias("size_o"))
     # a row for each feature
-    rare = counts.join(F.broadcast(sizes), "f").where((F.col("n_o") > 0) & (F.col("n_o") / F.col("size_o") <= config.rare_share))
+    rare = counts.join(sizes, "f").where((F.col("n_o") > 0) & (F.col("n_o") / F.col("size_o") <= config.rare_share))
     risk = rare.groupBy("f").agg(F.avg((F.col("n_s") > 0).cast("double")).alias("risk"))
     per = sizes.join(risk, "f", "left").select("f", F.coalesce("risk", F.lit(0.0)).alias("risk"))
     return per.agg(F.coalesce(F.avg("risk"), F.lit(0.0)).alias("adr_mean"), F.coalesce(F.max("risk"), F.lit(0.0)).alias("adr_max"), F.coalesce(F.avg("risk"), F.lit(0.0)).alias("adr_risk_score"))
@@ -92,7 +92,7 @@ def kl_privacy(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     bins = config.overlap_edges - 1
     ranges = m.groupBy("f").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *(F.count(of(x, F.col("value"))).alias(f"size_{x}") for x in SIDES)).where("size_o > 10 and size_s > 10 and hi > lo")
     # a row for each feature
-    counts = m.join(F.broadcast(ranges), "f").withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins)).groupBy("f", "lo", "hi", "size_o", "size_s", "bin").agg(*(F.count(of(x, F.col("value"))).alias(f"n_{x}") for x in SIDES))
+    counts = m.join(ranges, "f").withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins)).groupBy("f", "lo", "hi", "size_o", "size_s", "bin").agg(*(F.count(of(x, F.col("value"))).alias(f"n_{x}") for x in SIDES))
     width = (F.col("hi") - F.col("lo")) / bins
     total = 1 / width + bins * 1e-8
     p, q = ((F.col(f"n_{x}") / (F.col(f"size_{x}") * width) + 1e-8) / total for x in (SYNTHETIC, ORIGINAL))

@@ -81,7 +81,7 @@ def standardized(matrix: DataFrame, fit_on: Column | None = None) -> DataFrame:
     """
     rows = F.col("variant") == ORIGINAL if fit_on is None else fit_on
     stats = matrix.where(rows).groupBy("f").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    return matrix.join(F.broadcast(stats), "f").withColumn("value", (F.col("value") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).drop("mean", "sd")
+    return matrix.join(stats, "f").withColumn("value", (F.col("value") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).drop("mean", "sd")
 
 
 def vectors(matrix: DataFrame) -> DataFrame:

@@ -1,55 +1,79 @@
 """Reading and writing collections of series kept as CSV files, one file for each series, and result tables.
 
-Layout: <root>/<generation type>/<variant>/**/<name with the id>.csv, the rows in order of time. Rows of a file get their
-place from Spark's file metadata and the row's position in the file's text.
+Layout: <root>/<generation type>/<variant>/**/<name with the id>.csv, the rows in order of time, with a static.csv of conditions
+beside them where there is one. Spark's CSV source reads the files, each as one piece since a series is small; rows get their place
+from the order in which it hands them over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .views import numbered
 
-#: How file names hold the id of a series.
-NAME_WITH_ID = r"(?:series_|sample_)?0*([0-9]+)\.csv$"
+#: How file names hold the id of a series, the table of conditions, and cells that stand for a missing number.
+NAME_WITH_ID = r"^(?:series_|sample_)?0*([0-9]+)$"
+STATIC = "static.csv"
+MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "<NA>")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, t, line) of every CSV file below ``path``; t is -1 for the header. A file is one row of the text source, as a series is small."""
-    whole = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
-    split = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("at", "line"))
-    return split.select("file", (F.col("at") - 1).alias("t"), "line")
+def csv_options(path_glob: str = "*.csv") -> dict[str, object]:
+    return {"recursiveFileLookup": True, "pathGlobFilter": path_glob}
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """(file, series, t, column, col_ord, value) of the numeric cells; other columns are left out, empty cells are NULL."""
-    text = lines(spark, path)
-    cells = text.select("file", "t", F.posexplode(F.split("line", ",")).alias("col_ord", "cell"))
-    header = cells.where("t < 0").select("file", "col_ord", F.trim("cell").alias("column"))
-    body = cells.where("t >= 0").select("file", "t", "col_ord", F.expr("try_cast(trim(cell) as double)").alias("value"), (F.length(F.trim("cell")) > 0).alias("filled"))
+def stem(file: Column) -> Column:
+    """A file's name without its folder and ending, percent signs resolved."""
+    return F.url_decode(F.regexp_replace(F.regexp_extract(file, r"([^/]+)\.csv$", 1), r"\+", "%2B"))
+
+
+def read_series(spark: SparkSession, path: str, stems: bool = False) -> DataFrame:
+    """(file, series, t, column, col_ord, value) of the numeric cells; other columns are left out, missing cells are NULL.
+
+    series is the number in the file's name, and files without one are left out; with ``stems`` it is the name itself, as text. A file
+    without rows below its header gives nothing. Of columns that share a name in a file, each keeps its own col_ord.
+    """
+    # no line has more cells than commas, and one more
+    commas = spark.read.options(**csv_options()).text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","))))).first()[0] or 0
+    cells = [f"c{k}" for k in range(commas + 1)]
+    rows = spark.read.schema(", ".join(f"{c} string" for c in cells)).options(**csv_options(), multiLine=True, escape='"').csv(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.array(*cells).alias("cells")).where(stem(F.col("file")) != STATIC.removesuffix(".csv"))
+    t = F.row_number().over(Window.partitionBy("file").orderBy("place")) - 2
+    long_ = rows.withColumn("t", t).select("file", "t", F.posexplode("cells").alias("col_ord", "cell")).withColumn("cell", F.trim("cell"))
+    known = F.col("cell").isNotNull() & ~F.col("cell").isin(*MISSING)
+    long_ = long_.withColumn("value", F.when(known, F.expr("try_cast(cell as double)")))
+    of_column = Window.partitionBy("file", "col_ord")
+    named = long_.withColumn("column", F.max(F.when(F.col("t") < 0, F.col("cell"))).over(of_column))
     # a column that holds text is no measure
-    numeric = body.groupBy("file", "col_ord").agg(F.max((F.col("filled") & F.col("value").isNull()).cast("int")).alias("text")).where("text = 0").select("file", "col_ord")
-    named = body.join(header, ["file", "col_ord"]).join(numeric, ["file", "col_ord"])
-    series = F.regexp_extract("file", NAME_WITH_ID, 1).cast("long")
-    return named.select("file", series.alias("series"), "t", "column", "col_ord", F.when(F.isnan("value"), None).otherwise(F.col("value")).alias("value")).where("series is not null")
+    named = named.withColumn("text", F.max((known & F.col("value").isNull() & (F.col("t") >= 0)).cast("int")).over(of_column))
+    series = stem(F.col("file")) if stems else F.expr("try_cast(series as long)")
+    body = named.where("t >= 0 and text = 0 and column is not null").withColumn("series", F.regexp_extract(stem(F.col("file")), NAME_WITH_ID, 1))
+    return body.select("file", series.alias("series"), "t", "column", "col_ord", F.when(F.isnan("value"), None).otherwise(F.col("value")).alias("value")).where("series is not null")
 
 
 def variants(spark: SparkSession, path: str) -> DataFrame:
-    """Variants below a generation type's folder, sorted, with their number of files."""
-    relative = F.regexp_extract(F.col("file"), r"([^/]+)/(?:time_series/|ts/)?[^/]+\.csv$", 1)
-    return lines(spark, path).where("t < 0").groupBy(relative.alias("variant")).agg(F.count(F.lit(1)).alias("files")).orderBy("variant")
+    """Variants below a generation type's folder, sorted, with their number of series files."""
+    files = spark.read.format("binaryFile").options(**csv_options()).load(path).select("path").where(~F.col("path").endswith(f"/{STATIC}"))
+    relative = F.regexp_extract(F.col("path"), r"([^/]+)/(?:time_series/|ts/)?[^/]+\.csv$", 1)
+    return files.groupBy(relative.alias("variant")).agg(F.count(F.lit(1)).alias("files")).orderBy("variant")
 
 
-def load_pair(spark: SparkSession, original: str, synthetic: str) -> DataFrame:
-    """points of an original and a synthetic folder."""
-    sides = [read_series(spark, path).withColumn("variant", F.lit(variant)).drop("file") for variant, path in (("o", original), ("s", synthetic))]
+def load_pair(spark: SparkSession, original: str, synthetic: str, stems: bool = False) -> DataFrame:
+    """points of an original and a synthetic folder; ``stems`` as in ``read_series``, for series without ids."""
+    sides = [read_series(spark, path, stems).withColumn("variant", F.lit(variant)).drop("file") for variant, path in (("o", original), ("s", synthetic))]
     return numbered(sides[0].unionByName(sides[1]))
 
 
+def summary(points: DataFrame) -> DataFrame:
+    """Per variant: number of series, rows, numeric columns, and the shortest, mean and longest series."""
+    per = points.groupBy("variant", "series").agg((F.max("t") + 1).alias("rows"))
+    columns = points.groupBy("variant").agg(F.count_distinct("column").alias("columns"))
+    return per.groupBy("variant").agg(F.count(F.lit(1)).alias("series"), F.sum("rows").alias("rows"), F.min("rows").alias("min_length"), F.avg("rows").alias("avg_length"), F.max("rows").alias("max_length")).join(columns, "variant")
+
+
 def read_static(spark: SparkSession, path: str) -> DataFrame:
     """The static conditions, with .id as series."""
-    return spark.read.csv(path, header=True).withColumnRenamed(".id", "series").withColumn("series", F.col("series").cast("double").cast("long"))
+    return spark.read.csv(path, header=True).withColumnRenamed(".id", "series").withColumn("series", F.expr("cast(try_cast(series as double) as long)"))
 
 
 def missing_series(static: DataFrame, points: DataFrame) -> DataFrame:

@@ -53,6 +53,32 @@ def test_tree_reader(spark, tmp_path):
     assert {tuple(r) for r in tree.structure(p).collect()} == {("o", 2, 3.0), ("s", 2, 3.0)}
 
 
+def test_tree_reader_takes_the_documented_layout(spark, tmp_path):
+    for folder in ("conditional/original/time_series", "conditional/tsv1/time_series", "unconditional/original", "unconditional/tsv2/ts"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "conditional/original/static.csv").write_text(".id,kind\n3,a\n4.0,b\n")
+    (tmp_path / "conditional/original/time_series/series_003.csv").write_text('"a,b",c\n1.0,"2"\nNaN,4e1\n')
+    (tmp_path / "conditional/tsv1/time_series/sample_3.csv").write_text('"a,b",c,d\n1.5,NA,x\n2.5,,y\n')
+    (tmp_path / "unconditional/original/ibm us.csv").write_text("Open\n1\n2\n")
+    (tmp_path / "unconditional/tsv2/ts/7.csv").write_text("Open\n3\n")
+    p = tree.load_pair(spark, f"{tmp_path}/conditional/original", f"{tmp_path}/conditional/tsv1")
+    got = {(r["variant"], r["series"], r["t"], r["column"]): r["value"] for r in p.collect()}
+    assert got == {("o", 3, 0, "a,b"): 1.0, ("o", 3, 1, "a,b"): None, ("o", 3, 0, "c"): 2.0, ("o", 3, 1, "c"): 40.0, ("s", 3, 0, "a,b"): 1.5, ("s", 3, 1, "a,b"): 2.5, ("s", 3, 0, "c"): None, ("s", 3, 1, "c"): None}
+    static = tree.read_static(spark, f"{tmp_path}/conditional/original/static.csv")
+    assert [r["series"] for r in tree.missing_series(static, p).collect()] == [4]
+    words = tree.load_pair(spark, f"{tmp_path}/unconditional/original", f"{tmp_path}/unconditional/tsv2", stems=True)
+    assert {(r["variant"], r["series"], r["value"]) for r in words.collect()} == {("o", "ibm us", 1.0), ("o", "ibm us", 2.0), ("s", "7", 3.0)}
+    assert {tuple(r) for r in tree.summary(words).collect()} == {("o", 1, 2, 2, 2.0, 2, 1), ("s", 1, 1, 1, 1.0, 1, 1)}
+    assert [tuple(r) for r in tree.variants(spark, f"{tmp_path}/conditional").collect()] == [("original", 1), ("tsv1", 1)]
+
+
+def test_newest_results_come_last(spark, tmp_path):
+    for name in ("results_20240101", "results_20240301", "results_20240201"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.json").write_text("{}")
+    assert tree.newest(spark, str(tmp_path)).endswith("results_20240301")
+
+
 def test_results_round_trip(spark, tmp_path):
     metrics = spark.createDataFrame([("conditional", "x", "synthetic", "fidelity", None, "overall_fidelity_score", 0.5)], "gen_type string, variant string, variant_type string, dimension string, column string, metric string, value double")
     tree.save_results(metrics, f"{tmp_path}/results_20240101")
