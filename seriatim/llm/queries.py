@@ -57,7 +57,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=400)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=400).withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
