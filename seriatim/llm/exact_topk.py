@@ -14,6 +14,7 @@ Vectors that are null, or hold a null or non-finite component, and rows with a n
 vectors of their own dimension. Rows that repeat an id are candidates each, but not for queries with that id. Fewer
 than k candidates: all. Integers are exact in float64 up to 2**53; a cell that could pass this uses Python's integers, and scores
 beyond 64 bits are clipped to the end of the range.
+An empty table gives no rows. Columns other than the two named are not read, whatever their names; ids are cast to 64-bit integers.
 """
 
 from __future__ import annotations

@@ -26,6 +26,8 @@ Confirmation compares 64-bit shingle hashes of whole texts.
 Null or empty text: no shingles, linked with nothing. Fewer words than ``width``: the whole sequence as one shingle. Rows that
 repeat a doc_id count as one node where their sets are equal, and are linked where not. A null doc_id gets
 component_id null and kept false, and links nothing. Equal rows all carry the same result.
+Texts of any length are taken whole, and a longer one stands alone in memory; an empty table gives no rows. Columns other than doc_id and text are
+not read, whatever their names, and ``keep_one`` passes them through. Ids are cast to 64-bit integers: ids that are no numbers fail.
 """
 
 from __future__ import annotations

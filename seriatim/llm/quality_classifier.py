@@ -11,7 +11,8 @@ probabilities.
 Sizes: the word vectors are BUCKETS x DIMS whatever the input; each task sends at most BUCKETS rows to their sum.
 Null or empty text has zero features and still gets a score. Without any usable label every score is the prior 0.5.
 Rows keep their multiplicity; a null doc_id is scored, held_out null, and never learned from. A doc_id with several label
-rows counts once, with the largest label.
+rows counts once, with the largest label. A text of any length is taken whole, one at a time where it is long; equal texts get equal scores;
+an empty table gives no rows. Columns other than doc_id, text and quality are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ of a segment exactly one edge fits, so the relaxation needs no choice.
 
 Characters that no piece has become byte pieces. Null text: null ids and null decoded text; empty text: no ids. Rows
 keep their multiplicity and stand alone, so skew does not arise. U+2581 in a text decodes as a space, as in the library.
+A text of any length is taken whole; one without spaces is a single segment, relaxed one position at a time. Equal texts get equal ids; an empty table
+gives no rows. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,6 +23,8 @@ opened. Hot passages become one row for each distinct outer string before anythi
 
 Null text counts as empty. Texts shorter than WIDTH lose nothing. Rows are judged on the input as given: equal rows repeat
 each other, also with one doc_id, and a null doc_id is an ordinary one.
+A text of any length is taken whole, and a longer one stands alone in memory; an empty table gives no rows. Columns other than doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ At most ``FIT_DOCS`` labelled rows outside the held-out fold are used, by a hash
 broadcast table. Null or empty text scores as evidence 0. Without labels of both kinds every score is 0. Rows keep their
 multiplicity; a null doc_id is scored, held_out null, and never learned from; a doc_id with several label rows counts
 once, with the largest label.
+A text of any length is scanned whole, one at a time where it is long; equal texts get equal scores; an empty table gives no rows. Columns other than
+doc_id, text and toxic are not read, whatever their names.
 """
 
 from __future__ import annotations
