@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, clipped, of, pearson, ratio
 from .diversity import by_side, steps_across
-from .fidelity import pooled, side_by_side
+from .fidelity import side_by_side
 from .shape import SERIES, padded, vectors, without
 
 SIDES = (ORIGINAL, SYNTHETIC)
@@ -164,7 +164,7 @@ def discriminative_similarity(points: DataFrame, config: Config = DEFAULT) -> Da
 
 def column_utility(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Per column of either side: overall_utility_score, correlation_preservation (lag-1 or distributional predictability), distribution_similarity."""
-    values = pooled(points)
+    values = without(points).where(F.col("value").isNotNull())
     per = two_sided(values, ["column"])
     held = contexts(values).groupBy("column").agg(*(F.count(of(x, F.lit(1))).alias(f"held_{x}") for x in SIDES))
     names = without(points).select("column").distinct()
