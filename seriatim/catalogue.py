@@ -7,8 +7,9 @@ another order agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles as sql
@@ -17,7 +18,7 @@ from .operators import diversity, ecdf, fidelity, models, privacy, scoring, shap
 from .sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
-POINTS = {"ev": views.event_points, "types": views.event_type_points, "bars": views.bar_points, "emb": views.embedding_points}
+POINTS = {"ev": views.event_points, "types": views.event_type_points, "bars": views.bar_points, "emb": views.embedding_points, "halves": views.half_points}
 WIDE = Config(coverage_threshold=9.0)
 
 QUERIES: dict[str, Query] = {}
@@ -56,6 +57,15 @@ register("lagged_pairs", "ev", lambda p: shape.lagged(p, 2).select("variant", "s
            select *, lag(value, 2) over w as x0, lag(value, 1) over w as x1 from points window w as (partition by variant, series, "column" order by t)) where t >= 2"""))
 register("scaled_matrix", "ev", lambda p: cells(shape.standardized(shape.overlap(p))), sql.query("ev", sql.M1, sql.SCALED, select="select variant, series, f, round(value, 6) as value from scaled"))
 
+register("union_scaled_matrix", "ev", lambda p: cells(shape.standardized(shape.overlap(p), F.lit(True))), sql.query("ev", sql.M1,
+         select="select variant, series, f, round((value - avg(value) over w) / case when stddev_pop(value) over w = 0 then 1 else stddev_pop(value) over w end, 6) as value from m window w as (partition by f)"))
+for view in ("ev", "halves"):
+    suffix = "" if view == "ev" else "_shared"
+    register(f"series_overlay{suffix}", view, shape.overlay, sql.query(view, "lengths as (select variant, series, max(t) + 1 as rows from points group by all)",
+             "picked as (select variant, coalesce((select min(series) from (select series from lengths group by series having count(*) = (select count(distinct variant) from lengths))), min(series)) as series from lengths group by variant)",
+             "drawn as (select min(rows) - 1 as overlap_end from lengths join picked using (variant, series))",
+             select='select variant, series, "column", t, round(value, 6) as value, overlap_end, t <= overlap_end as within from points join picked using (variant, series), drawn where lower("column") <> \'openint\''))
+
 
 def ohlcv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(views.monthly_bars(spark, sf_dir).drop("OpenInt"))
@@ -84,6 +94,7 @@ ORACLE_SQL |= {
 }
 
 # fidelity
+register("column_fidelity_shared", "halves", fidelity.column_fidelity, sql.query("halves", sql.COLFID, select='select "column", round(0.6 * mdd + 0.4 * moment_similarity, 6) as column_fidelity_score, round(mdd, 6) as mdd, round(moment_similarity, 6) as moment_similarity from cf'))
 for view in ("ev", "bars"):
     suffix = "" if view == "ev" else "_bars"
     register(f"mdd{suffix}", view, fidelity.marginal_distribution_difference, sql.query(view, sql.M1, sql.MDD, select=sql.summary("mdd")))
@@ -114,11 +125,18 @@ for view in ("bars", "types"):
 register("weighted_diversity", "bars", lambda p: diversity.weighted_diversity(diversity.column_diversity(p)), sql.query("bars", sql.COLDIV,
          ", ".join(["w as (select *, case when \"column\" = 'Volume' then 0.3 else 0.7 / 4 end as w from cd)", "a as (select " + ", ".join(f"sum(w * {c}) / sum(w) as {c}" for c in sql.COLDIV_NAMES) + " from w)"]),
          select=f"select {sql.rounded(*sql.COLDIV_NAMES)}, round(({' + '.join(sql.COLDIV_NAMES)}) / 7, 6) as overall_diversity_score, round(({' + '.join(sql.COLDIV_NAMES)}) / 5, 6) as mean_diversity_score from a"))
-register("legacy_diversity", "ev", diversity.legacy_diversity)
+register("performance_summary", "bars", lambda p: diversity.performance_summary(diversity.column_diversity(p)), sql.query("bars", sql.COLDIV, sql.WEIGHTED, select="""select arg_min("column", (-s, "column")) as best_column, round(max(s), 6) as best_score, arg_max("column", (-s, "column")) as worst_column, round(min(s), 6) as worst_score,
+  round(max(s) - min(s), 6) as performance_gap, max(s) - min(s) < 0.2 as uniform_performance, round(max(o) - max(s), 6) as overall_vs_best, round(max(o) - min(s), 6) as overall_vs_worst from (select "column", column_diversity_score as s, (select total / 7 from wt) as o from cd)"""))
+register("all_diversity", "bars", diversity.all_diversity, sql.query("bars", sql.COLDIV, sql.WEIGHTED, sql.M1, sql.SCALED, sql.dist("scaled"), sql.UNIQUE, "cov as (select avg(case when d <= 0.5 then 1.0 else 0.0 end) as coverage_ratio from (select other, min(d) as d from dd group by other))",
+         select=f"select {sql.rounded(*sql.COLDIV_NAMES, 'coverage_ratio', 'uniqueness_score')}, round(total / 7, 6) as overall_diversity_score, round(total / 5, 6) as mean_diversity_score from wt, cov, uq"))
+register("legacy_diversity", "ev", diversity.legacy_diversity, sql.query("ev", sql.M1, sql.SCALED, sql.dist("scaled"), sql.UNIQUE, "cov as (select avg(case when d <= 0.5 then 1.0 else 0.0 end) as coverage_ratio from (select other, min(d) as d from dd group by other))", sql.STATDIV, sql.TEMPDIV,
+         select=f"select {sql.rounded(*sql.LEGACY_NAMES)}, round(({' + '.join(sql.LEGACY_NAMES)}) / 7, 6) as overall_diversity_score from cov, uq, statdiv, ad, td"))
 
 # privacy
 register("dcr", "emb", privacy.distance_to_closest_record, sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "nd as (select series, min(d) as d from dd group by series)", "x as (select d, least(d / (select case when quantile_cont(d, 0.95) = 0 then 1 else quantile_cont(d, 0.95) end from nd), 1.0) as x from nd)",
          select="select round(avg(x), 6) as dcr_mean, round(stddev_pop(x), 6) as dcr_std, round(min(x), 6) as dcr_min, round(avg(d), 6) as raw_mean, round(min(d), 6) as raw_min from x"))
+register("legacy_privacy", "emb", privacy.legacy_privacy, sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "nd as (select series, min(d) as d from dd group by series)", "x as (select d, least(d / (select case when quantile_cont(d, 0.95) = 0 then 1 else quantile_cont(d, 0.95) end from nd), 1.0) as x from nd)",
+         select="select round(avg(x), 6) as dcr_mean, round(stddev_pop(x), 6) as dcr_std, round(min(x), 6) as dcr_min, " + ", ".join(f"{x}::double as {name}" for name, x in privacy.LEGACY.items()) + " from x"))
 register("attribute_disclosure", "ev", lambda p: privacy.attribute_disclosure(p, raw=True), sql.query("ev", sql.M1, f"c as (select f, value, {sql.both('count', 'n')} from m group by f, value)",
          "r as (select f, coalesce(avg(case when n_s > 0 then 1.0 else 0.0 end) filter (where n_o > 0 and n_o / size <= 0.1), 0) as risk from (select *, sum(n_o) over (partition by f) as size from c) group by f)",
          select="select round(avg(risk), 6) as adr_mean, round(max(risk), 6) as adr_max, round(avg(risk), 6) as adr_risk_score from r"))
@@ -166,22 +184,36 @@ register("downstream_tasks", "emb", models.downstream_tasks)
 
 
 # scoring, on the columns of two views as variants
+def dimension_frames(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """(column, dimension, value) of each column of a view."""
+    p = POINTS[view](spark, sf_dir)
+    frames = {
+        "diversity": diversity.column_diversity(p).select("column", F.col("column_diversity_score").alias("value")),
+        "fidelity": fidelity.column_fidelity(p).select("column", F.col("column_fidelity_score").alias("value")),
+        "privacy": privacy.column_distributional_privacy(p).select("column", F.col("overall_privacy_score").alias("value")),
+        "utility": utility.column_utility(p).select("column", F.col("overall_utility_score").alias("value")),
+    }
+    return reduce(DataFrame.unionByName, (frame.select("column", F.lit(dimension).alias("dimension"), "value") for dimension, frame in frames.items()))
+
+
 def variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The results table that scoring works on: a row for each column and dimension, so it is small however large the series are."""
-    rows: list[tuple[str, str, str, float]] = []
-    for view, kind in (("types", "conditional"), ("bars", "unconditional")):
-        p = POINTS[view](spark, sf_dir)
-        frames = {
-            "diversity": diversity.column_diversity(p).select("column", "column_diversity_score"),
-            "fidelity": fidelity.column_fidelity(p).select("column", "column_fidelity_score"),
-            "privacy": privacy.column_distributional_privacy(p).select("column", "overall_privacy_score"),
-            "utility": utility.column_utility(p).select("column", "overall_utility_score"),
-        }
-        for dimension, frame in frames.items():
-            rows += [(kind, column, dimension, value) for column, value in frame.collect()]
-    first = min((r[1] for r in rows if r[0] == "conditional"), default="")
-    typed = [(kind, column, "baseline" if kind == "conditional" and column == first else "synthetic", dimension, value) for kind, column, dimension, value in rows]
-    return spark.createDataFrame(typed, "gen_type string, variant string, variant_type string, dimension string, value double")
+    """The results table that scoring works on: a row for each column and dimension. The first conditional variant is taken as the baseline."""
+    kinds = {"conditional": "types", "unconditional": "bars"}
+    rows = reduce(DataFrame.unionByName, (dimension_frames(spark, sf_dir, view).select(F.lit(kind).alias("gen_type"), F.col("column").alias("variant"), "dimension", "value") for kind, view in kinds.items()))
+    first = F.min("variant").over(Window.partitionBy("gen_type"))
+    return rows.withColumn("variant_type", F.when((F.col("gen_type") == "conditional") & (F.col("variant") == first), "baseline").otherwise("synthetic"))
+
+
+def column_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores by method and column, for three views as methods; the mean of a method's columns is its score as a whole."""
+    methods = (("conditional", "types", "baseline"), ("conditional", "halves", "synthetic"), ("unconditional", "bars", "synthetic"))
+    rows = reduce(DataFrame.unionByName, (dimension_frames(spark, sf_dir, view).select(F.lit(kind).alias("gen_type"), F.lit(view).alias("variant"), F.lit(role).alias("variant_type"), "column", "dimension", "value") for kind, view, role in methods))
+    whole = rows.groupingSets([["gen_type", "variant", "variant_type", "dimension", "column"], ["gen_type", "variant", "variant_type", "dimension"]], "gen_type", "variant", "variant_type", "dimension", "column")
+    return rounded(scoring.column_table(whole.agg(F.avg("value").alias("value"))))
+
+
+QUERIES["column_table"] = column_table
+ORACLE_SQL["column_table"] = sql.BY_METHOD + f"""select {sql.rounded(*sql.DIMS[:4], keys='gen_type, method, "column", place::bigint as place')} from ct"""
 
 
 def scored(name: str, make: Callable[[DataFrame], DataFrame], oracle: str) -> None:
@@ -199,3 +231,7 @@ scored("baseline_gaps", scoring.ranked_against_baseline, """select gen_type, var
 scored("heatmap_pivot", scoring.heatmap, f"select variant || ' (' || case when variant_type = 'baseline' then 'B' when gen_type = 'conditional' then 'C' else 'U' end || ')' as method, case when variant_type = 'baseline' then 0 else 1 end::bigint as place, {sql.rounded(*sql.DIMS)} from wide")
 scored("breakdown", scoring.breakdown, "select dimension, variant, round(coalesce(max(value) filter (where gen_type = 'conditional'), 0), 6) as conditional, round(coalesce(max(value) filter (where gen_type = 'unconditional'), 0), 6) as unconditional from tall group by dimension, variant")
 scored("column_comparison", scoring.column_comparison, "select gen_type, dimension, variant, round(value, 6) as value, rank() over (partition by gen_type, dimension order by value desc) as rank, round(value / nullif(max(value) over (partition by gen_type, dimension), 0), 6) as share_of_best from tall")
+scored("overall_bars", scoring.overall_bars, "select method, round(overall_score, 6) as overall_score, rank() over (order by overall_score desc) as rank from named")
+scored("radar", scoring.radar, """select method, dimension, axis::bigint as axis, round(axis * pi() / 2, 6) as angle, round(value, 6) as value from (
+  select *, list_position(['diversity', 'fidelity', 'privacy', 'utility'], dimension) - 1 as axis from (unpivot named on diversity, fidelity, privacy, utility into name dimension value value))""")
+scored("business_figures", scoring.business_figures, f"select {sql.rounded(*sql.DIMS, keys='gen_type, variant')} from wide where variant_type <> 'baseline' order by gen_type, wide.overall_score desc, variant limit 1")

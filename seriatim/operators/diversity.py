@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRICES, Config
@@ -134,21 +134,39 @@ def column_diversity(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return out.select("column", *COLUMN_METRICS, (sum((F.col(c) for c in COLUMN_METRICS[1:]), F.col(COLUMN_METRICS[0])) / len(COLUMN_METRICS)).alias("column_diversity_score"))
 
 
+def weighed(columns: DataFrame) -> DataFrame:
+    """Adds the weight of each column: with Volume present, prices share 0.7 and every other column has 0.3; with prices only, others have 0."""
+    whole = Window.partitionBy(F.lit(1))  # a row for each column
+    price = F.col("column").isin(*PRICES)
+    prices, volume = F.sum(price.cast("int")).over(whole), F.max((F.col("column") == "Volume").cast("int")).over(whole)
+    kinds = columns.withColumns({"prices": prices, "volume": volume, "columns": F.count(F.lit(1)).over(whole)})
+    weight = F.when((F.col("prices") > 0) & (F.col("volume") == 1), F.when(price, 0.7 / F.col("prices")).otherwise(0.3)).when(F.col("prices") > 0, F.when(price, 1.0 / F.col("prices")).otherwise(0.0))
+    weight = weight.when(F.col("volume") == 1, F.when(price, 0.0).otherwise(1.0)).otherwise(1.0 / F.col("columns"))
+    return kinds.withColumn("w", weight)
+
+
+def weighted_means() -> list[Column]:
+    return [F.coalesce(ratio(F.sum(F.col("w") * F.col(c)), F.sum("w")), F.lit(0.0)).alias(c) for c in COLUMN_METRICS]
+
+
 def weighted_diversity(columns: DataFrame) -> DataFrame:
     """Column measures weighted to one row, with overall_diversity_score.
 
-    With Volume present, prices share 0.7 and every other column has 0.3; with prices only, others have 0. The overall
-    score averages seven terms of which the last two, looked up where they are not, count 0; ``mean_diversity_score`` is the mean of the five.
+    The overall score averages seven terms of which the last two, looked up where they are not, count 0; ``mean_diversity_score`` is
+    the mean of the five.
     """
-    price = F.col("column").isin(*PRICES)
-    kinds = columns.agg(F.sum(price.cast("int")).alias("prices"), F.max((F.col("column") == "Volume").cast("int")).alias("volume"), F.count(F.lit(1)).alias("columns"))
-    weight = F.when((F.col("prices") > 0) & (F.col("volume") == 1), F.when(price, 0.7 / F.col("prices")).otherwise(0.3)).when(F.col("prices") > 0, F.when(price, 1.0 / F.col("prices")).otherwise(0.0))
-    weight = weight.when(F.col("volume") == 1, F.when(price, 0.0).otherwise(1.0)).otherwise(1.0 / F.col("columns"))
-    # one row beside a row for each column
-    weighed = columns.withColumn("one", F.lit(1)).join(F.broadcast(kinds.withColumn("one", F.lit(1))), "one").withColumn("w", weight)
-    out = weighed.agg(*(F.coalesce(ratio(F.sum(F.col("w") * F.col(c)), F.sum("w")), F.lit(0.0)).alias(c) for c in COLUMN_METRICS))
     total = sum((F.col(c) for c in COLUMN_METRICS[1:]), F.col(COLUMN_METRICS[0]))
-    return out.withColumns({"overall_diversity_score": total / 7, "mean_diversity_score": total / 5})
+    return weighed(columns).agg(*weighted_means()).withColumns({"overall_diversity_score": total / 7, "mean_diversity_score": total / 5})
+
+
+def performance_summary(columns: DataFrame) -> DataFrame:
+    """One row: best and worst column with their scores, the gap, whether it is below 0.2, and the overall score less each of both."""
+    place = F.struct(-F.col("column_diversity_score"), F.col("column"))
+    score = F.col("column_diversity_score")
+    row = weighed(columns).agg(F.min_by("column", place).alias("best_column"), F.max(score).alias("best_score"), F.max_by("column", place).alias("worst_column"), F.min(score).alias("worst_score"), *weighted_means())
+    overall = sum((F.col(c) for c in COLUMN_METRICS[1:]), F.col(COLUMN_METRICS[0])) / 7
+    gap = F.col("best_score") - F.col("worst_score")
+    return row.select("best_column", "best_score", "worst_column", "worst_score", gap.alias("performance_gap"), (gap < 0.2).alias("uniform_performance"), (overall - F.col("best_score")).alias("overall_vs_best"), (overall - F.col("worst_score")).alias("overall_vs_worst"))
 
 
 def column_ranking(columns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -29,6 +29,21 @@ def distance_to_closest_record(points: DataFrame) -> DataFrame:
     return x.agg(F.coalesce(F.avg("x"), F.lit(1.0)).alias("dcr_mean"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("dcr_std"), F.coalesce(F.min("x"), F.lit(1.0)).alias("dcr_min"), F.avg("distance").alias("raw_mean"), F.min("distance").alias("raw_min"))
 
 
+#: Scores of measures that the short form of privacy doesn't take.
+LEGACY = {"mi_accuracy": 0.55, "mi_auc": 0.52, "mi_risk_score": 0.1, "adr_mean": 0.15, "adr_max": 0.3, "adr_risk_score": 0.15, "reidentification_risk": 0.2, "k_anonymity_score": 0.8, "dp_epsilon_estimate": 2.5, "dp_privacy_score": 0.6}
+
+
+def legacy_privacy(points: DataFrame) -> DataFrame:
+    """The distances to closest records beside constants for every other measure."""
+    return distance_to_closest_record(points).select("dcr_mean", "dcr_std", "dcr_min", *(F.lit(x).alias(name) for name, x in LEGACY.items()))
+
+
+def minimal_privacy(spark: SparkSession, base: float = 0.0) -> DataFrame:
+    """The row for sides without enough rows: ``base`` as distance and overall score, an attack that guesses."""
+    names = {"dcr_mean": base, "dcr_std": 0.0, "dcr_min": base, "mi_accuracy": 0.5, "mi_auc": 0.5, "mi_risk_score": 0.0, "overall_privacy_score": base}
+    return spark.range(1).select(*(F.lit(float(x)).alias(name) for name, x in names.items()))
+
+
 def attribute_disclosure(points: DataFrame, config: Config = DEFAULT, raw: bool = False) -> DataFrame:
     """Share of each feature's rare original values that occur on the synthetic side: mean and maximum over features.
 

@@ -109,3 +109,18 @@ def lagged(points: DataFrame, horizon: int = 1) -> DataFrame:
     order = Window.partitionBy(*SERIES, "column").orderBy("t")
     lags = [F.lag("value", k).over(order) for k in range(horizon, 0, -1)]
     return points.select(*SERIES, "column", "t", F.array(*lags).alias("x"), F.col("value").alias("y")).where(F.col("t") >= horizon)
+
+
+def overlay(points: DataFrame) -> DataFrame:
+    """One series of each variant, to be drawn over each other: the smallest id that all variants have, else each variant's smallest.
+
+    overlap_end is the last step that all of them reach, and within says whether a step is not past it.
+    """
+    lengths = points.groupBy("variant", "series").agg((F.max("t") + 1).alias("rows"))
+    firsts = lengths.groupBy("variant").agg(F.min("series").alias("first"))
+    sides = lengths.groupBy("series").agg(F.count(F.lit(1)).alias("sides"))
+    common = sides.where(F.col("sides") == firsts.agg(F.count(F.lit(1))).scalar()).agg(F.min("series")).scalar()
+    chosen = firsts.select("variant", F.coalesce(common, "first").alias("series"))
+    end = lengths.join(chosen, ["variant", "series"]).agg(F.min("rows") - 1).scalar()
+    drawn = without(points).join(chosen, ["variant", "series"]).withColumn("overlap_end", end)
+    return drawn.select("variant", "series", "column", "t", "value", "overlap_end", (F.col("t") <= F.col("overlap_end")).alias("within"))

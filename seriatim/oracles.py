@@ -23,7 +23,8 @@ EMB = """points as (
   select case when label % 2 = 0 then 'o' else 's' end as variant, vec_id as series, dense_rank() over (partition by label % 2 order by vec_id) - 1 as ord, 0 as t,
     format('d{:02d}', i - 1) as "column", i - 1 as col_ord, embedding[i]::double as value
   from embeddings, lateral (select unnest(range(1, len(embedding) + 1)) as i))"""
-VIEWS = {"ev": EV, "types": TYPES, "bars": BARS, "emb": EMB}
+HALVES = TYPES.replace("user_id % 2", "event_id % 2").replace("partition by user_id, event_type", "partition by user_id, event_id % 2, event_type")
+VIEWS = {"ev": EV, "types": TYPES, "bars": BARS, "emb": EMB, "halves": HALVES}
 
 CELLS = """cells as (select *, row_number() over (partition by variant, series order by t, col_ord) - 1 as f, count(*) over (partition by variant, series) as n from points)"""
 M1 = CELLS + """, m as (select variant, series, ord, f, value from cells, (select min(n) as l from cells where variant = 'o') where n >= l and f < l)"""
@@ -145,6 +146,12 @@ COLDIV = COLS + ", " + entropy("nc", '"column"') + ", " + across("nc") + f""", r
 COLDIV_NAMES = ("variance_ratio", "range_ratio", "entropy_ratio", "autocorr_diversity", "coverage")
 
 
+WEIGHTED = ", ".join(["w as (select *, case when \"column\" = 'Volume' then 0.3 else 0.7 / 4 end as w from cd)", "wa as (select " + ", ".join(f"sum(w * {c}) / sum(w) as {c}" for c in COLDIV_NAMES) + " from w)", f"wt as (select *, {' + '.join(COLDIV_NAMES)} as total from wa)"])
+LEGACY_NAMES = ("coverage_ratio", "uniqueness_score", "variance_ratio", "range_ratio", "entropy_ratio", "autocorr_diversity", "trend_diversity")
+UNIQUE = """syn as (select series, list(value order by f) as v from m where variant = 's' group by series),
+  uq as (select avg(case when sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))) > 1e-6 then 1.0 else 0.0 end) as uniqueness_score from syn a join syn b on a.series < b.series)"""
+
+
 def dist(m: str) -> str:
     """Distances from synthetic (b) to original (a) rows of a matrix."""
     return f"""vec as (select variant, series, ord, list(value order by f) as v from {m} group by variant, series, ord),
@@ -186,20 +193,22 @@ CORRP = f"""fc as (select a.variant, a.f as i, b.f as j, {corr('a.value', 'b.val
 DISTSIM = STATS2 + """, dsim as (select coalesce(avg(1 / (1 + abs(mean_o - mean_s) / (abs(mean_o) + 1e-10) + abs(sd_o - sd_s) / (sd_o + 1e-10))), 0) as distribution_similarity from s2 where n_o > 0 and n_s > 0)"""
 
 
-def dimension_scores() -> str:
-    """scores: the four dimension scores of each column of two views, as variants."""
-
-    def one(view: str, kind: str, tag: str) -> str:
-        parts = ", ".join([VIEWS[view], COLDIV, COLFID.replace("st as", "st as").replace(" as (select", " as (select"), KNOWN, per_column("known"), COLPRIV, COLUTIL])
-        return f"""{tag} as (with {parts} select '{kind}' as gen_type, "column" as variant, column_diversity_score as diversity, 0.6 * mdd + 0.4 * moment_similarity as fidelity, overall_privacy_score as privacy, overall_utility_score as utility
-          from cd join cf using ("column") join cp using ("column") join cu using ("column"))"""
-
-    return "with " + one("types", "conditional", "sa") + ", " + one("bars", "unconditional", "sb") + """, wide as (
-      select *, case when gen_type = 'conditional' and variant = (select min(variant) from sa) then 'baseline' else 'synthetic' end as variant_type,
-        greatest(0.0, least(1.0, 0.25 * diversity + 0.35 * fidelity + 0.15 * privacy + 0.25 * utility)) as overall_score from (select * from sa union all select * from sb)),
-      averages as (select gen_type, avg(diversity) as diversity, avg(fidelity) as fidelity, avg(privacy) as privacy, avg(utility) as utility, avg(overall_score) as overall_score from wide where variant_type <> 'baseline' group by gen_type),
-      tall as (unpivot wide on diversity, fidelity, privacy, utility into name dimension value value) """
+def dimensions(view: str, kind: str, tag: str) -> str:
+    """The four dimension scores of each column of a view."""
+    parts = ", ".join([VIEWS[view], COLDIV, COLFID, KNOWN, per_column("known"), COLPRIV, COLUTIL])
+    return f"""{tag} as (with {parts} select '{kind}' as gen_type, "column" as variant, column_diversity_score as diversity, 0.6 * mdd + 0.4 * moment_similarity as fidelity, overall_privacy_score as privacy, overall_utility_score as utility
+      from cd join cf using ("column") join cp using ("column") join cu using ("column"))"""
 
 
-SCORES = dimension_scores()
 DIMS = ("diversity", "fidelity", "privacy", "utility", "overall_score")
+SCORES = "with " + dimensions("types", "conditional", "sa") + ", " + dimensions("bars", "unconditional", "sb") + """, wide as (
+  select *, case when gen_type = 'conditional' and variant = (select min(variant) from sa) then 'baseline' else 'synthetic' end as variant_type,
+    greatest(0.0, least(1.0, 0.25 * diversity + 0.35 * fidelity + 0.15 * privacy + 0.25 * utility)) as overall_score from (select * from sa union all select * from sb)),
+  named as (select *, variant || ' (' || case when variant_type = 'baseline' then 'B' when gen_type = 'conditional' then 'C' else 'U' end || ')' as method from wide),
+  averages as (select gen_type, avg(diversity) as diversity, avg(fidelity) as fidelity, avg(privacy) as privacy, avg(utility) as utility, avg(overall_score) as overall_score from wide where variant_type <> 'baseline' group by gen_type),
+  tall as (unpivot wide on diversity, fidelity, privacy, utility into name dimension value value) """
+# a view is a method here: event types by user (the baseline), event types by halves of a user's events, bars
+BY_METHOD = "with " + ", ".join(dimensions(*x) for x in (("types", "conditional", "sa"), ("halves", "conditional", "sb"), ("bars", "unconditional", "sc"))) + """, cs as (
+  select 'types (B)' as method, * from sa union all select 'halves (C)', * from sb union all select 'bars (U)', * from sc), ct as (
+  select gen_type, method, variant as "column", case variant when 'Open' then 1 when 'High' then 2 when 'Low' then 3 when 'Close' then 4 when 'Volume' then 5 else 9 end as place, diversity, fidelity, privacy, utility from cs
+  union all select gen_type, method, 'OVERALL', 10, avg(diversity), avg(fidelity), avg(privacy), avg(utility) from cs group by gen_type, method) """

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -71,16 +71,35 @@ def with_overall(metrics: DataFrame) -> DataFrame:
     return metrics.unionByName(tall(row.select("overall_privacy_score"), "privacy")).unionByName(tall(row.select("overall_utility_score"), "utility"))
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    """The rows of a variant that cannot be evaluated: every overall score is 0."""
+    rows = [(d, None, f"overall_{d}_score", 0.0) for d in scoring.DIMENSIONS]
+    return spark.createDataFrame(rows, "dimension string, column string, metric string, value double")
+
+
 def evaluate_all(variants: dict[tuple[str, str], DataFrame], baselines: tuple[str, ...] = ("original_noise",), config: Config = DEFAULT) -> DataFrame:
-    """metrics of several variants, given as points by (generation type, variant)."""
+    """metrics of several variants, given as points by (generation type, variant). One without rows on a side has zeros."""
     out = None
     for (gen_type, variant), points in variants.items():
         kind = "baseline" if variant in baselines else "synthetic"
-        rows = evaluate(points, config).select(F.lit(gen_type).alias("gen_type"), F.lit(variant).alias("variant"), F.lit(kind).alias("variant_type"), "dimension", "column", "metric", "value")
+        sides = points.select("variant").distinct().count()
+        rows = (evaluate(points, config) if sides == 2 else empty(points.sparkSession)).select(F.lit(gen_type).alias("gen_type"), F.lit(variant).alias("variant"), F.lit(kind).alias("variant_type"), "dimension", "column", "metric", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+#: The score of a column in each dimension.
+COLUMN_SCORES = {"diversity": "column_diversity_score", "fidelity": "column_fidelity_score", "privacy": "overall_privacy_score", "utility": "overall_utility_score"}
+
+
+def column_scores(metrics: DataFrame) -> DataFrame:
+    """The scores of each column, and of the whole where column is NULL, for ``scoring.column_table``."""
+    name = F.when(F.col("column").isNull(), F.concat(F.lit("overall_"), "dimension", F.lit("_score")))
+    for dimension, metric in COLUMN_SCORES.items():
+        name = name.when(F.col("dimension") == dimension, metric)
+    return metrics.where(F.col("metric") == name).select("gen_type", "variant", "variant_type", "column", "dimension", "value")
+
+
 def scores(metrics: DataFrame) -> DataFrame:
     """The four dimension scores of each variant, for ``scoring``."""
     return metrics.where(F.col("column").isNull() & (F.col("metric") == F.concat(F.lit("overall_"), "dimension", F.lit("_score")))).select("gen_type", "variant", "variant_type", "dimension", "value")

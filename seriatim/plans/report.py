@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -24,23 +25,66 @@ def bars_svg(frame: DataFrame, label: str, value: str) -> str:
     return f'<svg width="560" height="{20 * len(rows) + 6}">{bars}</svg>'
 
 
-def html(scores: DataFrame, config: Config = DEFAULT) -> str:
-    """Overall bars, the heatmap table, the breakdown and the recommendations."""
+def radar_svg(frame: DataFrame) -> str:
+    """A polygon for each method, with an axis for each dimension."""
+    points: dict[str, list[str]] = {}
+    for r in frame.orderBy("method", "axis").collect():
+        points.setdefault(r["method"], []).append(f"{120 + 100 * r['value'] * math.cos(r['angle']):.1f},{120 - 100 * r['value'] * math.sin(r['angle']):.1f}")
+    shapes = "".join(f'<polygon points="{" ".join(corners)}" fill="none" stroke="black"><title>{escape(name)}</title></polygon>' for name, corners in points.items())
+    return f'<svg width="240" height="240">{shapes}</svg>'
+
+
+def overlay_svg(frame: DataFrame, column: str) -> str:
+    """The series of ``shape.overlay`` in one column, a line for each variant, with the part that all of them reach marked."""
+    rows = frame.where((F.col("column") == column) & F.col("value").isNotNull()).orderBy("variant", "t").collect()
+    if not rows:
+        return "<svg></svg>"
+    low, high, last = min(r["value"] for r in rows), max(r["value"] for r in rows), max(r["t"] for r in rows) or 1
+    lines: dict[str, list[str]] = {}
+    for r in rows:
+        lines.setdefault(r["variant"], []).append(f"{500 * r['t'] / last:.1f},{140 - 130 * (r['value'] - low) / ((high - low) or 1.0):.1f}")
+    drawn = "".join(f'<polyline points="{" ".join(places)}" fill="none" stroke="{colour}"><title>{escape(name)}</title></polyline>' for (name, places), colour in zip(lines.items(), ("black", "red", "green", "blue") * len(lines)))
+    return f'<svg width="500" height="150"><rect width="{500 * min(rows[0]["overlap_end"] / last, 1.0):.1f}" height="150" fill="#efe"/>{drawn}</svg>'
+
+
+def html(scores: DataFrame, config: Config = DEFAULT, columns: DataFrame | None = None, overlay: DataFrame | None = None) -> str:
+    """Overall bars, the heatmap table, the breakdown, radar, business figures and recommendations; with ``columns``, the scores by
+    column and method as of ``evaluate.column_scores``; with ``overlay``, the lines of ``shape.overlay``."""
     heat = scoring.heatmap(scores, config)
     parts = [
         "<!doctype html><meta charset='utf-8'><title>Series evaluation</title>",
-        "<h2>Overall</h2>", bars_svg(heat, "method", "overall_score"),
+        "<h2>Overall</h2>", bars_svg(scoring.overall_bars(scores, config), "method", "overall_score"),
         "<h2>Scores</h2>", table_html(heat, ["place", "method"]),
-        "<h2>By dimension</h2>", table_html(scoring.breakdown(scores), ["dimension", "variant"]),
+        "<h2>By dimension</h2>", table_html(scoring.breakdown(scores), ["dimension", "variant"]), radar_svg(scoring.radar(scores)),
+        "<h2>Best variant</h2>", table_html(scoring.business_figures(scores, config), ["gen_type"]),
         "<h2>Recommendations</h2>", table_html(scoring.recommendations(scores, config), ["gen_type", "recommendation"]),
     ]
+    if columns is not None:
+        parts += ["<h2>By column</h2>", table_html(scoring.column_table(columns), ["gen_type", "method", "place", "column"])]
+    if overlay is not None:
+        parts += [f"<h2>{escape(c)}</h2>" + overlay_svg(overlay, c) for (c,) in overlay.select("column").distinct().orderBy("column").collect()]
     return "\n".join(parts)
 
 
+def rating(overall: float) -> str:
+    return "Excellent" if overall > 0.7 else "Good" if overall > 0.5 else "Needs Improvement"
+
+
 def summary(scores: DataFrame, config: Config = DEFAULT) -> str:
-    """Best variant and averages of each generation type, as text."""
+    """Overall performance and rating, best variants, baselines, averages of each generation type and recommendations, as text."""
+    averages = scoring.metric_averages(scores, config).orderBy("gen_type").collect()
+    positive = [r["overall_score"] for r in averages if r["overall_score"] > 0]
+    overall = sum(positive) / len(positive) if positive else 0.0
+    out = [f"overall {overall:.1%} ({rating(overall)})"]
     best = {r["gen_type"]: r for r in scoring.best_variants(scores, config).collect()}
-    out = []
-    for r in scoring.metric_averages(scores, config).orderBy("gen_type").collect():
+    for r in scoring.overall_scores(scores, config).where("variant_type = 'baseline'").orderBy("variant").collect():
+        out.append(f"baseline {r['variant']}: {r['overall_score']:.1%}")
+    for r in averages:
         out.append(f"{r['gen_type']}: best {best[r['gen_type']]['best_variant']} ({best[r['gen_type']]['overall_score']:.1%}); means " + ", ".join(f"{d} {r[d]:.1%}" for d in scoring.DIMENSIONS))
+    out += [f"{r['gen_type']}: {r['recommendation']}" for r in scoring.recommendations(scores, config).orderBy("gen_type", "recommendation").collect()]
     return "\n".join(out)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A summary or page as one text file in the folder ``path``."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)

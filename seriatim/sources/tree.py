@@ -71,6 +71,18 @@ def summary(points: DataFrame) -> DataFrame:
     return per.groupBy("variant").agg(F.count(F.lit(1)).alias("series"), F.sum("rows").alias("rows"), F.min("rows").alias("min_length"), F.avg("rows").alias("avg_length"), F.max("rows").alias("max_length")).join(columns, "variant")
 
 
+def data_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Per generation type and variant below ``root``: number of series files and whether static conditions lie beside them.
+
+    The folder of a generation type begins with its name.
+    """
+    files = spark.read.format("binaryFile").options(**csv_options()).load(root).select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path"))
+    folders = r"/(conditional|unconditional)[^/]*/([^/]+)/(?:[^/]+/)*([^/]+)$"
+    named = files.select(*(F.regexp_extract("path", folders, k + 1).alias(c) for k, c in enumerate(("gen_type", "variant", "name")))).where("variant <> ''")
+    is_static = F.col("name") == STATIC
+    return named.groupBy("gen_type", "variant").agg(F.count(F.when(~is_static, 1)).alias("files"), F.max(is_static).alias("has_static"))
+
+
 def read_static(spark: SparkSession, path: str) -> DataFrame:
     """The static conditions, with .id as series."""
     return spark.read.csv(path, header=True).withColumnRenamed(".id", "series").withColumn("series", F.expr("cast(try_cast(series as double) as long)"))

@@ -49,6 +49,21 @@ def event_type_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(long_)
 
 
+def half_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``event_type_points``, but each user's events with even ids are the original and those with odd ids the synthetic side, so sides share series."""
+    half = F.col("event_id") % 2
+    order = Window.partitionBy("user_id", half, "event_type").orderBy("ts", "event_id")
+    long_ = table(spark, sf_dir, "events").select(
+        F.when(half == 0, "o").otherwise("s").alias("variant"),
+        F.col("user_id").alias("series"),
+        (F.row_number().over(order) - 1).alias("t"),
+        F.col("event_type").alias("column"),
+        F.lit(0).alias("col_ord"),
+        "value",
+    )
+    return numbered(long_)
+
+
 def monthly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each supplier and month of ``lineitem``: Open, High, Low, Close of the price, Volume, OpenInt; odd suppliers are the original."""
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seriatim.operators import scoring
+from seriatim.operators import privacy, scoring, shape
 from seriatim.plans import evaluate, report
 from seriatim.sources import tree
 
@@ -40,6 +40,67 @@ def test_report_has_every_method(scores):
     assert "best y" in report.summary(scores)
 
 
+def test_frames_of_a_report(spark, scores):
+    best = scoring.business_figures(scores).first()
+    assert (best["gen_type"], best["variant"], best["privacy"]) == ("conditional", "y", 0.9)
+    assert scoring.business_figures(scores.where("gen_type = 'none'")).count() == 0
+    bars = scoring.overall_bars(scores.unionByName(scores.where("variant = 'noise'").withColumn("variant", F.lit("other noise"))))
+    assert {r["method"] for r in bars.collect()} == {"x (C)", "y (C)", "noise (B)", "x (U)"}
+    axes = {(r["method"], r["dimension"]): (r["axis"], r["value"]) for r in scoring.radar(scores).collect()}
+    assert axes["x (U)", "utility"] == (3, 0.0) and axes["y (C)", "privacy"] == (2, 0.9) and len(axes) == 16
+
+
+def test_column_table_has_fixed_order_and_a_whole_row(spark):
+    rows = [("unconditional", "x", "synthetic", c, "fidelity", v) for c, v in ((None, 0.5), ("Volume", 0.1), ("extra", 0.2), ("Open", 0.3))]
+    metrics = spark.createDataFrame([(g, v, k, d, c, "overall_fidelity_score" if c is None else "column_fidelity_score", x) for g, v, k, c, d, x in rows], "gen_type string, variant string, variant_type string, dimension string, column string, metric string, value double")
+    table = scoring.column_table(evaluate.column_scores(metrics))
+    assert [(r["column"], r["fidelity"], r["privacy"]) for r in table.orderBy("place").collect()] == [("Open", 0.3, 0.0), ("Volume", 0.1, 0.0), ("extra", 0.2, 0.0), ("OVERALL", 0.5, 0.0)]
+    page = report.html(evaluate.scores(metrics), columns=evaluate.column_scores(metrics))
+    assert "OVERALL" in page and "<polygon" in page
+
+
+def points(spark, rows):
+    return spark.createDataFrame(rows, "variant string, series long, ord int, t int, column string, col_ord int, value double")
+
+
+def test_overlay_takes_a_common_series_else_the_first(spark):
+    rows = [(v, s, 0, t, "Open", 0, float(t)) for v, s, n in (("o", 1, 2), ("o", 5, 4), ("s", 5, 3), ("s", 2, 9)) for t in range(n)]
+    rows += [("o", 5, 0, 0, "OpenInt", 1, 0.0)]
+    drawn = shape.overlay(points(spark, rows))
+    assert {(r["variant"], r["series"], r["overlap_end"]) for r in drawn.collect()} == {("o", 5, 2), ("s", 5, 2)}
+    assert drawn.where("not within").count() == 1
+    apart = shape.overlay(points(spark, [r for r in rows if r[:2] != ("s", 5)]))
+    assert {(r["variant"], r["series"]) for r in apart.collect()} == {("o", 1), ("s", 2)}
+    assert report.overlay_svg(drawn, "Open").count("<polyline") == 2 and report.overlay_svg(drawn, "none") == "<svg></svg>"
+
+
+def test_variants_without_rows_on_a_side_have_zeros(spark):
+    one_side = points(spark, [("o", 1, 0, 0, "a", 0, 1.0)])
+    metrics = evaluate.evaluate_all({("conditional", "x"): one_side})
+    assert {(r["dimension"], r["value"]) for r in metrics.collect()} == {(d, 0.0) for d in scoring.DIMENSIONS}
+    assert privacy.minimal_privacy(spark, 0.25).first()["overall_privacy_score"] == 0.25
+
+
+def test_own_measures_join_the_registry(monkeypatch):
+    monkeypatch.setattr(evaluate, "WHOLE", {})
+    evaluate.register("fidelity", "mine", lambda p, c: p)
+    assert list(evaluate.WHOLE["fidelity"]) == ["mine"]
+
+
+def test_text_of_a_summary_is_written(spark, scores, tmp_path):
+    text = report.summary(scores)
+    assert "baseline noise" in text and "UNDERPERFORMING" in text
+    report.write_text(spark, text, f"{tmp_path}/summary")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/summary").collect()] == text.split("\n")
+
+
+def test_data_summary(spark, tmp_path):
+    for name in ("conditional generation/original/time_series/series_001.csv", "conditional generation/original/static.csv", "unconditional generation/tsv2/ts/7.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("a\n1\n")
+    assert {tuple(r) for r in tree.data_summary(spark, str(tmp_path)).collect()} == {("conditional", "original", 1, True), ("unconditional", "tsv2", 1, False)}
+
+
 def test_tree_reader(spark, tmp_path):
     for variant, folder in (("original", "original/time_series"), ("tsv2", "tsv2/ts")):
         (tmp_path / folder).mkdir(parents=True)
