@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, minhash_dedup, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
+from . import decontaminate, exact_topk, language_id, lm_scoring, minhash_dedup, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -64,6 +64,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = hash_mod(F.col("doc_id"), 5)
+    got = lm_scoring.score(table(spark, sf_dir, "documents"), fold != 1, piece_model())
+    return got.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).drop("trained")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix": op9_suffix,
     "op10_topk": op10_topk,
+    "op11_lm_score": op11_lm_score,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash": r"""
