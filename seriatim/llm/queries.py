@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, lm_scoring, minhash_dedup, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
+from . import decontaminate, exact_topk, language_id, lm_scoring, minhash_dedup, prefix_trie, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -70,6 +70,10 @@ def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).drop("trained")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.paths(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix": op9_suffix,
     "op10_topk": op10_topk,
     "op11_lm_score": op11_lm_score,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash": r"""
@@ -115,4 +120,19 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(rank as integer) as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
     """,
+    "op12_prefix_trie": r"""
+        with t as (select conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own
+                   from conversations where conv_id is not null group by conv_id),
+        h as (select *, cast(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::bigint) % 4 as integer) as h from t),
+        p as (select a.conv_id, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) as path from h a left join t b on b.conv_id = a.conv_id - a.conv_id % 20),
+        k as (select conv_id, path, unnest(range(0, len(path) + 1)) as depth from p),
+        g as (select path[1:depth] as node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(path) = depth), '')) as ends_sha256 from k group by 1, 2),
+        c as (select node[1:depth - 1] as node, count(*) as n from g where depth > 0 group by 1),
+        f as (select g.*, coalesce(c.n, 0) as n_children, case when depth > 0 then (n_convs - 1) * len(regexp_extract_all(node[depth].x, '[^\x20\x09-\x0D]+')) else 0 end as own from g left join c using (node)),
+        u as (select node[1:d] as node, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(own) as saved_tokens from (select *, unnest(range(0, depth + 1)) as d from f) group by 1)
+        select f.conv_id, f.depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, cast(u.n_leaves as bigint) as n_leaves, cast(u.saved_tokens as bigint) as saved_tokens, f.ends_sha256
+        from f join u using (node) left join f q on f.depth > 0 and q.node = f.node[1:f.depth - 1]
+    """,
 }
