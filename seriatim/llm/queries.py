@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, language_id, lm_scoring, minhash_dedup, prefix_trie, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
+from . import decontaminate, exact_topk, hard_negatives, language_id, lm_scoring, minhash_dedup, prefix_trie, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
 from ._spark import hash_mod
 
 
@@ -74,6 +74,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.paths(table(spark, sf_dir, "conversations"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
     "op11_lm_score": op11_lm_score,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash": r"""
@@ -135,4 +141,16 @@ ORACLE_SQL: dict[str, str] = {
         select f.conv_id, f.depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, cast(u.n_leaves as bigint) as n_leaves, cast(u.saved_tokens as bigint) as saved_tokens, f.ends_sha256
         from f join u using (node) left join f q on f.depth > 0 and q.node = f.node[1:f.depth - 1]
     """,
+    "op13_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+                   from embeddings where vec_id is not null and label is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+              from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score
+              from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same) where place <= 5),
+        n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+              from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score)
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5
+    """,
 }
