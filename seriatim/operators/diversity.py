@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRICES, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, capped_ratio, of, pearson, ratio, symmetric_ratio
+from ..sources.store import written
 from .fidelity import autocorrelations, side_by_side
 from .nearest import nearest
 from .shape import SERIES, normalized_columns, overlap, standardized, vectors
@@ -22,7 +23,7 @@ def side(frame: DataFrame, variant: str) -> DataFrame:
 
 def coverage_ratio(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Share of original rows whose nearest synthetic row lies within the threshold, in standardised space."""
-    rows = vectors(standardized(overlap(points)))
+    rows = written(vectors(standardized(overlap(points))), "vectors")
     near = nearest(side(rows, ORIGINAL), side(rows, SYNTHETIC))
     return near.agg(F.coalesce(F.avg((F.col("distance") <= config.coverage_threshold).cast("double")), F.lit(0.0)).alias("coverage_ratio"))
 

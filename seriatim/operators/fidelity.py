@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, dtw, of, pearson
 from . import ecdf
+from .ranks import numbered
 from .shape import SERIES, overlap, standardized, without
 
 
@@ -64,7 +65,7 @@ def statistical_moments_difference(points: DataFrame) -> DataFrame:
 def reranked(matrix: DataFrame) -> DataFrame:
     """ord anew, over the series that the matrix has kept."""
     ids = matrix.select(*SERIES).distinct()
-    place = ids.withColumn("place", F.row_number().over(Window.partitionBy("variant").orderBy("ord")) - 1)
+    place = numbered(ids, ["variant"], ["ord", "series"], "place")
     return matrix.join(place, list(SERIES)).drop("ord").withColumnRenamed("place", "ord")
 
 

@@ -11,12 +11,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, clipped, of
 from .fidelity import reranked, side_by_side
+from .ranks import numbered, percentiles
 from .shape import lagged, padded, vectors
 from .utility import SIDES, gram
 
@@ -158,11 +159,11 @@ def logistic_step(data: DataFrame, weights: dict[tuple[str, int], np.ndarray]) -
 def classification_similarity(rows: DataFrame, features: int) -> float:
     """Logistic regression (L2, weight 1) for 'last feature above its median' from the others, accuracy over folds on each side, compared."""
     last = F.element_at("v", -1)
-    median = rows.groupBy("variant").agg(F.percentile(last, F.lit(0.5)).alias("median"))
+    median = percentiles(rows.select("variant", last.alias("value")), ["variant"], [0.5]).select("variant", F.col("q")[0].alias("median"))
     # a row for each side
     labelled = rows.join(F.broadcast(median), "variant").withColumn("label", (last > F.col("median")).cast("int"))
-    place = F.row_number().over(Window.partitionBy("variant", "label").orderBy("ord")) - 1  # folds keep the share of the classes
-    data = labelled.select("variant", "label", (place % FOLDS).cast("int").alias("fold"), F.slice("v", F.lit(1), F.size("v") - 1).alias("x")).cache()
+    labelled = numbered(labelled, ["variant", "label"], ["ord"], "place")  # folds keep the share of the classes
+    data = labelled.select("variant", "label", (F.col("place") % FOLDS).cast("int").alias("fold"), F.slice("v", F.lit(1), F.size("v") - 1).alias("x")).cache()
     classes = data.groupBy("variant").agg(F.countDistinct("label").alias("k")).collect()
     if len(classes) < 2 or any(r["k"] < 2 for r in classes):
         data.unpersist()

@@ -1,7 +1,9 @@
-"""Exact nearest neighbours between two sets of series, and correlations within one, by a grid of blocks.
+"""Exact nearest neighbours between two sets of series, and correlations within one, without broadcasting or gathering a side.
 
-Both sides are dealt to blocks of bounded size, and each pair of blocks is one task cell that keeps the k best of its
-block; so no side is broadcast, no task holds more than two blocks, and the work is even.
+Nearest neighbours are pruned by pivots. At most ``PIVOTS`` rows of the searched side are pivots; a row goes to the block of its nearest pivot (blocks of about
+``BLOCK`` rows, by a hash where a pivot has more), and a block keeps the range of its rows' distances to every pivot. By the triangle inequality these ranges bound the distance
+of any row to a block. Each row first searches the block with the least bound; its k-th distance there is what it carries on: it is sent to the blocks whose
+bound is not above it, and to no others. Blocks stay where they are. Where nothing can be excluded, as among unrelated points of many dimensions, every row is sent to every block.
 """
 
 from __future__ import annotations
@@ -13,39 +15,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from ..sources.store import written
 
+BLOCK, BLOCKS, PIVOTS, AT_ONCE = 2048, 1 << 14, 32, 1024
 
-def blocks(rows: DataFrame, name: str, n: int, other: int, other_name: str) -> DataFrame:
-    dealt = rows.select(F.struct("series", "v").alias("x"), F.pmod(F.xxhash64("series"), F.lit(n)).cast("int").alias(name)).groupBy(name).agg(F.collect_list("x").alias(f"{name}_rows"))
-    return dealt.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
 
-
-def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     flat = column.flatten()
-    ids = flat.field(0).to_numpy(zero_copy_only=False)
+    ids = flat.field(0)
     return ids, flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
-def nearest(rows: DataFrame, others: DataFrame, k: int = 1) -> DataFrame:
-    """The k least Euclidean distances from each of ``rows`` to ``others`` (both: series, v): series, rank (from 1), distance."""
-    n, m = (-(-max(x.count(), 1) // BLOCK) for x in (rows, others))
-    grid = blocks(rows, "a", n, m, "b").join(blocks(others, "b", m, n, "a"), ["a", "b"])
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all of y. They lose digits near 0, as sums of squares less products do."""
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0))
+
+
+def matrix(batch: pa.RecordBatch, column: str = "v") -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+class Blocks:
+    """The searched side: pivots, a written table of blocks (block, rows, x) and on the driver a range of distances for each."""
+
+    def __init__(self, others: DataFrame, size: int = BLOCK):
+        others = written(known(others), "searched")
+        m = others.count()
+        size = max(size, -(-m // BLOCKS))
+        wanted = min(PIVOTS, -(-max(m, 1) // size))
+        self.pivots = np.array([r["v"] for r in others.orderBy(F.xxhash64("series"), "series").limit(wanted).select("v").collect()])
+        pivots = others.sparkSession.sparkContext.broadcast(self.pivots)  # PIVOTS rows
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = euclidean(matrix(batch), pivots.value)
+                yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("v"), pa.array(d.argmin(axis=1).astype(np.int32))], names=["series", "v", "pivot"])
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                low, high = [], []
+                for i in range(batch.num_rows):
+                    d = euclidean(unpacked(batch.column("x").slice(i, 1))[1], pivots.value)
+                    low.append(d.min(axis=0))
+                    high.append(d.max(axis=0))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pivot", "sub", "rows", "x")), pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64()))], names=["pivot", "sub", "rows", "x", "low", "high"])
+
+        series = others.schema["series"].dataType.simpleString()
+        placed = others.mapInArrow(place, f"series {series}, v array<double>, pivot int")
+        if wanted > 1:
+            placed = written(placed, "placed")
+            subs = F.element_at(F.array(*(F.lit(n) for n in self.subs(placed, wanted, size))), F.col("pivot") + 1)
+        else:
+            subs = F.lit(1)
+        dealt = placed.withColumn("sub", F.pmod(F.xxhash64("series"), subs).cast("int")).groupBy("pivot", "sub").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.collect_list(F.struct("series", "v")).alias("x"))
+        self.table = written(dealt.mapInArrow(bound, f"pivot int, sub int, rows int, x array<struct<series:{series},v:array<double>>>, low array<double>, high array<double>"), "blocks")
+        self.ranges = self.table.select("pivot", "sub", "low", "high").toArrow()  # BLOCKS rows of 2 * PIVOTS numbers at most, and PIVOTS more
+
+    @staticmethod
+    def subs(placed: DataFrame, wanted: int, size: int) -> list[int]:
+        """The number of blocks of each pivot, of which there are PIVOTS at most."""
+        n = dict(placed.groupBy("pivot").count().collect())
+        return [max(1, -(-n.get(p, 0) // size)) for p in range(wanted)]
+
+
+def known(rows: DataFrame) -> DataFrame:
+    return rows.select("series", "v").where(F.forall("v", lambda x: x.isNotNull()))
+
+
+def sent(rows: DataFrame, blocks: Blocks, first: bool) -> DataFrame:
+    """Rows (series, v, and reach but for the first time) beside the blocks they search: the one with the least bound, or all others with a bound up to reach."""
+    sc = rows.sparkSession.sparkContext
+    low, high = (np.array(blocks.ranges.column(c).to_pylist()) for c in ("low", "high"))
+    shared = sc.broadcast((blocks.ranges.column("pivot").to_numpy(), blocks.ranges.column("sub").to_numpy(), low, high, blocks.pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, sub, low, high, pivots = shared.value
+        if not len(pivot):
+            return
         for batch in batches:
+            own = euclidean(matrix(batch), pivots)
             for i in range(batch.num_rows):
-                ids, x = unpacked(batch.column("a_rows").slice(i, 1))
-                _, y = unpacked(batch.column("b_rows").slice(i, 1))
-                rough = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
-                some = np.argpartition(rough, min(k + 3, len(y)) - 1, axis=1)[:, : k + 3]
-                # the products lose digits near 0, so the few best are measured again
-                d = np.sort(np.sqrt(((x[:, None, :] - y[some]) ** 2).sum(axis=2)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, d.shape[1])), pa.array(d.ravel())], names=["series", "distance"])
+                least = np.maximum(np.maximum(own[i] - high, low - own[i]), 0).max(axis=1)
+                home = int(least.argmin())
+                if first:
+                    places = np.array([home])
+                else:
+                    reach = batch.column("reach")[i].as_py()
+                    places = np.flatnonzero(least <= reach * (1 + 1e-9) + 1e-6)
+                    places = places[places != home]
+                if len(places):
+                    one = pa.array(np.full(len(places), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(pivot[places]), pa.array(sub[places]), batch.column("series").take(one), batch.column("v").take(one)], names=["pivot", "sub", "series", "v"])
+
+    kind = rows.schema["series"].dataType.simpleString()
+    return rows.mapInArrow(run, f"pivot int, sub int, series {kind}, v array<double>")
+
+
+def searched(cells: DataFrame, blocks: Blocks, k: int, rows: int) -> DataFrame:
+    """(series, distance) of the k nearest in each block that a row was sent to."""
+    part = F.pmod(F.xxhash64("series"), F.lit(-(-max(rows, 1) // AT_ONCE))).alias("part")
+    packed = cells.groupBy("pivot", "sub", part).agg(F.collect_list(F.struct("series", "v")).alias("a"))
 
-    local = grid.select("a_rows", "b_rows").mapInArrow(run, "series long, distance double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x = unpacked(batch.column("a").slice(i, 1))
+                _, y = unpacked(batch.column("x").slice(i, 1))
+                rough = euclidean(x, y)
+                some = np.argpartition(rough, min(k + 3, len(y)) - 1, axis=1)[:, : k + 3]
+                # the few best are measured again, without loss of digits
+                d = np.sort(np.stack([np.sqrt(((x - y[some[:, j]]) ** 2).sum(axis=1)) for j in range(some.shape[1])], axis=1), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), d.shape[1]))), pa.array(d.ravel())], names=["series", "distance"])
+
+    joined = blocks.table.select("pivot", "sub", "x").join(packed, ["pivot", "sub"]).select("x", "a")
+    return joined.mapInArrow(run, f"series {cells.schema['series'].dataType.simpleString()}, distance double")
+
+
+def nearest(rows: DataFrame, others: DataFrame, k: int = 1, size: int = BLOCK) -> DataFrame:
+    """The k least Euclidean distances from each of ``rows`` to ``others`` (both: series, v, all of one length): series, rank (from 1), distance, as a written table.
+
+    Rows with an unknown cell take no part on either side. Fewer than k others: all.
+    """
+    rows = written(known(rows), "rows")
+    n, blocks = rows.count(), Blocks(others, size)
+    home = searched(sent(rows, blocks, True), blocks, k, n)
+    if blocks.ranges.num_rows > 1:
+        home = written(home, "home")
+        reach = home.groupBy("series").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("reach"))
+        home = home.unionByName(searched(sent(rows.join(reach, "series"), blocks, False), blocks, k, n))
     order = Window.partitionBy("series").orderBy("distance")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("series", "rank", "distance")
+    return written(home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("series", "rank", "distance"), "nearest")
 
 
 def absolute_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -69,19 +168,25 @@ def absolute_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def correlation_sums(rows: DataFrame) -> DataFrame:
-    """Partial sums over all pairs of ``rows`` (series, v): total of the absolute correlations that are defined, and their number n."""
-    rows = rows.select("series", "v")
+    """Partial sums over all pairs of ``rows`` (series, v): total of the absolute correlations that are defined, and their number n.
+
+    Rows are dealt to blocks; a block goes to one task cell for each block not before it.
+    """
+    rows = written(rows.select("series", "v"), "correlated")
     m = -(-max(rows.count(), 1) // BLOCK)
-    grid = blocks(rows, "a", m, m, "b").join(blocks(rows, "b", m, m, "a"), ["a", "b"]).where("a <= b")
+    dealt = rows.groupBy(F.pmod(F.xxhash64("series"), F.lit(m)).cast("int").alias("a")).agg(F.collect_list(F.struct("series", "v")).alias("a_rows"))
+    other = dealt.select(F.col("a").alias("b"), F.col("a_rows").alias("b_rows"), F.explode(F.sequence(F.lit(0), F.col("a"))).alias("a"))
+    grid = dealt.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(m - 1)))).join(other, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x = unpacked(batch.column("a_rows").slice(i, 1))
-                others, y = unpacked(batch.column("b_rows").slice(i, 1))
-                r = absolute_correlations(x, y)
+                _, x = unpacked(batch.column("a_rows").slice(i, 1))
                 if batch.column("a")[i].as_py() == batch.column("b")[i].as_py():
-                    r[ids[:, None] >= others] = np.nan
+                    r = absolute_correlations(x, x)
+                    r[np.tril_indices(len(r))] = np.nan
+                else:
+                    r = absolute_correlations(x, unpacked(batch.column("b_rows").slice(i, 1))[1])
                 known = ~np.isnan(r)
                 yield pa.RecordBatch.from_arrays([pa.array([r[known].sum()]), pa.array([int(known.sum())])], names=["total", "n"])
 

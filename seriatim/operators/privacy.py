@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, clipped, of, ratio
+from ..sources.store import written
 from .diversity import side
 from .fidelity import reranked, side_by_side
 from .nearest import correlation_sums, nearest
+from .ranks import percentiles
 from .shape import overlap, padded, standardized, vectors, without
 from .utility import SIDES, two_sided
 
 
 def distances(points: DataFrame, k: int = 1) -> DataFrame:
     """The k least distances of each synthetic row to original rows, on padded matrices scaled by the original."""
-    rows = vectors(standardized(padded(points)))
+    rows = written(vectors(standardized(padded(points))), "vectors")
     return nearest(side(rows, SYNTHETIC), side(rows, ORIGINAL), k)
 
 
 def distance_to_closest_record(points: DataFrame) -> DataFrame:
     """Least distances over their own 95th percentile, at most 1; the raw mean and minimum beside them."""
     d = distances(points)
-    scale = d.agg(F.percentile("distance", F.lit(0.95))).scalar()
+    scale = percentiles(d.withColumn("value", F.col("distance")), [], [0.95]).select(F.col("q")[0]).scalar()
     x = d.withColumn("scale", scale)
     x = x.withColumn("x", F.least(F.try_divide("distance", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))), F.lit(1.0)))
     return x.agg(F.coalesce(F.avg("x"), F.lit(1.0)).alias("dcr_mean"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("dcr_std"), F.coalesce(F.min("x"), F.lit(1.0)).alias("dcr_min"), F.avg("distance").alias("raw_mean"), F.min("distance").alias("raw_min"))
@@ -78,8 +80,10 @@ def differential_privacy(points: DataFrame) -> DataFrame:
 def distance_privacy(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A sigmoid of the mean least distance of the synthetic rows (all, or the first ``distance_rows``) over its 75th percentile."""
     m = reranked(standardized(padded(points)))
-    rows = vectors(m if config.distance_rows is None else m.where((F.col("variant") == ORIGINAL) | (F.col("ord") < config.distance_rows)))
-    d = nearest(side(rows, SYNTHETIC), side(rows, ORIGINAL)).agg(F.avg("distance").alias("mean"), F.percentile("distance", F.lit(0.75)).alias("q"))
+    rows = written(vectors(m if config.distance_rows is None else m.where((F.col("variant") == ORIGINAL) | (F.col("ord") < config.distance_rows))), "vectors")
+    near = nearest(side(rows, SYNTHETIC), side(rows, ORIGINAL))
+    q = percentiles(near.withColumn("value", F.col("distance")), [], [0.75]).select(F.col("q")[0]).scalar()
+    d = near.agg(F.avg("distance").alias("mean")).withColumn("q", q)
     x = F.when(F.col("q") > 0, F.col("mean") / (F.col("q") + 1e-6)).otherwise(F.col("mean"))
     return d.select(F.coalesce(clipped(0.2 + 0.7 / (1 + F.exp(-2 * (x - 0.5))), 0.2, 0.9), F.lit(0.5)).alias("distance_privacy"))
 

@@ -12,8 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, clipped, of, pearson, ratio
+from ..sources.store import written
 from .diversity import by_side, steps_across
 from .fidelity import side_by_side
+from .ranks import percentiles
 from .shape import SERIES, padded, vectors, without
 
 SIDES = (ORIGINAL, SYNTHETIC)
@@ -22,10 +24,14 @@ AGGREGATES = {"n": F.count, "mean": F.avg, "sd": F.stddev_pop, "lo": F.min, "hi"
 
 def two_sided(values: DataFrame, keys: list[str], quartiles: bool = False) -> DataFrame:
     """Per key: n, mean, sd (population), lo, hi and on demand quartiles q of each side, suffixed _o and _s."""
+    if quartiles:
+        values = written(values.select(*keys, "variant", "value"), "values")
     aggs = [agg(of(x, F.col("value"))).alias(f"{name}_{x}") for x in SIDES for name, agg in AGGREGATES.items()]
+    out = values.groupBy(*keys).agg(*aggs)
     if quartiles:
-        aggs += [F.percentile(of(x, F.col("value")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in SIDES]
-    return values.groupBy(*keys).agg(*aggs)
+        q = percentiles(values, [*keys, "variant"], [0.25, 0.5, 0.75])
+        out = out.join(q.groupBy(*keys).agg(*(F.max(of(x, F.col("q"))).alias(f"q_{x}") for x in SIDES)), keys, "left")
+    return out
 
 
 def mean_of(terms: list[Column], default: float) -> Column:
@@ -164,7 +170,7 @@ def discriminative_similarity(points: DataFrame, config: Config = DEFAULT) -> Da
 
 def column_utility(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Per column of either side: overall_utility_score, correlation_preservation (lag-1 or distributional predictability), distribution_similarity."""
-    values = without(points).where(F.col("value").isNotNull())
+    values = written(without(points).where(F.col("value").isNotNull()), "known")
     per = two_sided(values, ["column"])
     held = contexts(values).groupBy("column").agg(*(F.count(of(x, F.lit(1))).alias(f"held_{x}") for x in SIDES))
     names = without(points).select("column").distinct()

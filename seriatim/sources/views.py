@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def numbered(points: DataFrame) -> DataFrame:
-    """Adds ord. Only the distinct series ids are ordered, never the points."""
+    """Adds ord. Only the distinct series ids are ordered, by ranges over all tasks, never the points."""
     ids = points.select("variant", "series").distinct()
-    order = Window.partitionBy("variant").orderBy("series")
-    return points.join(ids.withColumn("ord", F.row_number().over(order) - 1), ["variant", "series"])
+    return points.join(ranks.numbered(ids, ["variant"], ["series"]), ["variant", "series"])
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
