@@ -106,8 +106,8 @@ for view in ("ev", "bars"):
     register(f"column_fidelity{suffix}", view, fidelity.column_fidelity, sql.query(view, sql.COLFID, select='select "column", round(0.6 * mdd + 0.4 * moment_similarity, 6) as column_fidelity_score, round(mdd, 6) as mdd, round(moment_similarity, 6) as moment_similarity from cf'))
 register("acf", "ev", lambda p: fidelity.autocorrelations(p).select("variant", "series", "column", "lag", "acf"), sql.query("ev", sql.ACF, select='select variant, series, "column", lag, round(acf, 6) as acf from acfs'))
 register("ks_by_column", "types", lambda p: ecdf.kolmogorov(p, ["column"]), sql.query("types", sql.ecdf("points", '"column"'), select='select "column", round(max(abs(cdf_o - cdf_s)), 6) as ks from st group by "column"'))
-register("dtw", "ev", fidelity.dynamic_time_warping)
-register("fidelity_overall", "ev", fidelity.all_fidelity)
+register("dtw", "ev", fidelity.dynamic_time_warping, sql.query("ev", sql.DTW, select=sql.summary("dtw", "min")))
+register("fidelity_overall", "ev", fidelity.all_fidelity, sql.query("ev", sql.FIDELITY, select=f"select {sql.rounded(*sql.FIDELITY_NAMES)} from fid"))
 
 # diversity
 register("coverage", "emb", diversity.coverage_ratio, sql.query("emb", sql.M1, sql.SCALED, sql.dist("scaled"), select="select round(avg(case when d <= 0.5 then 1.0 else 0.0 end), 6) as coverage_ratio from (select other, min(d) as d from dd group by other)"))

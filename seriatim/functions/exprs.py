@@ -42,18 +42,3 @@ def bin_of(v: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def clipped(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-
-
-def dtw(a: Column, b: Column) -> Column:
-    """Dynamic time warping distance of two arrays: root of the least sum of squared differences, one row of the table at a time."""
-    inf = F.lit(float("inf"))
-    first = F.concat(F.array(F.lit(0.0)), F.transform(b, lambda _: inf))
-
-    def next_row(above: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(inf),
-            lambda row, j: F.concat(row, F.array(F.pow(x - F.element_at(b, j), 2) + F.least(F.element_at(above, j + 1), F.element_at(above, j), F.element_at(row, -1)))),
-        )
-
-    return F.sqrt(F.element_at(F.aggregate(a, first, next_row), -1))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, dtw, of, pearson
-from . import ecdf
+from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, of, pearson
+from . import ecdf, warping
 from .ranks import numbered
 from .shape import SERIES, overlap, standardized, without
 
@@ -83,7 +83,7 @@ def dtw_distances(points: DataFrame, pairs: int | None = DEFAULT.dtw_pairs) -> D
     taken = points if pairs is None else points.where(F.col("ord") < pairs)
     rows = taken.where(F.col("value").isNotNull()).groupBy(*SERIES, "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("v"))
     both = paired(rows, ["column"], "v").where("size(v_o) > 1 and size(v_s) > 1")
-    return both.repartition("ord", "column").select("ord", "column", (dtw(F.col("v_o"), F.col("v_s")) / F.greatest(F.size("v_o"), F.size("v_s"))).alias("score"))
+    return warping.distances(both)
 
 
 def dynamic_time_warping(points: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -104,6 +104,22 @@ def ecdf(source: str, key: str) -> str:
 
 
 W1 = SCALED + ", " + ecdf("scaled", "f") + ", scores as (select f, coalesce(sum(abs(cdf_o - cdf_s) * gap), 0) as score from st group by f)"
+# a row of the table follows from the one above: with running sums c of its own squares, d[j] = c[j] + min over k <= j of (min(above[k - 1], above[k]) - c[k - 1])
+DTW = """vs as (select ord, "column", list(value order by t) filter (where variant = 'o') as a, list(value order by t) filter (where variant = 's') as b from points group by ord, "column"),
+  pairs as (select * from vs where len(a) > 1 and len(b) > 1),
+  warp as (with recursive w(ord, "column", a, b, i, d) as (
+      select ord, "column", a, b, 0, list_concat([0.0::double], list_transform(b, lambda x: 'inf'::double)) from pairs
+      union all select ord, "column", a, b, i + 1, list_concat(['inf'::double], list_transform(range(1, len(b) + 1), lambda j: c[j] + list_min(m[1:j]))) from (
+        select *, list_transform(range(1, len(b) + 1), lambda k: least(d[k], d[k + 1]) - (c[k] - s[k])) as m from (
+          select *, list_transform(range(1, len(b) + 1), lambda k: list_sum(s[1:k])) as c from (select *, list_transform(b, lambda y: pow(a[i + 1] - y, 2)) as s from w where i < len(a)))))
+    select ord, "column", sqrt(d[len(d)]) / greatest(len(a), len(b)) as score from w where i = len(a)),
+  scores as (select score from warp)"""
+
+
+def plain_summary(prefix: str, extreme: str) -> str:
+    return f"select coalesce(avg(score), 1.0) as {prefix}_mean, coalesce(stddev_pop(score), 0.0) as {prefix}_std, coalesce({extreme}(score), 1.0) as {prefix}_{extreme} from scores"
+
+
 POOLED = """ids as (select series, count(distinct variant) as sides from points group by series), pooled as (
     select p.* from points p join (select series, "column", count(distinct variant) as sides from points where value is not null group by series, "column") s using (series, "column")
     where lower("column") <> 'openint' and value is not null and ((select max(sides) from ids) < 2 or sides = 2))"""
@@ -112,6 +128,14 @@ COLFID = POOLED + ", " + ecdf("pooled", '"column"') + ", " + moments("pooled", '
     from mo join (select "column", max(abs(cdf_o - cdf_s)) as ks from st group by "column") using ("column"))"""
 
 
+# every fidelity measure of a view as one row
+FIDELITY_NAMES = tuple(f"{p}_{x}" for p, e in (("mdd", "max"), ("acd", "max"), ("dtw", "min"), ("euclidean", "min"), ("wasserstein", "min")) for x in ("mean", "std", e)) + ("skewness_diff", "kurtosis_diff", "moment_score", "overall_fidelity_score")
+FIDELITY = f"""f1 as (with {M1}, {MDD} {plain_summary('mdd', 'max')}), f2 as (with {ACF}, {ACD} {plain_summary('acd', 'max')}), f3 as (with {DTW} {plain_summary('dtw', 'min')}),
+  f4 as (with {M1}, {EUCLID} {plain_summary('euclidean', 'min')}), f5 as (with {M1}, {W1} {plain_summary('wasserstein', 'min')}),
+  f6 as (with {M1}, {moments('m', 'f')} select *, greatest(0.0, 1 - (skewness_diff + kurtosis_diff) / 2) as moment_score from (select coalesce(avg(abs(skew_o - skew_s)), 1.0) as skewness_diff, coalesce(avg(abs(kurt_o - kurt_s)), 1.0) as kurtosis_diff from mo where n_o > 3 and n_s > 3)),
+  fid as (select *, greatest(0.0, 1 - (mdd_mean + acd_mean + 1 - moment_score + least(dtw_mean, 1.0) + least(euclidean_mean, 1.0) + least(wasserstein_mean, 1.0)) / 6) as overall_fidelity_score from f1, f2, f3, f4, f5, f6)"""
+
+
 def entropy(source: str, key: str) -> str:
     return f"""er as (select {key}, variant, n, case when lo = hi then lo - 0.5 else lo end as lo, case when lo = hi then hi + 0.5 else hi end as hi from (select {key}, variant, min(value) as lo, max(value) as hi, count(*) as n from {source} group by {key}, variant)),
     en as (select {key}, variant, -sum(p * ln(p)) - (10 - count(*)) * any_value(e * ln(e)) as entropy from (

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriatim.config import Config
-from seriatim.operators import diversity, ecdf, fidelity, models, nearest, privacy, shape, utility
+from seriatim.operators import diversity, ecdf, fidelity, models, nearest, privacy, shape, utility, warping
 
 SCHEMA = "variant string, series long, ord int, t int, column string, col_ord int, value double"
 
@@ -183,3 +183,22 @@ def test_attack_tells_shifted_data_apart(spark):
     p = points(spark, [rng.normal(size=(6, 2)).cumsum(axis=0) for _ in range(40)], [np.sin(np.arange(6))[:, None] + rng.normal(0, 0.01, size=(6, 2)) for _ in range(40)])
     row = models.attack(p, Config(trees=10)).first()
     assert row["mi_accuracy"] > 0.9 and row["mi_auc"] > 0.9
+
+
+def test_warping_of_unequal_lengths_in_batches(monkeypatch):
+    monkeypatch.setattr(warping, "CELLS", 40)
+    rng = np.random.default_rng(9)
+    pairs = [(rng.normal(size=n), rng.normal(size=m)) for n, m in [(1, 1), (1, 7), (30, 2), (5, 5), (12, 9), (9, 12), (64, 80)]]
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    flat = [np.concatenate([p[k] for p in pairs]) for k in (0, 1)]
+    got = np.zeros(len(pairs))
+    for some in warping.batches_of(n, m):
+        sides = [warping.padded(flat[k], (np.cumsum(x) - x)[some], x[some]) for k, x in ((0, n), (1, m))]
+        got[some] = warping.warped(*sides, n[some], m[some])
+    for (x, y), d in zip(pairs, got):
+        table = np.full((len(x) + 1, len(y) + 1), np.inf)
+        table[0, 0] = 0
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(table[i, j], table[i, j + 1], table[i + 1, j])
+        assert np.isclose(d, np.sqrt(table[-1, -1]))
