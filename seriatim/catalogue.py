@@ -178,6 +178,10 @@ register("utility_bounds", "ev", lambda p: utility.bounded(utility.distribution_
 
 # models
 register("attack_models", "emb", models.attack)
+for view in ("emb", "bars"):
+    register("attack_split" if view == "emb" else "attack_split_bars", view, models.attack_split, sql.query(view, sql.M2, sql.SPLIT, select="select variant, ord, place < case when variant = 'o' then ceil(total / 2) else floor(total / 2) end as test from drawn"))
+for view in ("ev", "bars"):
+    register("column_privacy" if view == "ev" else "column_privacy_bars", view, models.column_privacy)
 register("predictive_score", "ev", models.predictive_score)
 register("contextual_fid", "emb", models.contextual_fid)
 register("downstream_tasks", "emb", models.downstream_tasks)

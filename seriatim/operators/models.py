@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, clipped, of
-from .fidelity import reranked, side_by_side
+from ..sources.store import written
+from . import forest
+from .fidelity import reranked
+from .privacy import column_distances, column_distributional_privacy
 from .ranks import numbered, percentiles
-from .shape import lagged, padded, vectors
+from .shape import lagged, padded, padded_columns, vectors, without
 from .utility import SIDES, gram
 
 FOLDS = 3
@@ -28,31 +31,47 @@ def one_row(spark: SparkSession, **values: float) -> DataFrame:
     return spark.createDataFrame([tuple(float(x) for x in values.values())], ", ".join(f"{k} double" for k in values))
 
 
+def split(rows: DataFrame, config: Config = DEFAULT, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that an attack works on, with ``test``: each side (of each key) cut to the size of the smaller one, in order of ord, and a share of both sides drawn for the test.
+
+    ``rows`` (keys, variant, series, ord) are a row for each series. The test side has ceil(share * n) of all n rows, half from each side, the odd one from the original: the first by the
+    MD5 of key, variant, place and seed. A key with one side has no rows.
+    """
+    placed = numbered(rows.withColumnRenamed("ord", "before"), [*keys, "variant"], ["before", "series"], "ord")
+    sizes = placed.groupBy(*keys, "variant").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("sides")).where("sides = 2")
+    sizes = sizes if keys else sizes.select(F.lit(1).alias("one"), "least")
+    chosen = (placed if keys else placed.withColumn("one", F.lit(1))).join(sizes.select(*(keys or ["one"]), "least"), [*(keys or ["one"])]).where(F.col("ord") < F.col("least"))
+    drawn = chosen.withColumn("draw", F.md5(F.concat_ws(":", *keys, "variant", F.col("ord").cast("string"), F.lit(str(config.seed)))))
+    total = F.ceil(F.lit(2 * config.test_share) * F.col("least") - 1e-9)  # 0.3 has no exact binary form
+    share = F.when(F.col("variant") == ORIGINAL, F.ceil(total / 2)).otherwise(F.floor(total / 2))
+    ranked = numbered(drawn, [*keys, "variant"], ["draw", "ord"], "place")
+    return ranked.withColumn("test", F.col("place") < share).drop("before", "draw", "place", "one")
+
+
 def attack(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """A forest that tells original from synthetic rows: ds_accuracy, ds_score, mi_accuracy, mi_auc, mi_risk_score in one row.
 
-    Both measures rest on the same rows, split and model, so it is fitted once. The sides are cut to equal numbers of
-    rows, the test share is drawn by a hash of the series; trees do not depend on scaling. Fewer than 10 rows: 0.5, 0, 0.5, 0.5, 0.
+    Both measures rest on the same rows, split and model, so it is fitted once. Trees do not depend on scaling. Fewer than 10 rows: 0.5, 0, 0.5, 0.5, 0.
     """
     spark = points.sparkSession
-    rows = vectors(reranked(padded(points))).cache()
-    n = rows.groupBy("variant").count().agg(F.min("count"), F.count(F.lit(1))).first()
-    least = n[0] if n[1] == 2 else 0
-    chosen = rows.where(F.col("ord") < least).select(array_to_vector("v").alias("features"), (F.col("variant") == ORIGINAL).cast("double").alias("label"), F.pmod(F.xxhash64("variant", "ord", F.lit(config.seed)), F.lit(1000)).alias("draw"))
-    if 2 * least < 10:
-        rows.unpersist()
+    rows = written(split(vectors(padded(points)), config), "attacked")
+    chosen = rows.select(array_to_vector("v").alias("features"), (F.col("variant") == ORIGINAL).cast("double").alias("label"), "test")
+    if rows.count() < 10:
         return one_row(spark, ds_accuracy=0.5, ds_score=0, mi_accuracy=0.5, mi_auc=0.5, mi_risk_score=0)
-    cut = int(1000 * config.test_share)
-    model = RandomForestClassifier(numTrees=config.trees, maxDepth=config.depth, seed=config.seed).fit(chosen.where(F.col("draw") >= cut))
-    tested = model.transform(chosen.where(F.col("draw") < cut)).select("label", "prediction", "probability", "rawPrediction").cache()
+    model = RandomForestClassifier(numTrees=config.trees, maxDepth=config.depth, seed=config.seed).fit(chosen.where("not test"))
+    tested = model.transform(chosen.where("test")).select("label", "prediction", "probability", "rawPrediction").cache()
     accuracy = tested.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
     auc = BinaryClassificationEvaluator().evaluate(tested) if accuracy is not None else 0.5
     tested.unpersist()
-    rows.unpersist()
     accuracy = 0.5 if accuracy is None else accuracy
     return one_row(spark, ds_accuracy=accuracy, ds_score=abs(0.5 - accuracy), mi_accuracy=accuracy, mi_auc=auc, mi_risk_score=max(0.0, 2 * (accuracy - 0.5)))
 
 
+def attack_split(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """variant, ord, test of the rows of ``attack``."""
+    return split(vectors(padded(points)), config).select("variant", "ord", "test")
+
+
 def discriminative_score(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return attack(points, config).select("ds_accuracy", "ds_score")
 
@@ -194,14 +213,24 @@ def downstream_tasks(points: DataFrame) -> DataFrame:
     return one_row(points.sparkSession, dt_classification_score=a, dt_regression_score=b, dt_overall_score=(a + b) / 2)
 
 
+def column_attacks(matrices: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(key, mir_accuracy) of the matrices of columns: an attack on each column alone, all of them fitted together. Fewer than 10 rows: 0.5."""
+    rows = written(split(vectors(matrices, ("key",)), config, ("key",)), "attacked")
+    few = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n < 10")
+    chosen = rows.join(few, "key", "left_anti").select("key", F.xxhash64("variant", "ord").alias("id"), (F.col("variant") == ORIGINAL).cast("int").alias("label"), "test", "v")
+    hit = ((F.col("p") > 0.5).cast("int") == F.col("label")).cast("double")
+    tried = forest.predicted(chosen, config.trees, config.depth, config.seed).groupBy("key").agg(F.avg(hit).alias("mir_accuracy"))
+    return tried.unionByName(few.select("key", F.lit(0.5).alias("mir_accuracy")))
+
+
 def column_privacy(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Per column: overall_privacy_score, dcr_mean, mir_accuracy, mir_score. One model for each column, whose number is small."""
-    from .privacy import distance_to_closest_record
-
-    out = None
-    for (name,) in points.where(F.lower("column") != "openint").select("column").distinct().orderBy("column").collect():
-        own = points.where(F.col("column") == name).withColumn("col_ord", F.lit(0))
-        row = side_by_side([distance_to_closest_record(own).select("dcr_mean"), membership_inference(own, config).select(F.col("mi_accuracy").alias("mir_accuracy"))])
-        row = row.select(F.lit(name).alias("column"), ((F.col("dcr_mean") + F.greatest(F.lit(0.0), 1 - F.col("mir_accuracy"))) / 2).alias("overall_privacy_score"), "dcr_mean", "mir_accuracy", (1 - F.col("mir_accuracy")).alias("mir_score"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Per column of either side: overall_privacy_score, dcr_mean, mir_accuracy, mir_score. One forest job serves all columns, with a pass for each level.
+
+    A column that one side lacks has the figures of the distributional form.
+    """
+    own = written(without(points).where(F.col("value").isNotNull()), "known")
+    matrices = written(padded_columns(own), "matrices")
+    both = column_distances(matrices).join(column_attacks(matrices, config), "key").withColumnRenamed("key", "column")
+    mir = F.greatest(F.lit(0.0), 1 - F.col("mir_accuracy"))
+    found = written(both.select("column", ((F.col("dcr_mean") + mir) / 2).alias("overall_privacy_score"), "dcr_mean", "mir_accuracy", mir.alias("mir_score")), "column_privacy")
+    return found.unionByName(column_distributional_privacy(own).join(found, "column", "left_anti"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -22,12 +24,27 @@ def distances(points: DataFrame, k: int = 1) -> DataFrame:
     return nearest(side(rows, SYNTHETIC), side(rows, ORIGINAL), k)
 
 
+def scaled_distance(scale: Column) -> Column:
+    return F.least(F.try_divide(F.col("distance"), F.when(scale == 0, 1.0).otherwise(scale)), F.lit(1.0))
+
+
+def column_distances(matrices: DataFrame) -> DataFrame:
+    """(key, dcr_mean) of the matrices of columns (key, variant, series, ord, f, value), each scaled by its original; columns with both sides only."""
+    rows = written(vectors(standardized(matrices, keys=("key",)), ("key",)), "columns", ["key"])
+    keys = [r["key"] for r in rows.groupBy("key").agg(F.countDistinct("variant").alias("sides")).where("sides = 2").orderBy("key").collect()]
+    near = [nearest(side(own, SYNTHETIC), side(own, ORIGINAL)).select(F.lit(key).alias("key"), "distance") for key in keys for own in [rows.where(F.col("key") == key)]]
+    if not near:
+        return matrices.sparkSession.createDataFrame([], "key string, dcr_mean double")
+    d = written(reduce(DataFrame.unionByName, near), "distances")
+    scale = percentiles(d.withColumn("value", F.col("distance")), ["key"], [0.95]).select("key", F.col("q")[0].alias("scale"))
+    return d.join(scale, "key").groupBy("key").agg(F.avg(scaled_distance(F.col("scale"))).alias("dcr_mean"))
+
+
 def distance_to_closest_record(points: DataFrame) -> DataFrame:
     """Least distances over their own 95th percentile, at most 1; the raw mean and minimum beside them."""
     d = distances(points)
     scale = percentiles(d.withColumn("value", F.col("distance")), [], [0.95]).select(F.col("q")[0]).scalar()
-    x = d.withColumn("scale", scale)
-    x = x.withColumn("x", F.least(F.try_divide("distance", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))), F.lit(1.0)))
+    x = d.withColumn("x", scaled_distance(scale))
     return x.agg(F.coalesce(F.avg("x"), F.lit(1.0)).alias("dcr_mean"), F.coalesce(F.stddev_pop("x"), F.lit(0.0)).alias("dcr_std"), F.coalesce(F.min("x"), F.lit(1.0)).alias("dcr_min"), F.avg("distance").alias("raw_mean"), F.min("distance").alias("raw_min"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ORIGINAL, of
+from .ranks import percentiles
 
 SERIES = ("variant", "series", "ord")
 
@@ -51,6 +52,20 @@ def padded(points: DataFrame) -> DataFrame:
     return long_.select(*SERIES, F.posexplode("v").alias("f", "value"))
 
 
+def padded_columns(points: DataFrame) -> DataFrame:
+    """As ``padded``, for each column by itself and over its known values: key (the column), variant, series, ord, f, value. A column's size L is that of its original series."""
+    own = Window.partitionBy(*SERIES, "column")
+    sd = F.stddev_pop("value").over(own)
+    kept = points.where(F.col("value").isNotNull())
+    z = kept.withColumn("value", F.when(sd > 0, (F.col("value") - F.avg("value").over(own)) / sd).otherwise(F.col("value")))
+    rows = z.groupBy(F.col("column").alias("key"), *SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("v"))
+    n = kept.groupBy("variant", "series", F.col("column").alias("key")).agg(F.count(F.lit(1)).alias("value")).where(F.col("variant") == ORIGINAL)
+    size = percentiles(n, ["key"], [0.75]).select("key", F.col("q")[0].cast("int").alias("size"))
+    fit = rows.join(size, "key").where(F.size("v") >= F.floor(F.col("size") / 2))
+    filled = F.slice(F.concat("v", F.array_repeat(F.element_at("v", -1), F.greatest(F.col("size") - F.size("v"), F.lit(0)))), F.lit(1), F.col("size"))
+    return fit.select("key", *SERIES, filled.alias("v")).select("key", *SERIES, F.posexplode("v").alias("f", "value"))
+
+
 def column_matrices(points: DataFrame) -> DataFrame:
     """Each side cut to the row count of its shortest series."""
     rows = points.groupBy("variant", "series").agg(F.max("t").alias("last"))
@@ -74,19 +89,19 @@ def normalized_columns(points: DataFrame) -> DataFrame:
     return joined.withColumn("value", (F.col("value") - F.col("mean")) / F.when(F.col("sd") > 1e-8, F.col("sd")).otherwise(1.0)).drop("mean", "sd")
 
 
-def standardized(matrix: DataFrame, fit_on: Column | None = None) -> DataFrame:
+def standardized(matrix: DataFrame, fit_on: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Each feature less its mean over its population deviation (1 where that is 0), fitted on the original or on ``fit_on`` rows.
 
     The statistics have a row for each feature of one series, so they may be broadcast.
     """
     rows = F.col("variant") == ORIGINAL if fit_on is None else fit_on
-    stats = matrix.where(rows).groupBy("f").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    return matrix.join(stats, "f").withColumn("value", (F.col("value") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).drop("mean", "sd")
+    stats = matrix.where(rows).groupBy(*keys, "f").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return matrix.join(stats, [*keys, "f"]).withColumn("value", (F.col("value") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).drop("mean", "sd")
 
 
-def vectors(matrix: DataFrame) -> DataFrame:
-    """A row for each series: its values in order of f."""
-    return matrix.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]).alias("v"))
+def vectors(matrix: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each series (and key): its values in order of f."""
+    return matrix.groupBy(*keys, *SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]).alias("v"))
 
 
 def truncated(points: DataFrame, length: int | None = None) -> DataFrame:

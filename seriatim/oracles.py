@@ -176,6 +176,11 @@ UNIQUE = """syn as (select series, list(value order by f) as v from m where vari
   uq as (select avg(case when sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))) > 1e-6 then 1.0 else 0.0 end) as uniqueness_score from syn a join syn b on a.series < b.series)"""
 
 
+SPLIT = """own as (select distinct variant, ord as before from m), placed as (select variant, row_number() over (partition by variant order by before) - 1 as ord, count(*) over (partition by variant) as n from own),
+  cut as (select variant, ord, least, ceil(0.6 * least) as total from placed, (select min(n) as least from placed) where ord < least),
+  drawn as (select *, row_number() over (partition by variant order by md5(concat_ws(':', variant, ord, 42)), ord) - 1 as place from cut)"""
+
+
 def dist(m: str) -> str:
     """Distances from synthetic (b) to original (a) rows of a matrix."""
     return f"""vec as (select variant, series, ord, list(value order by f) as v from {m} group by variant, series, ord),
