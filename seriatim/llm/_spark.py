@@ -70,6 +70,13 @@ def hashed_sample(df: DataFrame, bound: int, key: Column) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * bound / n))
 
 
+def bounded_rows(rows: DataFrame, bound: int) -> DataFrame:
+    """One row of those with equal doc_id and text, and of these the ``bound`` with the smallest hashes of both, kept as ``pick``: so many rows at most, however ids repeat."""
+    picked = rows.withColumn("pick", F.xxhash64("doc_id", "text"))
+    last = picked.select("doc_id", "pick").distinct().orderBy("pick").limit(bound).agg(F.max("pick")).first()[0]
+    return picked.where(F.col("pick") <= F.lit(last).cast("long")).dropDuplicates(["doc_id", "pick"])
+
+
 def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``rows.mapInArrow``, with bounded batches, and workers that give memory back after each task.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_mod, hashed_sample, mapped
+from ._spark import bounded_rows, hash_mod, hashed_sample, mapped
 from ._text import COUNT_BYTES, SPACE, Prefix, slices, summed, utf8
 
 BUCKETS, DIMS, NONZERO, SIGNS = 4096, 64, 6, 16
@@ -173,11 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, bound: int = FI
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x = features(part.column("text"), shared.value)
-            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("aside"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "aside", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("pick"), part.column("label"), part.column("aside"), pa.array(list(x), pa.list_(pa.float64()))], names=["pick", "label", "aside", "x"])
 
-    # chosen holds about ``bound`` rows at most, so it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).alias("aside"))
-    rows = mapped(sample, extract, "label int, aside boolean, x array<double>").toArrow()
+    # chosen holds about ``bound`` rows at most, so it may be broadcast; ids may repeat in docs, so rows are bounded too
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    sample = bounded_rows(joined, bound).select("pick", "text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).alias("aside"))
+    rows = mapped(sample, extract, "pick long, label int, aside boolean, x array<double>").toArrow().sort_by("pick")
     y = rows.column("label").to_numpy()
     if rows.num_rows == 0:
         return None

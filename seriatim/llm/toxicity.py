@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_mod, hashed_sample, mapped
+from ._spark import bounded_rows, hash_mod, hashed_sample, mapped, stored
 from ._text import COUNT_BYTES, FOLDED, Prefix, slices, summed, utf8
 
 FIT_DOCS = 12_000
@@ -175,8 +175,9 @@ def corpus_counts(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCS) -> Model | None:
     known = labels.where(F.col("toxic").isin(0, 1) & (hash_mod(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = hashed_sample(known, bound, F.col("doc_id"))
-    # about ``bound`` rows at most, so it may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    # about ``bound`` rows at most, so it may be broadcast; ids may repeat in docs, so rows are bounded too
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    sample = stored(bounded_rows(joined, bound).select("text", "label"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=COUNT_BYTES):

@@ -114,31 +114,78 @@ def version_fields(content: bytes) -> list[str]:
     return ARC_FIELDS[2 if lines and lines[0].split()[:1] == ["2"] else 1].split()
 
 
+class Rewindable:
+    """A stream of which what was read last can be given back."""
+
+    def __init__(self, stream: io.BufferedReader):
+        self.stream, self.held, self.at = stream, b"", 0
+
+    def readline(self) -> bytes:
+        end = self.held.find(b"\n", self.at) + 1
+        if end:
+            line, self.at = self.held[self.at : end], end
+            return line
+        start, self.held, self.at = self.held[self.at :], b"", 0
+        return start + self.stream.readline()
+
+    def read(self, n: int) -> bytes:
+        start = self.held[self.at : self.at + n]
+        self.at += len(start)
+        return start + self.stream.read(n - len(start)) if len(start) < n else start
+
+    def back(self, data: bytes) -> None:
+        if self.held[max(0, self.at - len(data)) : self.at] == data:
+            self.at -= len(data)
+        else:
+            self.held, self.at = data + self.held[self.at :], 0
+
+
 def arc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of each record; an empty header for what is damaged. A version block counts at the file's start only."""
+    """(header fields, content) of each record; an empty header for what is damaged. A version block counts at the file's start only.
+
+    A record counts if a line end and another header, or the end, follow the declared length. Else its length is wrong: what was read is
+    given back, and the search for the next header starts after its own header line.
+    """
     fields = ARC_FIELDS[1].split()
-    line = stream.readline()
+    reader = Rewindable(stream)
+    line = reader.readline()
     if line.startswith(b"filedesc://"):
         words = line.decode("utf-8", "replace").split()
-        content = stream.read(int(words[-1])) if words[-1].isdigit() else b""
+        content = reader.read(int(words[-1])) if words[-1].isdigit() else b""
         fields = version_fields(content)
         yield dict(zip(("URL", "IP-address", "Archive-date", "Content-type"), [*words, "", "", ""])), content
-        line = stream.readline()
+        line = reader.readline()
     usual, strict = header_pattern(fields), header_pattern(fields, r"(\d{14})")
+
+    def followed() -> bool:
+        """Whether a line end and a header, or the end, come next; reads nothing for good."""
+        seen = [reader.readline()]
+        good = not seen[0].strip()
+        while good and seen[-1] and not seen[-1].strip():
+            seen.append(reader.readline())
+        if good and seen[-1]:
+            good = usual.match(seen[-1].decode("utf-8", "replace")) is not None
+        reader.back(b"".join(seen))
+        return good
+
     lost = False
     while line:
         if line.strip():
             found = (strict if lost else usual).match(line.decode("utf-8", "replace"))
             if found:
-                lost = False
                 header = dict(zip(fields, found.groups()))
-                content = stream.read(int(header["Archive-length"]))
-                complete = len(content) == int(header["Archive-length"])
-                yield (header, content) if complete else ({}, b"")
-            elif not lost:
+                n = int(header["Archive-length"])
+                content = reader.read(n)
+                if len(content) == n and followed():
+                    lost = False
+                    yield header, content
+                else:
+                    reader.back(content)
+                    found = None
+            if not found and not lost:
                 lost = True
                 yield {}, b""
-        line = stream.readline()
+        line = reader.readline()
 
 
 def http_parts(content: bytes) -> tuple[bytes, bytes]:
@@ -229,10 +276,11 @@ def warc_record(item, uri, date, ip, mime, kind, http, payload, n, payload_diges
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
-    """ARC files to WARC files, with revisit records for repeated payloads."""
-    narrow = read_arc(spark, arc_path, with_payload=False).where("type = 'response'").where(F.col("payload_bytes") >= least)
-    repeated = stored(narrow.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("item_id", "row", "uri", "date")).alias("top")).where("n > 1").select("payload_digest", "top"), "warc-repeated")
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> int:
+    """ARC files to WARC files, with revisit records for repeated payloads; the number of damaged places that were left out."""
+    narrow = stored(read_arc(spark, arc_path, with_payload=False).select("type", "payload_bytes", "payload_digest", "item_id", "row", "uri", "date"), "arc-records")
+    first = narrow.where("type = 'response'").where(F.col("payload_bytes") >= least)
+    repeated = stored(first.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("item_id", "row", "uri", "date")).alias("top")).where("n > 1").select("payload_digest", "top"), "warc-repeated")
     rows = read_arc(spark, arc_path).where("type <> 'damaged'").join(repeated, "payload_digest", "left")
     refers = F.when((F.col("row") != F.col("top.row")) & (F.col("type") == "response"), F.col("top"))
 
@@ -244,6 +292,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
     # the cast keeps bytes that are no UTF-8, and the writer writes them as they are
     lines = mapped(wide, run, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.options(**GZIP).option("lineSep", "\r\n\r\n").text(warc_path)
+    return narrow.where("type = 'damaged'").count()
 
 
 def warc_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
