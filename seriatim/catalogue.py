@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import oracles as sql
 from .config import Config
 from .operators import diversity, ecdf, fidelity, models, privacy, scoring, shape, utility
+from .plans import evaluate
 from .sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,3 +240,17 @@ scored("overall_bars", scoring.overall_bars, "select method, round(overall_score
 scored("radar", scoring.radar, """select method, dimension, axis::bigint as axis, round(axis * pi() / 2, 6) as angle, round(value, 6) as value from (
   select *, list_position(['diversity', 'fidelity', 'privacy', 'utility'], dimension) - 1 as axis from (unpivot named on diversity, fidelity, privacy, utility into name dimension value value))""")
 scored("business_figures", scoring.business_figures, f"select {sql.rounded(*sql.DIMS, keys='gen_type, variant')} from wide where variant_type <> 'baseline' order by gen_type, wide.overall_score desc, variant limit 1")
+
+
+def evaluation(learned: bool) -> Query:
+    """The whole evaluation of three views as variants."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        metrics = evaluate.evaluate_all({("view", view): POINTS[view](spark, sf_dir) for view in sql.EVALUATED_VIEWS}, learned=learned)
+        return rounded(metrics.where("value is not null"))
+
+    return run
+
+
+QUERIES |= {"evaluation_measures": evaluation(False), "evaluate_all": evaluation(True)}
+ORACLE_SQL["evaluation_measures"] = sql.EVALUATED

@@ -186,4 +186,8 @@ def legacy_diversity(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def all_diversity(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    return side_by_side([weighted_diversity(column_diversity(points, config)), coverage_ratio(points, config), uniqueness_score(points, config)])
+    """The weighted measures of the columns beside coverage and uniqueness; where the sides share no column, the whole-matrix form."""
+    columns = written(column_diversity(points, config), "columns")
+    if columns.isEmpty():
+        return legacy_diversity(points, config)
+    return side_by_side([weighted_diversity(columns), coverage_ratio(points, config), uniqueness_score(points, config)])

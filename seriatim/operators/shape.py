@@ -1,6 +1,6 @@
 """Reshaping points to feature matrices.
 
-A matrix is a long table (variant, series, ord, f, value): feature f of a series is its f-th cell, row by row. Two
+A matrix is a long table (variant, series, ord, f, value): feature f of a series is its f-th cell, row by row, in a row by col_ord and name. Two
 rules exist and are not interchangeable: ``overlap`` keeps what all original series have, ``padded`` standardises
 within each series and pads.
 """
@@ -24,7 +24,7 @@ def without(points: DataFrame, name: str = "OpenInt", exact: bool = False) -> Da
 def cells(points: DataFrame) -> DataFrame:
     """Adds f, the place of a cell in its series read row by row, and n, the series' number of cells."""
     series = Window.partitionBy(*SERIES)
-    return points.withColumn("f", F.row_number().over(series.orderBy("t", "col_ord")) - 1).withColumn("n", F.count(F.lit(1)).over(series))
+    return points.withColumn("f", F.row_number().over(series.orderBy("t", "col_ord", "column")) - 1).withColumn("n", F.count(F.lit(1)).over(series))
 
 
 def lengths(points: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def padded(points: DataFrame) -> DataFrame:
     kept = without(points, exact=True)
     sd = F.stddev_pop("value").over(own)
     z = kept.withColumn("value", F.when(sd > 0, (F.col("value") - F.avg("value").over(own)) / sd).otherwise(F.col("value")))
-    rows = z.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "col_ord", "value"))), lambda x: x["value"]).alias("v"))
+    rows = z.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "col_ord", "column", "value"))), lambda x: x["value"]).alias("v"))
     size = lengths(kept).agg(F.percentile(of(ORIGINAL, F.col("n")), F.lit(0.75)).cast("int")).scalar()
     fit = rows.withColumn("size", size).where(F.size("v") >= F.floor(F.col("size") / 2))
     long_ = fit.select(*SERIES, F.slice(F.concat("v", F.array_repeat(F.element_at("v", -1), F.greatest(F.col("size") - F.size("v"), F.lit(0)))), F.lit(1), F.col("size")).alias("v"))

@@ -26,9 +26,9 @@ EMB = """points as (
 HALVES = TYPES.replace("user_id % 2", "event_id % 2").replace("partition by user_id, event_type", "partition by user_id, event_id % 2, event_type")
 VIEWS = {"ev": EV, "types": TYPES, "bars": BARS, "emb": EMB, "halves": HALVES}
 
-CELLS = """cells as (select *, row_number() over (partition by variant, series order by t, col_ord) - 1 as f, count(*) over (partition by variant, series) as n from points)"""
+CELLS = """cells as (select *, row_number() over (partition by variant, series order by t, col_ord, "column") - 1 as f, count(*) over (partition by variant, series) as n from points)"""
 M1 = CELLS + """, m as (select variant, series, ord, f, value from cells, (select min(n) as l from cells where variant = 'o') where n >= l and f < l)"""
-M2 = """zs as (select variant, series, ord, row_number() over (partition by variant, series order by t, col_ord) - 1 as f, case when sd > 0 then (value - mean) / sd else value end as value, count(*) over (partition by variant, series) as n
+M2 = """zs as (select variant, series, ord, row_number() over (partition by variant, series order by t, col_ord, "column") - 1 as f, case when sd > 0 then (value - mean) / sd else value end as value, count(*) over (partition by variant, series) as n
     from (select *, avg(value) over w as mean, stddev_pop(value) over w as sd from points where "column" <> 'OpenInt' window w as (partition by variant, series, "column"))),
   size as (select cast(floor(quantile_cont(n, 0.75)) as integer) as l from zs where variant = 'o' and f = 0),
   m as (select variant, series, ord, f, value from zs, size where n >= l // 2 and f < l
@@ -241,3 +241,43 @@ BY_METHOD = "with " + ", ".join(dimensions(*x) for x in (("types", "conditional"
   select 'types (B)' as method, * from sa union all select 'halves (C)', * from sb union all select 'bars (U)', * from sc), ct as (
   select gen_type, method, variant as "column", case variant when 'Open' then 1 when 'High' then 2 when 'Low' then 3 when 'Close' then 4 when 'Volume' then 5 else 9 end as place, diversity, fidelity, privacy, utility from cs
   union all select gen_type, method, 'OVERALL', 10, avg(diversity), avg(fidelity), avg(privacy), avg(utility) from cs group by gen_type, method) """
+
+
+def long_form(table: str, dimension: str, names: tuple[str, ...], by_column: bool = False) -> str:
+    column = '"column"' if by_column else "null::varchar"
+    return f"""select '{dimension}' as dimension, {column} as "column", metric, value from (unpivot {table} on {', '.join(f'{n}::double as {n}' for n in names)} into name metric value value)"""
+
+
+def evaluated(view: str, tag: str) -> str:
+    """All measures of a view that learn no model, as rows; its columns have equal weights, but for bars."""
+    near = SCALED + ", " + dist("scaled")
+    dcr = "nd as (select series, min(d) as d from dd group by series), x as (select d, least(d / (select case when quantile_cont(d, 0.95) = 0 then 1 else quantile_cont(d, 0.95) end from nd), 1.0) as x from nd)"
+    equal = ", ".join(f"avg({n}) as {n}" for n in COLDIV_NAMES)
+    whole = f"with {COLDIV}, {WEIGHTED} select {', '.join(COLDIV_NAMES)} from wa" if view == "bars" else f"with {COLDIV} select {equal} from cd"
+    tables = f"""{VIEWS[view]}, {FIDELITY},
+      v1 as ({whole}),
+      v2 as (with {M1}, {near} select avg(case when d <= 0.5 then 1.0 else 0.0 end) as coverage_ratio from (select other, min(d) as d from dd group by other)),
+      v3 as (with {M1}, {UNIQUE} select uniqueness_score from uq),
+      div as (select *, ({' + '.join(COLDIV_NAMES)}) / 7 as overall_diversity_score, ({' + '.join(COLDIV_NAMES)}) / 5 as mean_diversity_score from v1, v2, v3),
+      st as (with {M2}, {CORRP}, {DISTSIM} select *, (correlation_preservation + distribution_similarity) / 2 as statistical_score from fp, dsim),
+      pr as (with {M2}, {near}, {dcr} select avg(x) as dcr_mean, stddev_pop(x) as dcr_std, min(x) as dcr_min, avg(d) as raw_mean, min(d) as raw_min from x),
+      c1 as (with {COLDIV} select "column", {', '.join(COLDIV_NAMES)}, column_diversity_score from cd),
+      c2 as (with {COLFID} select "column", 0.6 * mdd + 0.4 * moment_similarity as column_fidelity_score, mdd, moment_similarity from cf),
+      c3 as (with {KNOWN}, {per_column("known")}, {COLUTIL} select "column", overall_utility_score, correlation_preservation, distribution_similarity from cu),
+      md as (select (count(distinct series) filter (where variant = 'o')) as original_samples, (count(distinct series) filter (where variant = 's')) as synthetic_samples from points)"""
+    rows = [
+        long_form("div", "diversity", (*COLDIV_NAMES, "coverage_ratio", "uniqueness_score", "overall_diversity_score", "mean_diversity_score")),
+        long_form("fid", "fidelity", FIDELITY_NAMES),
+        long_form("st", "utility", ("correlation_preservation", "distribution_similarity", "statistical_score")),
+        long_form("pr", "privacy", ("dcr_mean", "dcr_std", "dcr_min", "raw_mean", "raw_min")),
+        long_form("c1", "diversity", (*COLDIV_NAMES, "column_diversity_score"), True),
+        long_form("c2", "fidelity", ("column_fidelity_score", "mdd", "moment_similarity"), True),
+        long_form("c3", "utility", ("overall_utility_score", "correlation_preservation", "distribution_similarity"), True),
+        long_form("md", "metadata", ("original_samples", "synthetic_samples")),
+    ]
+    return f"""{tag} as (with {tables} select '{view}' as variant, * from ({' union all '.join(rows)}))"""
+
+
+EVALUATED_VIEWS = ("ev", "types", "bars")
+EVALUATED = "with " + ", ".join(evaluated(v, f"e{i}") for i, v in enumerate(EVALUATED_VIEWS)) + """ select 'view' as gen_type, variant, 'synthetic' as variant_type, dimension, "column", metric, round(value, 6) as value from (
+  """ + " union all ".join(f"select * from e{i}" for i in range(len(EVALUATED_VIEWS))) + ")"

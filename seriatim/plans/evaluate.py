@@ -1,29 +1,28 @@
 """The whole evaluation: every measure of a variant as rows of one metrics table, and the tables of a report.
 
-metrics: gen_type, variant, variant_type, dimension, column (NULL for the whole), metric, value.
+metrics: gen_type, variant, variant_type, dimension, column (NULL for the whole), metric, value. Rows of the dimension ``metadata`` say how many series either side
+has, and of a variant whose evaluation failed that it did (metric ``error``, the message as column).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..operators import diversity, fidelity, models, privacy, scoring, utility
+from ..sources.store import discard, written
 
 Metric = Callable[[DataFrame, Config], DataFrame]
 #: One-row measures by dimension. ``register`` adds to them.
 WHOLE: dict[str, dict[str, Metric]] = {
     "diversity": {"all": diversity.all_diversity},
     "fidelity": {"all": fidelity.all_fidelity},
-    "utility": {
-        "predictive": models.predictive_score,
-        "contextual": models.contextual_fid,
-        "downstream": lambda p, c: models.downstream_tasks(p),
-        "statistical": lambda p, c: utility.statistical_consistency(p),
-    },
+    "utility": {"statistical": lambda p, c: utility.statistical_consistency(p)},
     "privacy": {"distance": lambda p, c: privacy.distance_to_closest_record(p)},
 }
 #: Measures with a row for each column.
@@ -31,8 +30,13 @@ BY_COLUMN: dict[str, Metric] = {
     "diversity": diversity.column_diversity,
     "fidelity": lambda p, c: fidelity.column_fidelity(p),
     "utility": utility.column_utility,
-    "privacy": models.column_privacy,
 }
+#: Those that learn a model.
+LEARNED: dict[str, dict[str, Metric]] = {
+    "utility": {"predictive": models.predictive_score, "contextual": models.contextual_fid, "downstream": lambda p, c: models.downstream_tasks(p)},
+}
+LEARNED_BY_COLUMN: dict[str, Metric] = {"privacy": models.column_privacy}
+AT_ONCE = 4
 
 
 def register(dimension: str, name: str, metric: Metric) -> None:
@@ -46,17 +50,30 @@ def tall(frame: DataFrame, dimension: str, by_column: bool = False) -> DataFrame
     return frame.select(F.lit(dimension).alias("dimension"), (F.col("column") if by_column else F.lit(None).cast("string")).alias("column"), F.inline(cells))
 
 
-def evaluate(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(dimension, column, metric, value) of every measure. The attack model serves both utility and privacy, and is fitted once."""
-    points = points.cache()
-    attack = models.attack(points, config)
-    frames = [tall(attack.select("ds_accuracy", "ds_score"), "utility"), tall(attack.select("mi_accuracy", "mi_auc", "mi_risk_score"), "privacy")]
-    frames += [tall(metric(points, config), dimension) for dimension, metrics in WHOLE.items() for metric in metrics.values()]
-    frames += [tall(out, dimension, True) for dimension, metric in BY_COLUMN.items() if (out := metric(points, config)) is not None]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return with_overall(out)
+def attacked(points: DataFrame, config: Config) -> DataFrame:
+    """The attack serves both utility and privacy, and is fitted once."""
+    row = written(models.attack(points, config), "attack")
+    return tall(row.select("ds_accuracy", "ds_score"), "utility").unionByName(tall(row.select("mi_accuracy", "mi_auc", "mi_risk_score"), "privacy"))
+
+
+def evaluate(points: DataFrame, config: Config = DEFAULT, learned: bool = True) -> DataFrame:
+    """(dimension, column, metric, value) of every measure, or of those that learn no model, as a written table.
+
+    Points are written once and read by all measures, of which AT_ONCE are under way together.
+    """
+    points = written(points, "points")
+    tasks: list[Callable[[], DataFrame]] = []
+    for whole, columns in ((WHOLE, BY_COLUMN), *([(LEARNED, LEARNED_BY_COLUMN)] if learned else [])):
+        tasks += [lambda m=metric, d=dimension: tall(m(points, config), d) for dimension, metrics in whole.items() for metric in metrics.values()]
+        tasks += [lambda m=metric, d=dimension: tall(m(points, config), d, True) for dimension, metric in columns.items()]
+    if learned:
+        tasks.append(lambda: attacked(points, config))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        frames = list(pool.map(lambda task: written(task(), "measures"), tasks))
+    out = reduce(DataFrame.unionByName, frames)
+    out = written(with_overall(out) if learned else out, "metrics")
+    discard(points, *frames)
+    return out
 
 
 def with_overall(metrics: DataFrame) -> DataFrame:
@@ -77,15 +94,36 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "dimension string, column string, metric string, value double")
 
 
-def evaluate_all(variants: dict[tuple[str, str], DataFrame], baselines: tuple[str, ...] = ("original_noise",), config: Config = DEFAULT) -> DataFrame:
-    """metrics of several variants, given as points by (generation type, variant). One without rows on a side has zeros."""
-    out = None
-    for (gen_type, variant), points in variants.items():
+def failed(spark: SparkSession, message: str) -> DataFrame:
+    """The rows of a variant that could not be evaluated: zeros and the reason."""
+    first = (message.strip().splitlines() or [""])[0][:200]
+    return empty(spark).unionByName(spark.createDataFrame([("metadata", first, "error", 1.0)], "dimension string, column string, metric string, value double"))
+
+
+def evaluate_all(variants: dict[tuple[str, str], DataFrame], baselines: tuple[str, ...] = ("original_noise",), config: Config = DEFAULT, learned: bool = True) -> DataFrame:
+    """metrics of several variants, given as points by (generation type, variant), as a written table.
+
+    The variants are evaluated beside one another. One whose points or measures raise, or that has no rows on a side, has zeros and an error row, and
+    does not keep the others from being evaluated.
+    """
+    spark = next(iter(variants.values())).sparkSession
+
+    def one(entry: tuple[tuple[str, str], DataFrame]) -> DataFrame:
+        (gen_type, variant), points = entry
+        try:
+            own = written(points, "variant")
+            sizes = dict(own.groupBy("variant").agg(F.countDistinct("series")).collect())
+            sides = [("metadata", None, name, float(sizes.get(side, 0))) for side, name in (("o", "original_samples"), ("s", "synthetic_samples"))]
+            rows = evaluate(own, config, learned) if len(sizes) == 2 else failed(spark, "no rows on a side")
+            rows = rows.unionByName(spark.createDataFrame(sides, "dimension string, column string, metric string, value double"))
+        except Exception as error:  # whatever it is, it is this variant's
+            rows = failed(spark, f"{type(error).__name__}: {error}")
         kind = "baseline" if variant in baselines else "synthetic"
-        sides = points.select("variant").distinct().count()
-        rows = (evaluate(points, config) if sides == 2 else empty(points.sparkSession)).select(F.lit(gen_type).alias("gen_type"), F.lit(variant).alias("variant"), F.lit(kind).alias("variant_type"), "dimension", "column", "metric", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        return rows.select(F.lit(gen_type).alias("gen_type"), F.lit(variant).alias("variant"), F.lit(kind).alias("variant_type"), "dimension", "column", "metric", "value")
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        frames = list(pool.map(one, variants.items()))
+    return written(reduce(DataFrame.unionByName, frames), "evaluation")
 
 
 #: The score of a column in each dimension.

@@ -26,3 +26,13 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written``, once all that reads them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        mark = f"/{shared_dir(spark).rsplit('/', 1)[1]}/"
+        for file in table.inputFiles()[:1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file[: file.index("/", file.index(mark) + len(mark))])
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

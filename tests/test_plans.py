@@ -1,9 +1,11 @@
 """Sources, scoring and the report on small inputs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriatim.operators import privacy, scoring, shape
+from seriatim.config import Config
+from seriatim.operators import diversity, privacy, scoring, shape
 from seriatim.plans import evaluate, report
 from seriatim.sources import tree
 
@@ -74,13 +76,49 @@ def test_overlay_takes_a_common_series_else_the_first(spark):
     assert report.overlay_svg(drawn, "Open").count("<polyline") == 2 and report.overlay_svg(drawn, "none") == "<svg></svg>"
 
 
+def series(rng, n, length, shift=0.0, columns=("a", "b")):
+    return [(i, t, c, k, float(rng.normal(loc=shift + k))) for i in range(n) for t in range(length) for k, c in enumerate(columns)]
+
+
+def sides(spark, o, s):
+    return points(spark, [(v, i, i, t, c, k, x) for v, rows in (("o", o), ("s", s)) for i, t, c, k, x in rows])
+
+
 def test_variants_without_rows_on_a_side_have_zeros(spark):
     one_side = points(spark, [("o", 1, 0, 0, "a", 0, 1.0)])
     metrics = evaluate.evaluate_all({("conditional", "x"): one_side})
-    assert {(r["dimension"], r["value"]) for r in metrics.collect()} == {(d, 0.0) for d in scoring.DIMENSIONS}
+    rows = metrics.collect()
+    assert {(r["dimension"], r["value"]) for r in rows if r["dimension"] != "metadata"} == {(d, 0.0) for d in scoring.DIMENSIONS}
+    assert {(r["metric"], r["column"], r["value"]) for r in rows if r["dimension"] == "metadata"} == {("error", "no rows on a side", 1.0), ("original_samples", None, 1.0), ("synthetic_samples", None, 0.0)}
     assert privacy.minimal_privacy(spark, 0.25).first()["overall_privacy_score"] == 0.25
 
 
+def test_whole_evaluation_of_two_sides_and_a_variant_that_raises(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    config = Config(trees=5, depth=3)
+    good = sides(spark, series(rng, 12, 14), series(rng, 12, 14))
+    bad = good.withColumn("value", F.raise_error(F.lit("cannot be read")).cast("double"))
+    monkeypatch.setitem(evaluate.WHOLE["fidelity"], "mine", lambda p, c: p.agg(F.max("value").alias("largest")))  # a measure of one's own
+    metrics = evaluate.evaluate_all({("conditional", "good"): good, ("conditional", "original_noise"): bad}, config=config)
+    rows = {(r["variant"], r["dimension"], r["column"], r["metric"]): r["value"] for r in metrics.collect()}
+    for name in ("overall_diversity_score", "overall_fidelity_score", "overall_privacy_score", "overall_utility_score"):
+        dimension = name.split("_")[1]
+        assert 0 <= rows["good", dimension, None, name] <= 1 and rows["original_noise", dimension, None, name] == 0
+    assert np.isclose(rows["good", "fidelity", None, "largest"], good.agg(F.max("value")).first()[0])
+    assert np.isclose(rows["good", "privacy", None, "overall_privacy_score"], (rows["good", "privacy", None, "dcr_mean"] + 1 - rows["good", "privacy", None, "mi_accuracy"]) / 2)
+    assert {k[2] for k in rows if k[0] == "good" and k[1] == "privacy" and k[3] == "overall_privacy_score"} == {None, "a", "b"}
+    assert rows["good", "metadata", None, "original_samples"] == 12 and not any(k[3] == "error" for k in rows if k[0] == "good")
+    assert any("cannot be read" in k[2] for k in rows if k[0] == "original_noise" and k[3] == "error")
+    assert scoring.overall_scores(evaluate.scores(metrics)).count() == 2
+
+
+def test_sides_without_a_common_column_have_the_whole_matrix_form(spark):
+    rng = np.random.default_rng(2)
+    p = sides(spark, series(rng, 6, 8, columns=("a",)), series(rng, 5, 8, columns=("b",)))
+    whole, legacy = diversity.all_diversity(p).first().asDict(), diversity.legacy_diversity(p).first().asDict()
+    assert whole == legacy and "trend_diversity" in whole
+
+
 def test_own_measures_join_the_registry(monkeypatch):
     monkeypatch.setattr(evaluate, "WHOLE", {})
     evaluate.register("fidelity", "mine", lambda p, c: p)
