@@ -28,21 +28,55 @@ def coverage_ratio(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return near.agg(F.coalesce(F.avg((F.col("distance") <= config.coverage_threshold).cast("double")), F.lit(0.0)).alias("coverage_ratio"))
 
 
-def uniqueness_score(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Share of pairs of synthetic rows that lie further apart than the threshold; 1 for one row or none.
+#: Projections whose cells close rows share, cells in tolerances, and rows of a cell that meet in one group.
+PROJECTIONS, CELL, SALT = 3, 1024, 512
+
+
+def projection(k: int) -> Column:
+    """v along a fixed direction with components within [-1, 1]."""
+    along = F.transform("v", lambda x, i: x * (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(1 << 20)) / float(1 << 19) - 1))
+    return F.aggregate(along, F.lit(0.0), lambda a, x: a + x)
+
 
-    Close pairs are found by an equi-join: rows that close differ by no more in the mean of their cells times the
-    root of their number, so they fall into the same or the next bucket of that. Equal rows are counted once as a group.
+def close_pairs(rows: DataFrame, t: float) -> DataFrame:
+    """(n, m): the multiplicities of each pair of different vectors of ``rows`` (v, n) that lie within ``t`` of each other.
+
+    Such vectors differ by no more than t times the root of their length along any of the directions, so they share a cell of the projections or lie at its border, and a
+    vector is copied to the cells whose border it is that near to. A pair is taken in the cell of its first vector. Cells of many vectors are cut into groups of
+    about SALT, and each two groups of a cell meet in a task of their own.
     """
-    t = config.uniqueness_threshold
-    least = vectors(overlap(points))
-    distinct = side(least, SYNTHETIC).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    along = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.greatest(F.size("v"), F.lit(1)))
-    keyed = distinct.select("v", "n", F.floor(along / (2 * t)).alias("bucket"), F.xxhash64("v").alias("h"))
-    next_to = keyed.select(F.col("v").alias("w"), F.col("n").alias("m"), F.col("h").alias("g"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("own"))
+    tolerance = t * F.sqrt(F.greatest(F.size("v"), F.lit(1)))
+    # sums of many terms lose digits
+    slack = tolerance + 1e-12 * F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    placed = rows.select("v", "n", F.xxhash64("v").alias("h"), slack.alias("slack"), (CELL * tolerance).alias("width"), *(projection(k).alias(f"p{k}") for k in range(PROJECTIONS)))
+    for k in range(PROJECTIONS):
+        placed = placed.withColumn(f"c{k}", F.floor(F.col(f"p{k}") / F.col("width")))
+    cells = [f"c{k}" for k in range(PROJECTIONS)]
+    placed = written(placed, "placed")
+    groups = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SALT).select(*cells, F.ceil(F.col("size") / SALT).cast("int").alias("parts"))
+    copies = placed
+    for k in range(PROJECTIONS):
+        at = F.col(f"p{k}") - F.col(f"c{k}") * F.col("width")
+        near = F.array(F.lit(0), F.when(at <= F.col("slack"), -1), F.when(F.col("width") - at <= F.col("slack"), 1))
+        copies = copies.withColumn("move", F.explode(F.array_compact(near))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("move"))
+    part = F.pmod(F.col("h"), F.col("parts")).cast("int")
+
+    def dealt(frame: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row for every group of its cell; a cell that is not cut is one group."""
+        parts = F.coalesce("parts", F.lit(1))
+        return frame.join(groups, cells, "left").withColumn("parts", parts).withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    left = dealt(placed, "a", "b").select(*cells, "a", "b", "v", "n", "h")
+    right = dealt(copies, "b", "a").select(*cells, "a", "b", F.col("v").alias("w"), F.col("n").alias("m"), F.col("h").alias("g"))
     distance = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda a, x: a + x))
-    pairs = keyed.join(next_to, "bucket").where((F.col("own") > F.col("bucket")) | (F.col("h") < F.col("g"))).where(distance <= t)
-    close = pairs.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("apart"))
+    first = (F.col("h") < F.col("g")) | ((F.col("h") == F.col("g")) & (F.col("v") < F.col("w")))
+    return left.join(right, [*cells, "a", "b"]).where(first & (F.size("v") == F.size("w"))).where(distance <= t).select("n", "m")
+
+
+def uniqueness_score(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Share of pairs of synthetic rows that lie further apart than the threshold; 1 for one row or none. Equal rows are counted once as a group."""
+    distinct = written(side(vectors(overlap(points)), SYNTHETIC).groupBy("v").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    close = close_pairs(distinct, config.uniqueness_threshold).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("apart"))
     within = distinct.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("equal"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
     total = F.col("rows") * (F.col("rows") - 1) / 2
     return side_by_side([close, within]).select(F.when(F.col("rows") < 2, 1.0).otherwise(1 - ratio(F.col("apart") + F.col("equal"), total)).alias("uniqueness_score"))

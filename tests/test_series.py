@@ -202,3 +202,27 @@ def test_warping_of_unequal_lengths_in_batches(monkeypatch):
             for j in range(len(y)):
                 table[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(table[i, j], table[i, j + 1], table[i + 1, j])
         assert np.isclose(d, np.sqrt(table[-1, -1]))
+
+
+def close(spark, x, t):
+    df = spark.createDataFrame([([float(c) for c in row], 1) for row in x], "v array<double>, n long")
+    return diversity.close_pairs(df, t).count()
+
+
+@pytest.mark.parametrize("t", [1e-6, 0.05, 3.0])
+def test_close_pairs_are_those_of_all_pairs(spark, t, monkeypatch):
+    monkeypatch.setattr(diversity, "SALT", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 5))
+    x = np.concatenate([x, x[:40] + rng.uniform(-0.5, 0.5, size=(40, 5)) * min(t, 1), x[:1] + 0.01 * t * rng.normal(size=(60, 5))])
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    assert close(spark, x, t) == (d[np.triu_indices(len(x), 1)] <= t).sum()
+
+
+def test_many_centred_rows_do_not_meet_in_one_group(spark):
+    t, n = 1e-6, 100_000
+    rows = spark.range(n).select(F.array(*(F.rand(k) for k in range(4))).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    centred = rows.select(F.concat("v", F.array(-total)).alias("v"))  # every row sums up to 0
+    twins = centred.limit(7).select(F.transform("v", lambda x: x + 1e-8).alias("v"))
+    assert diversity.close_pairs(centred.unionByName(twins).withColumn("n", F.lit(1).cast("long")), t).count() == 7
