@@ -242,15 +242,15 @@ scored("radar", scoring.radar, """select method, dimension, axis::bigint as axis
 scored("business_figures", scoring.business_figures, f"select {sql.rounded(*sql.DIMS, keys='gen_type, variant')} from wide where variant_type <> 'baseline' order by gen_type, wide.overall_score desc, variant limit 1")
 
 
-def evaluation(learned: bool) -> Query:
+def evaluation(learned: bool, names: tuple[str, ...]) -> Query:
     """The whole evaluation of three views as variants."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        metrics = evaluate.evaluate_all({("view", view): POINTS[view](spark, sf_dir) for view in sql.EVALUATED_VIEWS}, learned=learned)
+        metrics = evaluate.evaluate_all({("view", view): POINTS[view](spark, sf_dir) for view in names}, learned=learned)
         return rounded(metrics.where("value is not null"))
 
     return run
 
 
-QUERIES |= {"evaluation_measures": evaluation(False), "evaluate_all": evaluation(True)}
+QUERIES |= {"evaluation_measures": evaluation(False, sql.EVALUATED_VIEWS), "evaluate_all": evaluation(True, ("ev", "types", "halves"))}
 ORACLE_SQL["evaluation_measures"] = sql.EVALUATED
