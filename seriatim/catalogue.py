@@ -141,6 +141,9 @@ register("legacy_privacy", "emb", privacy.legacy_privacy, sql.query("emb", sql.M
 register("attribute_disclosure", "ev", lambda p: privacy.attribute_disclosure(p, raw=True), sql.query("ev", sql.M1, f"c as (select f, value, {sql.both('count', 'n')} from m group by f, value)",
          "r as (select f, coalesce(avg(case when n_s > 0 then 1.0 else 0.0 end) filter (where n_o > 0 and n_o / size <= 0.1), 0) as risk from (select *, sum(n_o) over (partition by f) as size from c) group by f)",
          select="select round(avg(risk), 6) as adr_mean, round(max(risk), 6) as adr_max, round(avg(risk), 6) as adr_risk_score from r"))
+register("attribute_disclosure_standardized", "ev", privacy.attribute_disclosure, sql.query("ev", sql.M2, f"c as (select f, value, {sql.both('count', 'n')} from m group by f, value)",
+         "r as (select f, coalesce(avg(case when n_s > 0 then 1.0 else 0.0 end) filter (where n_o > 0 and n_o / size <= 0.1), 0) as risk from (select *, sum(n_o) over (partition by f) as size from c) group by f)",
+         select="select round(avg(risk), 6) as adr_mean, round(max(risk), 6) as adr_max, round(avg(risk), 6) as adr_risk_score from r"))
 register("reidentification", "emb", privacy.re_identification, sql.query("emb", sql.M2, sql.SCALED, sql.dist("scaled"), "k as (select series, d from (select *, row_number() over (partition by series order by d) as r from dd) where r <= 5)",
          select="select 1.0::double as reidentification_risk, round(avg(case when n >= 5 then 1.0 else 0.0 end), 6) as k_anonymity_score from (select series, count(distinct round(d, 4)) as n from k group by series)"))
 register("dp_epsilon", "ev", privacy.differential_privacy, sql.query("ev", sql.M2, sql.STATS2, select="""select round(coalesce(least(e, 100.0), 100.0), 6) as dp_epsilon_estimate, round(coalesce(1 / (1 + e), 0.0), 6) as dp_privacy_score from (
@@ -172,6 +175,9 @@ register("distribution_similarity", "ev", utility.distribution_similarity, sql.q
 register("correlation_preservation", "emb", utility.correlation_preservation, sql.query("emb", sql.M2, sql.CORRP, select=f"select {sql.rounded('correlation_preservation')} from fp"))
 register("statistical_consistency", "ev", utility.statistical_consistency, sql.query("ev", sql.M2, sql.CORRP, sql.DISTSIM, select="select round(correlation_preservation, 6) as correlation_preservation, round(distribution_similarity, 6) as distribution_similarity, round((correlation_preservation + distribution_similarity) / 2, 6) as statistical_score from fp, dsim"))
 register("temporal_predictability", "bars", lambda p: utility.temporal_predictability(shape.without(p)), sql.query("bars", sql.KNOWN, sql.TPRED, select='select "column", round(temporal_predictability, 6) as temporal_predictability from tp'))
+for view in ("bars", "types"):
+    register("distributional_predictability" if view == "bars" else "distributional_predictability_types", view, lambda p: utility.two_sided(shape.without(p), ["column"]).select("column", utility.distributional_predictability().alias("distributional_predictability")),
+             sql.query(view, sql.KNOWN, sql.per_column("known"), select=f"""select "column", round({sql.DPRED}, 6) as distributional_predictability from pc"""))
 register("discriminative_similarity", "bars", utility.discriminative_similarity, sql.query("bars", sql.KNOWN, sql.per_column("known"), sql.DSIM, select='select "column", round(discriminative_similarity, 6) as discriminative_similarity from ds'))
 register("column_utility", "bars", utility.column_utility, sql.query("bars", sql.KNOWN, sql.per_column("known"), sql.COLUTIL, select=f"""select {sql.rounded('overall_utility_score', 'correlation_preservation', 'distribution_similarity', keys='"column"')} from cu"""))
 register("utility_bounds", "ev", lambda p: utility.bounded(utility.distribution_similarity(p).withColumns({"dt_overall_score": F.col("distribution_similarity") + 1, "ps_score": F.col("distribution_similarity") * 3, "cfid_score": -F.col("distribution_similarity")})),
@@ -185,6 +191,7 @@ for view in ("ev", "bars"):
     register("column_privacy" if view == "ev" else "column_privacy_bars", view, models.column_privacy)
 register("predictive_score", "ev", models.predictive_score)
 register("contextual_fid", "emb", models.contextual_fid)
+register("contextual_fid_covariance", "emb", lambda p: models.contextual_fid(p, Config(full_covariance=True)))
 register("downstream_tasks", "emb", models.downstream_tasks)
 
 

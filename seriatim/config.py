@@ -17,6 +17,7 @@ class Config:
     test_share: float = 0.3
     horizon: int = 1
     components: int = 10
+    full_covariance: bool = False
     rare_share: float = 0.1
     neighbours: int = 5
     pattern_rows: int | None = None

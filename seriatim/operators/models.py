@@ -92,14 +92,43 @@ def predictive_score(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return row.select(F.col("mae").alias("ps_mae"), (F.col("mse") / (F.col("var") + 1e-10)).alias("ps_mse_ratio"), F.coalesce(F.greatest(F.lit(0.0), F.try_divide("mse", F.nullif("var", F.lit(0.0)))), F.lit(1.0)).alias("ps_r2_diff"), (1 / (1 + F.col("mae"))).alias("ps_score"))
 
 
+def covariances(rows: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(mean, sample covariance) of the vectors v of each side, from products summed up task by task; k x k numbers come to the driver."""
+    out = []
+    sums = gram(rows, ["variant"]).collect()  # k + 1 squared for each side
+    for side in SIDES:
+        m = np.zeros((k + 1, k + 1))
+        for variant, i, j, xy in sums:
+            if variant == side:
+                m[i, j] = m[j, i] = xy
+        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        out.append((mean, (m[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)))
+    return out
+
+
+def frechet(original: tuple[np.ndarray, np.ndarray], synthetic: tuple[np.ndarray, np.ndarray]) -> float:
+    """Squared distance of the means and trace of a + b - 2 * root(a b); the root's trace is that of the symmetric root(root(a) b root(a))."""
+    (x, a), (y, b) = original, synthetic
+    values, vectors_ = np.linalg.eigh(a)
+    root = (vectors_ * np.sqrt(np.maximum(values, 0))) @ vectors_.T
+    shared = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ b @ root), 0)).sum()
+    return float(((x - y) ** 2).sum() + max(0.0, np.trace(a) + np.trace(b) - 2 * shared))
+
+
 def contextual_fid(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Frechet-like distance of the two sides in the principal components of their union, within [0.1, 10]."""
+    """Frechet-like distance of the two sides in the principal components of their union, within [0.1, 10].
+
+    The spread is compared by the traces of the covariances, or with ``full_covariance`` by the root of their product, as the Frechet distance has it.
+    """
     rows = vectors(padded(points)).where(F.forall("v", lambda x: x.isNotNull())).select("variant", array_to_vector("v").alias("features"), F.size("v").alias("size"))
     n, size, sides = rows.agg(F.count(F.lit(1)), F.min("size"), F.countDistinct("variant")).first()
     if n < 4 or sides < 2 or not size:
         return one_row(points.sparkSession, cfid_distance=2.0, cfid_score=0.33)
     k = min(config.components, size, n - 1)
     model = PCA(k=k, inputCol="features", outputCol="p").fit(rows)
+    if config.full_covariance:
+        d = float(np.clip(frechet(*covariances(model.transform(rows).select("variant", vector_to_array("p").alias("v")), k)), 0.1, 10.0))
+        return one_row(points.sparkSession, cfid_distance=d, cfid_score=1 / (1 + d))
     parts = model.transform(rows).select("variant", F.posexplode(vector_to_array("p")).alias("c", "x"))
     per = parts.groupBy("c").agg(*(agg(of(s, F.col("x"))).alias(f"{name}_{s}") for s in SIDES for name, agg in (("mean", F.avg), ("var", F.var_samp))))
     row = per.agg(F.sum(F.pow(F.col("mean_o") - F.col("mean_s"), 2)).alias("means"), *(F.sum(f"var_{s}").alias(f"trace_{s}") for s in SIDES))

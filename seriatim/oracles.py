@@ -213,6 +213,7 @@ DSIM = f"""ov as (select "column", sum(least(n_o / size_o, n_s / size_s)) as ove
 TPRED = """cx as (select * from known where (variant, series, "column", t) not in (select variant, series, "column", max(t) from known group by all)), """ + across("cx", "cy") + f""",
   tp as (select "column", coalesce(greatest(0.0, 1 - abs(o - s)), 0.3) as temporal_predictability from (select "column", {side('max', 'o', 'r')} as o, {side('max', 's', 'r')} as s from (
     select variant, "column", {corr('x', 'y')} as r from cy group by variant, "column") group by "column"))"""
+DPRED = """case when hi_o > lo_o and sd_o > 0 then greatest(0.0, 1 - (case when mean_o > 1000 or mean_s > 1000 then greatest(abs(mean_o - mean_s) / (hi_o - lo_o), 1 - least(mean_o, mean_s) / greatest(mean_o, mean_s)) else abs(mean_o - mean_s) / (hi_o - lo_o) end + abs(sd_o - sd_s) / sd_o) / 2) else 0.5 end"""
 COLUTIL = TPRED + ", " + DSIM + f""", cu as (select "column", 0.6 * c + 0.4 * d as overall_utility_score, c as correlation_preservation, d as distribution_similarity from (
     select "column", discriminative_similarity as d, case when n_o < 10 or n_s < 10 then 0.1 when held_o > 5 and held_s > 5 then temporal_predictability
       when hi_o > lo_o and sd_o > 0 then greatest(0.0, 1 - (case when mean_o > 1000 or mean_s > 1000 then greatest(abs(mean_o - mean_s) / (hi_o - lo_o), 1 - least(mean_o, mean_s) / greatest(mean_o, mean_s)) else abs(mean_o - mean_s) / (hi_o - lo_o) end + abs(sd_o - sd_s) / sd_o) / 2) else 0.5 end as c

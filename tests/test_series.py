@@ -226,3 +226,27 @@ def test_many_centred_rows_do_not_meet_in_one_group(spark):
     centred = rows.select(F.concat("v", F.array(-total)).alias("v"))  # every row sums up to 0
     twins = centred.limit(7).select(F.transform("v", lambda x: x + 1e-8).alias("v"))
     assert diversity.close_pairs(centred.unionByName(twins).withColumn("n", F.lit(1).cast("long")), t).count() == 7
+
+
+def test_frechet_distance_is_that_of_the_covariances(spark):
+    rng = np.random.default_rng(8)
+    o, s = rng.normal(size=(40, 1, 6)) @ np.diag([3, 2, 1, 1, 0.5, 0.1]), rng.normal(size=(35, 1, 6)) + 0.3
+    frame = spark.createDataFrame([(v, [float(c) for c in row[0]]) for v, x in (("o", o), ("s", s)) for row in x], "variant string, v array<double>")
+    (x, a), (y, b) = got = models.covariances(frame, 6)
+    assert np.allclose(x, o[:, 0].mean(axis=0)) and np.allclose(b, np.cov(s[:, 0].T))
+    product = np.linalg.eigvals(a @ b)
+    want = ((x - y) ** 2).sum() + np.trace(a) + np.trace(b) - 2 * np.sqrt(np.maximum(product.real, 0)).sum()
+    assert np.isclose(models.frechet(*got), want) and models.frechet(got[0], got[0]) < 1e-9
+    p = points(spark, list(o), list(s), names=tuple("abcdef"))
+    plain, full = models.contextual_fid(p).first(), models.contextual_fid(p, Config(full_covariance=True)).first()
+    assert full["cfid_distance"] >= plain["cfid_distance"] - 1e-9  # traces bound the root's trace from above
+
+
+def test_predictability_of_short_and_large_columns(spark):
+    def both(o, s):
+        p = points(spark, [np.array([[x] for x in o])], [np.array([[x] for x in s])], names=("a",))
+        return utility.two_sided(p, ["column"]).select(utility.distributional_predictability().alias("x")).first()["x"]
+
+    assert np.isclose(both([0, 10, 5], [0, 10, 5]), 1) and both([3, 3, 3], [1, 2, 3]) == 0.5
+    o, s = [2000, 2010, 2020], [1000, 1010, 1020]
+    assert np.isclose(both(o, s), max(0, 1 - (1000 / 20) / 2)) and np.isclose(both([0, 10], [0, 5]), 1 - (2.5 / 10 + 2.5 / 5) / 2)
