@@ -17,6 +17,7 @@ from .config import Config
 from .operators import diversity, ecdf, fidelity, models, privacy, scoring, shape, utility
 from .plans import evaluate
 from .sources import views
+from .sources.store import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 POINTS = {"ev": views.event_points, "types": views.event_type_points, "bars": views.bar_points, "emb": views.embedding_points, "halves": views.half_points}
@@ -30,8 +31,13 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
+def stored_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """A view that is computed once for all branches of a query."""
+    return written(POINTS[view](spark, sf_dir), "view")
+
+
 def register(name: str, view: str, make: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(make(POINTS[view](spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: rounded(make(stored_view(spark, sf_dir, view)))
     if oracle is not None:
         ORACLE_SQL[name] = oracle
 
@@ -198,7 +204,7 @@ register("downstream_tasks", "emb", models.downstream_tasks)
 # scoring, on the columns of two views as variants
 def dimension_frames(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """(column, dimension, value) of each column of a view."""
-    p = POINTS[view](spark, sf_dir)
+    p = stored_view(spark, sf_dir, view)
     frames = {
         "diversity": diversity.column_diversity(p).select("column", F.col("column_diversity_score").alias("value")),
         "fidelity": fidelity.column_fidelity(p).select("column", F.col("column_fidelity_score").alias("value")),

@@ -106,7 +106,7 @@ def by_side(frame: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def statistical_diversity(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Mean over features of the symmetric ratios of variance, range and entropy."""
-    m = overlap(points)
+    m = written(overlap(points), "overlap")
     per = m.groupBy("f").agg(*(agg(of(x, F.col("value"))).alias(f"{n}_{x}") for x in (ORIGINAL, SYNTHETIC) for n, agg in (("var", F.var_pop), ("lo", F.min), ("hi", F.max))))
     per = per.where("lo_o is not null and lo_s is not null")
     spread = per.agg(F.avg(symmetric_ratio(F.col("var_o"), F.col("var_s"))).alias("variance_ratio"), F.avg(symmetric_ratio(F.col("hi_o") - F.col("lo_o"), F.col("hi_s") - F.col("lo_s"))).alias("range_ratio"))
@@ -158,7 +158,7 @@ def column_autocorrelation(matrix: DataFrame) -> DataFrame:
 
 def column_diversity(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Per column of both sides: variance_ratio, range_ratio, entropy_ratio, autocorr_diversity, coverage and their mean, column_diversity_score."""
-    m = normalized_columns(points)
+    m = written(normalized_columns(points), "normalized")
     per = m.groupBy("column").agg(*(agg(of(x, F.col("value"))).alias(f"{n}_{x}") for x in (ORIGINAL, SYNTHETIC) for n, agg in (("var", F.var_samp), ("lo", F.min), ("hi", F.max), ("n", lambda c: F.countDistinct(F.when(c.isNotNull(), F.col("series")))))))
     var = [F.when(F.col(f"n_{x}") > 1, F.coalesce(F.col(f"var_{x}"), F.lit(0.0))).otherwise(0.0) for x in (ORIGINAL, SYNTHETIC)]
     low, high = F.greatest("lo_o", "lo_s"), F.least("hi_o", "hi_s")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.exprs import ORIGINAL, SYNTHETIC, bin_of, of, pearson
+from ..sources.store import written
 from . import ecdf, warping
 from .ranks import numbered
 from .shape import SERIES, overlap, standardized, without
@@ -31,7 +32,7 @@ def histogram_distances(matrix: DataFrame, bins: int = DEFAULT.histogram_bins) -
 
 
 def marginal_distribution_difference(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    return summarized(histogram_distances(overlap(points), config.histogram_bins), "score", "mdd")
+    return summarized(histogram_distances(written(overlap(points), "overlap"), config.histogram_bins), "score", "mdd")
 
 
 def autocorrelations(points: DataFrame, max_lag: int = DEFAULT.max_lag) -> DataFrame:
@@ -51,7 +52,7 @@ def paired(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def autocorrelation_difference(points: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    both = paired(autocorrelations(points, config.max_lag), ["column", "lag"], "acf")
+    both = paired(written(autocorrelations(points, config.max_lag), "acf"), ["column", "lag"], "acf")
     return summarized(both.groupBy("ord").agg(F.avg(F.abs(F.col("acf_o") - F.col("acf_s"))).alias("score")), "score", "acd")
 
 
@@ -70,12 +71,12 @@ def reranked(matrix: DataFrame) -> DataFrame:
 
 
 def euclidean_distance(points: DataFrame) -> DataFrame:
-    both = paired(reranked(overlap(points)), ["f"], "value")
+    both = paired(reranked(written(overlap(points), "overlap")), ["f"], "value")
     return summarized(both.groupBy("ord").agg(F.sqrt(F.avg(F.pow(F.col("value_o") - F.col("value_s"), 2))).alias("score")), "score", "euclidean", "min")
 
 
 def wasserstein_distance(points: DataFrame) -> DataFrame:
-    return summarized(ecdf.wasserstein(standardized(overlap(points)), ["f"]), "w1", "wasserstein", "min")
+    return summarized(ecdf.wasserstein(written(standardized(written(overlap(points), "overlap")), "scaled"), ["f"]), "w1", "wasserstein", "min")
 
 
 def dtw_distances(points: DataFrame, pairs: int | None = DEFAULT.dtw_pairs) -> DataFrame:
@@ -120,7 +121,7 @@ def pooled(points: DataFrame) -> DataFrame:
 
 def column_fidelity(points: DataFrame) -> DataFrame:
     """Per column of either side: column_fidelity_score, mdd (1 - KS), moment_similarity. A column of one side only: 0, 1, 0."""
-    values = pooled(points)
+    values = written(pooled(points), "pooled")
     ks = ecdf.kolmogorov(values, ["column"])
     aggs = {"n": F.count, "mean": F.avg, "sd": F.stddev_pop, "skew": F.skewness, "kurt": F.kurtosis}
     moments = values.groupBy("column").agg(*(agg(of(x, F.col("value"))).alias(f"{name}_{x}") for x in (ORIGINAL, SYNTHETIC) for name, agg in aggs.items()))
