@@ -3,7 +3,7 @@
 Each component x becomes floor(256 * x), x as double; the score is the integer inner product. Queries are the rows that a
 condition marks, candidates every row with another id. Both sides are cut into blocks: candidates into groups of about
 ``GROUP`` rows, queries into groups of about ``QUERIES``; every pair of blocks meets in one task cell, so the work is an even grid however
-large either side is, and a cell holds GROUP + QUERIES vectors at most.
+large either side is, and a cell holds GROUP + QUERIES vectors at most. A group of candidates is shuffled once; what is sent to every group are queries.
 
 Within a cell candidates lie in vertical layout (a row for each dimension). Scores are accumulated a block of dimensions at a
 time; after each block a candidate's score can grow by at most |rest of q| * |rest of x|. Candidates that no
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import mapped
+from ._spark import mapped, stored
 
 GROUP, QUERIES, AT_ONCE, DIMS_AT_ONCE, SEEDS = 8192, 1024, 32, 16, 128
 
@@ -94,11 +94,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     n, n_queries = valid.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1))).first()
     groups, blocks = -(-max(n, 1) // GROUP), -(-max(n_queries, 1) // QUERIES)
     # dealt by row number, so that neither a common id nor a common vector fills one group
-    dealt = valid.select("*", F.size("v").alias("d"), F.monotonically_increasing_id().alias("row"))
+    dealt = stored(valid.select("*", F.size("v").alias("d"), F.monotonically_increasing_id().alias("row")), "vectors")
     mixed = F.xxhash64("row")
     candidates = dealt.groupBy("d", F.pmod(mixed, F.lit(groups)).cast("int").alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
     queries = dealt.where("is_query").groupBy("d", F.pmod(mixed, F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    grid = candidates.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["d", "b", "g"])
+    grid = candidates.join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["d", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
