@@ -34,6 +34,45 @@ def radar_svg(frame: DataFrame) -> str:
     return f'<svg width="240" height="240">{shapes}</svg>'
 
 
+def shade(x: float) -> str:
+    """Red at 0, yellow at 0.5, green at 1."""
+    x = min(1.0, max(0.0, x))
+    return f"rgb({int(255 * min(1.0, 2 - 2 * x))},{int(255 * min(1.0, 2 * x))},90)"
+
+
+def heatmap_svg(frame: DataFrame) -> str:
+    """A row of ``scoring.heatmap`` for each method, baselines first, and a shaded cell with its figure for each score."""
+    names = [*scoring.DIMENSIONS, "overall_score"]
+    rows = frame.orderBy("place", "method").collect()
+    head = "".join(f'<text x="{205 + 90 * i}" y="14">{name.replace("_", " ")}</text>' for i, name in enumerate(names))
+    drawn = []
+    for j, r in enumerate(rows):
+        drawn.append(f'<text x="0" y="{24 * j + 40}">{escape(r["method"])}</text>')
+        for i, name in enumerate(names):
+            x = r[name] or 0.0
+            drawn.append(f'<rect x="{200 + 90 * i}" y="{24 * j + 24}" width="88" height="22" fill="{shade(x)}"/><text x="{225 + 90 * i}" y="{24 * j + 40}">{x:.3f}</text>')
+    return f'<svg width="{200 + 90 * len(names)}" height="{24 * len(rows) + 30}">{head}{"".join(drawn)}</svg>'
+
+
+def breakdown_svg(frame: DataFrame) -> str:
+    """A panel of ``scoring.breakdown`` for each dimension, two by two: for each variant a bar of its conditional and one of its unconditional score, from 0 to 1."""
+    panels: dict[str, list] = {d: [] for d in scoring.DIMENSIONS}
+    for r in frame.orderBy("dimension", "variant").collect():
+        panels[r["dimension"]].append(r)
+    width = 60 + 70 * max((len(rows) for rows in panels.values()), default=0)
+    drawn = []
+    for k, (dimension, rows) in enumerate(panels.items()):
+        left, base = width * (k % 2), 180 + 210 * (k // 2)
+        drawn.append(f'<text x="{left + 10}" y="{base - 160}">{dimension}</text>' + "".join(f'<line x1="{left + 30}" x2="{left + width - 10}" y1="{base - 140 * y:.0f}" y2="{base - 140 * y:.0f}" stroke="#ccc"/>' for y in (0, 0.5, 1)))
+        for i, r in enumerate(rows):
+            x = left + 40 + 70 * i
+            for at, kind, colour in ((0, "conditional", "steelblue"), (26, "unconditional", "indianred")):
+                height = 140 * min(1.0, max(0.0, r[kind] or 0.0))
+                drawn.append(f'<rect x="{x + at}" y="{base - height:.1f}" width="24" height="{height:.1f}" fill="{colour}"><title>{escape(r["variant"])} {kind}</title></rect>')
+            drawn.append(f'<text x="{x}" y="{base + 16}">{escape(r["variant"])}</text>')
+    return f'<svg width="{2 * width}" height="420">{"".join(drawn)}</svg>'
+
+
 def overlay_svg(frame: DataFrame, column: str) -> str:
     """The series of ``shape.overlay`` in one column, a line for each variant, with the part that all of them reach marked."""
     rows = frame.where((F.col("column") == column) & F.col("value").isNotNull()).orderBy("variant", "t").collect()
@@ -48,14 +87,14 @@ def overlay_svg(frame: DataFrame, column: str) -> str:
 
 
 def html(scores: DataFrame, config: Config = DEFAULT, columns: DataFrame | None = None, overlay: DataFrame | None = None) -> str:
-    """Overall bars, the heatmap table, the breakdown, radar, business figures and recommendations; with ``columns``, the scores by
+    """Overall bars, the heatmap and the breakdown as drawings and tables, radar, business figures and recommendations; with ``columns``, the scores by
     column and method as of ``evaluate.column_scores``; with ``overlay``, the lines of ``shape.overlay``."""
     heat = scoring.heatmap(scores, config)
     parts = [
         "<!doctype html><meta charset='utf-8'><title>Series evaluation</title>",
         "<h2>Overall</h2>", bars_svg(scoring.overall_bars(scores, config), "method", "overall_score"),
-        "<h2>Scores</h2>", table_html(heat, ["place", "method"]),
-        "<h2>By dimension</h2>", table_html(scoring.breakdown(scores), ["dimension", "variant"]), radar_svg(scoring.radar(scores)),
+        "<h2>Scores</h2>", heatmap_svg(heat), table_html(heat, ["place", "method"]),
+        "<h2>By dimension</h2>", breakdown_svg(scoring.breakdown(scores)), table_html(scoring.breakdown(scores), ["dimension", "variant"]), radar_svg(scoring.radar(scores)),
         "<h2>Best variant</h2>", table_html(scoring.business_figures(scores, config), ["gen_type"]),
         "<h2>Recommendations</h2>", table_html(scoring.recommendations(scores, config), ["gen_type", "recommendation"]),
     ]

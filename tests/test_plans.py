@@ -42,6 +42,15 @@ def test_report_has_every_method(scores):
     assert "best y" in report.summary(scores)
 
 
+def test_heatmap_and_breakdown_are_drawn(scores):
+    heat = report.heatmap_svg(scoring.heatmap(scores))
+    assert heat.count("<rect") == 4 * 5 and heat.index("noise (B)") < heat.index("x (C)") and f'fill="{report.shade(0.7)}"' in heat and ">0.700<" in heat
+    assert (report.shade(0), report.shade(0.5), report.shade(1)) == ("rgb(255,0,90)", "rgb(255,255,90)", "rgb(0,255,90)")
+    panels = report.breakdown_svg(scoring.breakdown(scores))
+    assert panels.count("<rect") == 4 * 3 * 2 and panels.count("<line") == 12 and all(f">{d}<" in panels for d in scoring.DIMENSIONS)
+    assert report.breakdown_svg(scoring.breakdown(scores.where("false"))).count("<rect") == 0
+
+
 def test_frames_of_a_report(spark, scores):
     best = scoring.business_figures(scores).first()
     assert (best["gen_type"], best["variant"], best["privacy"]) == ("conditional", "y", 0.9)
