@@ -80,36 +80,54 @@ def distribution_similarity(points: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.avg(1 / (1 + off)), F.lit(0.0)).alias("distribution_similarity"))
 
 
-def gram(rows: DataFrame, keys: list[str], column: str = "v") -> DataFrame:
-    """Per key: sums of products (i, j, xy) over i <= j of the vectors with a 1 put before them.
+#: Cells of sums of products that a task holds for a key.
+CELLS = 1 << 22
 
-    Each task adds up its rows first and sends one matrix per key, so the shuffle follows the number of tasks.
+
+def gram(rows: DataFrame, keys: list[str], column: str = "v", cells: int = CELLS) -> DataFrame:
+    """Per key: sums of products (i, j, xy) over i <= j of the vectors (without NULLs, of one length for a key) with a 1 put before them.
+
+    Each task adds up its rows first and sends one matrix per key, so the shuffle follows the number of tasks. Where a matrix would have more
+    than ``cells`` cells it is cut into stripes of rows i; rows are then sent once for each stripe, and a task holds the stripes it was sent.
     """
     schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "i int, j int, xy double"])
     kinds = {k: to_arrow_type(rows.schema[k].dataType) for k in keys}
+    size = 1 + (rows.agg(F.max(F.size(column))).first()[0] or 0)
+    height = max(1, min(size, cells // size))
+    stripes = -(-size // height)
+    spread = rows.select(*keys, column, F.lit(0).alias("stripe"))
+    if stripes > 1:
+        spread = rows.select(*keys, column, F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe")).repartition("stripe", F.pmod(F.xxhash64(column), F.lit(8)))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, np.ndarray]]:
+        """(key, stripe, vectors) of the rows of a batch."""
+        codes = np.zeros(batch.num_rows, np.int64)
+        for c in (*keys, "stripe"):
+            coded = batch.column(c).dictionary_encode()
+            codes = np.unique(codes * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)[1]
+        for code in range(codes.max(initial=-1) + 1):
+            some = np.flatnonzero(codes == code)
+            lists = batch.column(column).take(pa.array(some))
+            yield tuple(batch.column(k)[some[0]].as_py() for k in keys), batch.column("stripe")[some[0]].as_py(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for key in set(zip(*(table.column(k).to_pylist() for k in keys))) if keys else {()}:
-                mask = np.ones(len(table), bool)
-                for k, value in zip(keys, key):
-                    mask &= np.array([x == value for x in table.column(k).to_pylist()])
-                lists = table.column(column).combine_chunks().filter(pa.array(mask))
-                x = lists.flatten().to_numpy(zero_copy_only=False).reshape(int(mask.sum()), -1)
+            for key, stripe, x in parts(batch):
                 x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-                sums[key] = sums.get(key, 0) + x.T @ x
-        for key, total in sums.items():
-            i, j = np.triu_indices(len(total))
-            yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(i), kinds[name]) for name, k in zip(keys, key)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=[*keys, "i", "j", "xy"])
+                sums[key, stripe] = sums.get((key, stripe), 0) + x[:, stripe * height : (stripe + 1) * height].T @ x
+        for (key, stripe), total in sums.items():
+            i, j = np.nonzero(np.arange(len(total))[:, None] + stripe * height <= np.arange(total.shape[1]))
+            for lo in range(0, len(i), 1 << 18):
+                a, b = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(a), kinds[name]) for name, k in zip(keys, key)), pa.array((a + stripe * height).astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], names=[*keys, "i", "j", "xy"])
 
-    return rows.select(*keys, column).mapInArrow(run, schema).groupBy(*keys, "i", "j").agg(F.sum("xy").alias("xy"))
+    return spread.mapInArrow(run, schema).groupBy(*keys, "i", "j").agg(F.sum("xy").alias("xy"))
 
 
 def correlation_preservation(points: DataFrame) -> DataFrame:
     """Absolute correlation of the two sides' feature correlations (off the diagonal, where both are defined); 1 for one feature."""
-    g = gram(vectors(padded(points)), ["variant"])
+    g = written(gram(written(vectors(padded(points)), "vectors"), ["variant"]), "products")
     edge = g.where("i = 0").select("variant", F.col("j").alias("at"), (F.col("xy")).alias("sum"))
     size = edge.where("at = 0").select("variant", F.col("sum").alias("n"))
     own = g.where("i = j and i > 0").select("variant", F.col("i").alias("at"), F.col("xy").alias("square")).join(edge, ["variant", "at"]).join(size, "variant")

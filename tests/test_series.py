@@ -250,3 +250,14 @@ def test_predictability_of_short_and_large_columns(spark):
     assert np.isclose(both([0, 10, 5], [0, 10, 5]), 1) and both([3, 3, 3], [1, 2, 3]) == 0.5
     o, s = [2000, 2010, 2020], [1000, 1010, 1020]
     assert np.isclose(both(o, s), max(0, 1 - (1000 / 20) / 2)) and np.isclose(both([0, 10], [0, 5]), 1 - (2.5 / 10 + 2.5 / 5) / 2)
+
+
+@pytest.mark.parametrize("cells", [utility.CELLS, 40, 1])
+def test_products_are_summed_in_stripes(spark, cells):
+    x = np.random.default_rng(6).normal(size=(30, 9))
+    frame = spark.createDataFrame([("os"[i % 2], i % 3, [float(v) for v in row]) for i, row in enumerate(x)], "variant string, fold int, v array<double>").repartition(3)
+    got = {(r["variant"], r["fold"], r["i"], r["j"]): r["xy"] for r in utility.gram(frame, ["variant", "fold"], cells=cells).collect()}
+    assert len(got) == 6 * 55
+    for (variant, fold, i, j), xy in got.items():
+        own = np.array([[1.0, *row] for k, row in enumerate(x) if ("os"[k % 2], k % 3) == (variant, fold)])
+        assert i <= j and np.isclose(xy, own[:, i] @ own[:, j])
