@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import mapped, written
 
 BLOCK, BLOCKS, PIVOTS, AT_ONCE = 2048, 1 << 14, 32, 1024
 
@@ -61,14 +61,14 @@ class Blocks:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pivot", "sub", "rows", "x")), pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64()))], names=["pivot", "sub", "rows", "x", "low", "high"])
 
         series = others.schema["series"].dataType.simpleString()
-        placed = others.mapInArrow(place, f"series {series}, v array<double>, pivot int")
+        placed = mapped(others, place, f"series {series}, v array<double>, pivot int")
         if wanted > 1:
             placed = written(placed, "placed")
             subs = F.element_at(F.array(*(F.lit(n) for n in self.subs(placed, wanted, size))), F.col("pivot") + 1)
         else:
             subs = F.lit(1)
         dealt = placed.withColumn("sub", F.pmod(F.xxhash64("series"), subs).cast("int")).groupBy("pivot", "sub").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.collect_list(F.struct("series", "v")).alias("x"))
-        self.table = written(dealt.mapInArrow(bound, f"pivot int, sub int, rows int, x array<struct<series:{series},v:array<double>>>, low array<double>, high array<double>"), "blocks")
+        self.table = written(mapped(dealt, bound, f"pivot int, sub int, rows int, x array<struct<series:{series},v:array<double>>>, low array<double>, high array<double>"), "blocks")
         self.ranges = self.table.select("pivot", "sub", "low", "high").toArrow()  # BLOCKS rows of 2 * PIVOTS numbers at most, and PIVOTS more
 
     @staticmethod
@@ -108,7 +108,7 @@ def sent(rows: DataFrame, blocks: Blocks, first: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(pivot[places]), pa.array(sub[places]), batch.column("series").take(one), batch.column("v").take(one)], names=["pivot", "sub", "series", "v"])
 
     kind = rows.schema["series"].dataType.simpleString()
-    return rows.mapInArrow(run, f"pivot int, sub int, series {kind}, v array<double>")
+    return mapped(rows, run, f"pivot int, sub int, series {kind}, v array<double>")
 
 
 def searched(cells: DataFrame, blocks: Blocks, k: int, rows: int) -> DataFrame:
@@ -128,7 +128,7 @@ def searched(cells: DataFrame, blocks: Blocks, k: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), d.shape[1]))), pa.array(d.ravel())], names=["series", "distance"])
 
     joined = blocks.table.select("pivot", "sub", "x").join(packed, ["pivot", "sub"]).select("x", "a")
-    return joined.mapInArrow(run, f"series {cells.schema['series'].dataType.simpleString()}, distance double")
+    return mapped(joined, run, f"series {cells.schema['series'].dataType.simpleString()}, distance double")
 
 
 def nearest(rows: DataFrame, others: DataFrame, k: int = 1, size: int = BLOCK) -> DataFrame:
@@ -190,4 +190,4 @@ def correlation_sums(rows: DataFrame) -> DataFrame:
                 known = ~np.isnan(r)
                 yield pa.RecordBatch.from_arrays([pa.array([r[known].sum()]), pa.array([int(known.sum())])], names=["total", "n"])
 
-    return grid.select("a", "b", "a_rows", "b_rows").mapInArrow(run, "total double, n long")
+    return mapped(grid.select("a", "b", "a_rows", "b_rows"), run, "total double, n long")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF, SPARK_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir; where that is unset on a local master (tests), in a temporary folder."""
@@ -36,3 +42,18 @@ def discard(*tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file[: file.index("/", file.index(mark) + len(mark))])
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``rows.mapInArrow`` with batches of BATCH_BYTES where the session has Spark's own, far larger bound, and workers that give memory back after each task."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_CONF, SPARK_BATCH) == SPARK_BATCH:
+        conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return rows.mapInArrow(bounded, schema)
