@@ -6,6 +6,7 @@ another order agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,8 +17,8 @@ from . import oracles as sql
 from .config import Config
 from .operators import diversity, ecdf, fidelity, models, privacy, scoring, shape, utility
 from .plans import evaluate
-from .sources import views
-from .sources.store import written
+from .sources import tree, views
+from .sources.store import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 POINTS = {"ev": views.event_points, "types": views.event_type_points, "bars": views.bar_points, "emb": views.embedding_points, "halves": views.half_points}
@@ -100,6 +101,79 @@ ORACLE_SQL |= {
     "static_missing_series": "select c_custkey as series, c_mktsegment from customer where c_custkey not in (select user_id from events)",
 }
 
+
+# trees of files: written in the documented layout, then read back
+FOLDERS = {"o": "original/time_series", "s": "tsv1/time_series"}
+
+
+def tree_of(spark: SparkSession, sf_dir: str, view: str, prefix: str = "", gen_type: str = "conditional") -> str:
+    """The folder of a view's sides as trees of CSV files; series are named by their id after ``prefix``."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex[:12]}"
+    points = stored_view(spark, sf_dir, view).withColumn("series", F.concat(F.lit(prefix), F.col("series").cast("string")))
+    for side, folder in FOLDERS.items():
+        tree.write_series(points.where(F.col("variant") == side), f"{root}/{gen_type} generation/{folder}")
+    return root
+
+
+def loaded(spark: SparkSession, root: str, gen_type: str = "conditional", stems: bool = False) -> DataFrame:
+    return tree.load_pair(spark, *(f"{root}/{gen_type} generation/{folder}" for folder in FOLDERS.values()), stems=stems)
+
+
+def tree_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of series known by number, as loaded from files."""
+    return rounded(loaded(spark, tree_of(spark, sf_dir, "ev", "series_00")).select("variant", "series", "ord", "t", "column", "col_ord", "value"))
+
+
+def tree_unconditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of series known by name, as loaded from files."""
+    root = tree_of(spark, sf_dir, "bars", "supplier no: ", "unconditional")
+    return rounded(loaded(spark, root, "unconditional", stems=True).select("variant", "series", "ord", "t", "column", "col_ord", "value"))
+
+
+def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series, rows, columns and lengths of either side, as loaded from files of ragged columns."""
+    return rounded(tree.summary(loaded(spark, tree_of(spark, sf_dir, "types"))))
+
+
+def tree_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation types and variants found below a root, one of them with static conditions beside it."""
+    root = tree_of(spark, sf_dir, "ev")
+    tree.write_static(views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("series"), "c_mktsegment"), f"{root}/conditional generation/original")
+    counted = tree.variants(spark, f"{root}/conditional generation").withColumnRenamed("files", "series_files")
+    return tree.data_summary(spark, root).join(counted, "variant")
+
+
+def tree_missing_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static conditions, as read from a file, that have no series of events among the files."""
+    root = tree_of(spark, sf_dir, "ev")
+    folder = f"{root}/conditional generation/original"
+    tree.write_static(views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("series"), "c_mktsegment"), folder)
+    return tree.missing_series(tree.read_static(spark, f"{folder}/{tree.STATIC}"), loaded(spark, root))
+
+
+def newest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of results saved under two times, those saved last."""
+    lengths = tree.structure(stored_view(spark, sf_dir, "ev")).selectExpr("variant", "inline(array(struct('series' as metric, double(time_series_files) as value), struct('avg_length' as metric, avg_ts_length as value)))")
+    rows = lengths.select(F.lit("conditional").alias("gen_type"), "variant", F.lit("synthetic").alias("variant_type"), F.lit("metadata").alias("dimension"), F.lit(None).cast("string").alias("column"), "metric", "value")
+    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex[:12]}"
+    tree.save_results(rows.withColumn("value", -F.col("value")), f"{root}/results_20240101_120000")
+    tree.save_results(rows, f"{root}/results_20240301_120000")
+    return rounded(tree.load_results(spark, tree.newest(spark, root)))
+
+
+QUERIES |= {f.__name__: f for f in (tree_conditional, tree_unconditional, tree_summary, tree_variants, tree_missing_series, newest_results)}
+ORACLE_SQL |= {
+    "tree_conditional": sql.query("ev", select='select variant, series, ord, t, "column", col_ord, round(value, 6) as value from points'),
+    "tree_unconditional": sql.query("bars", select="""select variant, 'supplier no: ' || series as series, dense_rank() over (partition by variant order by 'supplier no: ' || series) - 1 as ord, t, "column", col_ord, round(value, 6) as value from points"""),
+    "tree_summary": sql.query("types", select="""select variant, count(*) as series, sum(rows)::bigint as rows, min(rows) as min_length, round(avg(rows), 6) as avg_length, max(rows) as max_length, max(columns) as columns
+      from (select variant, series, max(t) + 1 as rows from points group by all) join (select variant, count(distinct "column") as columns from points group by variant) using (variant) group by variant"""),
+    "tree_variants": """select 'conditional' as gen_type, v as variant, count(distinct user_id) filter (where user_id % 2 = side) as files, v = 'original' as has_static, count(distinct user_id) filter (where user_id % 2 = side) as series_files
+      from events, (values (0, 'original'), (1, 'tsv1')) s(side, v) group by v""",
+    "tree_missing_series": "select c_custkey as series, c_mktsegment from customer where c_custkey not in (select user_id from events)",
+    "newest_results": sql.query("ev", "lengths as (select variant, count(*)::double as n, avg(rows) as mean from (select variant, series, max(t) + 1 as rows from points group by all) group by variant)",
+      select="""select 'conditional' as gen_type, variant, 'synthetic' as variant_type, 'metadata' as dimension, null::varchar as "column", metric, round(case metric when 'series' then n else mean end, 6) as value from lengths, (values ('series'), ('avg_length')) m(metric)"""),
+}
+
 # fidelity
 register("column_fidelity_shared", "halves", fidelity.column_fidelity, sql.query("halves", sql.COLFID, select='select "column", round(0.6 * mdd + 0.4 * moment_similarity, 6) as column_fidelity_score, round(mdd, 6) as mdd, round(moment_similarity, 6) as moment_similarity from cf'))
 for view in ("ev", "bars"):

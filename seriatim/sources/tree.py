@@ -2,7 +2,8 @@
 
 Layout: <root>/<generation type>/<variant>/**/<name with the id>.csv, the rows in order of time, with a static.csv of conditions
 beside them where there is one. Spark's CSV source reads the files, each as one piece since a series is small; rows get their place
-from the order in which it hands them over.
+from the order in which it hands them over. ``write_series`` and ``write_static`` lay out the same tree as Spark writes it: a series is the
+file in a folder series=<name>, and static.csv is a folder.
 """
 
 from __future__ import annotations
@@ -18,13 +19,26 @@ STATIC = "static.csv"
 MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "<NA>")
 
 
+#: The folder of a series that Spark wrote, and the conditions as a file or as a folder of files.
+WRITTEN = r"/series=([^/]+)/[^/]+$"
+IS_STATIC = r"/static\.csv(/[^/]+)?$"
+#: The first record of a file; line ends within quotes belong to it.
+HEADER = r'^(?:[^"\r\n]++|"(?:[^"]++|"")*+")*+'
+
+
 def csv_options(path_glob: str = "*.csv") -> dict[str, object]:
     return {"recursiveFileLookup": True, "pathGlobFilter": path_glob}
 
 
+def unescaped(text: Column) -> Column:
+    return F.url_decode(F.regexp_replace(text, r"\+", "%2B"))
+
+
 def stem(file: Column) -> Column:
-    """A file's name without its folder and ending, percent signs resolved."""
-    return F.url_decode(F.regexp_replace(F.regexp_extract(file, r"([^/]+)\.csv$", 1), r"\+", "%2B"))
+    """A file's name without its folder and ending, or the name in its folder series=<name>; percent signs resolved."""
+    folder = F.regexp_extract(file, WRITTEN, 1)
+    # Spark escapes the names of folders, and the path of a file once more
+    return F.when(folder != "", unescaped(unescaped(folder))).otherwise(unescaped(F.regexp_extract(file, r"([^/]+)\.csv$", 1)))
 
 
 def read_series(spark: SparkSession, path: str, stems: bool = False) -> DataFrame:
@@ -33,11 +47,13 @@ def read_series(spark: SparkSession, path: str, stems: bool = False) -> DataFram
     series is the number in the file's name, and files without one are left out; with ``stems`` it is the name itself, as text. A file
     without rows below its header gives nothing. Of columns that share a name in a file, each keeps its own col_ord.
     """
-    # no line has more cells than commas, and one more
-    commas = spark.read.options(**csv_options()).text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","))))).first()[0] or 0
+    # cells beyond the header have no name; a comma within quotes parts no cells
+    header = F.regexp_replace(F.regexp_extract("value", HEADER, 0), r'"(?:[^"]++|"")*+"', "")
+    files = spark.read.options(**csv_options(), wholetext=True).text(path).where(~F.col("_metadata.file_path").rlike(IS_STATIC))
+    commas = files.agg(F.max(F.length(header) - F.length(F.replace(header, F.lit(","))))).first()[0] or 0
     cells = [f"c{k}" for k in range(commas + 1)]
     rows = spark.read.schema(", ".join(f"{c} string" for c in cells)).options(**csv_options(), multiLine=True, escape='"').csv(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.array(*cells).alias("cells")).where(stem(F.col("file")) != STATIC.removesuffix(".csv"))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.array(*cells).alias("cells")).where(~F.col("file").rlike(IS_STATIC))
     t = F.row_number().over(Window.partitionBy("file").orderBy("place")) - 2
     long_ = rows.withColumn("t", t).select("file", "t", F.posexplode("cells").alias("col_ord", "cell")).withColumn("cell", F.trim("cell"))
     known = F.col("cell").isNotNull() & ~F.col("cell").isin(*MISSING)
@@ -53,8 +69,8 @@ def read_series(spark: SparkSession, path: str, stems: bool = False) -> DataFram
 
 def variants(spark: SparkSession, path: str) -> DataFrame:
     """Variants below a generation type's folder, sorted, with their number of series files."""
-    files = spark.read.format("binaryFile").options(**csv_options()).load(path).select("path").where(~F.col("path").endswith(f"/{STATIC}"))
-    relative = F.regexp_extract(F.col("path"), r"([^/]+)/(?:time_series/|ts/)?[^/]+\.csv$", 1)
+    files = spark.read.format("binaryFile").options(**csv_options()).load(path).select("path").where(~F.col("path").rlike(IS_STATIC))
+    relative = F.regexp_extract(F.col("path"), r"([^/]+)/(?:time_series/|ts/)?(?:series=[^/]+/)?[^/]+\.csv$", 1)
     return files.groupBy(relative.alias("variant")).agg(F.count(F.lit(1)).alias("files")).orderBy("variant")
 
 
@@ -77,12 +93,34 @@ def data_summary(spark: SparkSession, root: str) -> DataFrame:
     The folder of a generation type begins with its name.
     """
     files = spark.read.format("binaryFile").options(**csv_options()).load(root).select(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path"))
-    folders = r"/(conditional|unconditional)[^/]*/([^/]+)/(?:[^/]+/)*([^/]+)$"
-    named = files.select(*(F.regexp_extract("path", folders, k + 1).alias(c) for k, c in enumerate(("gen_type", "variant", "name")))).where("variant <> ''")
-    is_static = F.col("name") == STATIC
+    folders = r"/(conditional|unconditional)[^/]*/([^/]+)/(?:[^/]+/)*[^/]+$"
+    named = files.select("path", *(F.regexp_extract("path", folders, k + 1).alias(c) for k, c in enumerate(("gen_type", "variant")))).where("variant <> ''")
+    is_static = F.col("path").rlike(IS_STATIC)
     return named.groupBy("gen_type", "variant").agg(F.count(F.when(~is_static, 1)).alias("files"), F.max(is_static).alias("has_static"))
 
 
+def write_series(points: DataFrame, path: str) -> None:
+    """Writes the points of one side as CSV files, one for each series, with a header and the rows in order of time.
+
+    All files have all columns of the side; a missing cell is NaN. Names are told apart as letters of one case; of columns with one name, later
+    ones get their number, as does one named series. Steps without a row are not written, so steps are counted anew when the tree is read. Each (series, t, column) has one row.
+    """
+    columns = points.select("col_ord", "column").distinct().orderBy("col_ord", "column").collect()  # the header of a file
+    seen = {"series": 0}
+    cells = []
+    for place, name in columns:
+        k = seen[name.lower()] = seen.get(name.lower(), -1) + 1
+        cells.append(F.max(F.when((F.col("col_ord") == place) & (F.col("column") == name), F.col("value"))).alias(f"{name}.{k}" if k else name))
+    wide = points.groupBy(F.col("series").alias("series="), F.col("t").alias("t=")).agg(*cells)
+    wide = wide.repartition("series=").sortWithinPartitions("series=", "t=").drop("t=").withColumnRenamed("series=", "series")
+    wide.write.partitionBy("series").csv(path, header=True, nullValue="NaN", emptyValue="")
+
+
+def write_static(static: DataFrame, path: str) -> None:
+    """Writes the conditions of a variant, with series as .id, as static.csv into its folder."""
+    static.withColumnRenamed("series", ".id").write.csv(f"{path}/{STATIC}", header=True)
+
+
 def read_static(spark: SparkSession, path: str) -> DataFrame:
     """The static conditions, with .id as series."""
     return spark.read.csv(path, header=True).withColumnRenamed(".id", "series").withColumn("series", F.expr("cast(try_cast(series as double) as long)"))

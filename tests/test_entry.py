@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["mdd", "wasserstein", "column_fidelity_bars", "column_entropy", "kl_privacy", "attribute_disclosure", "column_utility", "pad_length", "uniqueness", "static_series_join", "column_fidelity_shared", "series_overlay", "series_overlay_shared", "union_scaled_matrix", "performance_summary", "legacy_diversity", "legacy_privacy", "column_table", "business_figures"]
+NAMES = ["mdd", "wasserstein", "column_fidelity_bars", "column_entropy", "kl_privacy", "attribute_disclosure", "column_utility", "pad_length", "uniqueness", "static_series_join", "column_fidelity_shared", "series_overlay", "series_overlay_shared", "union_scaled_matrix", "performance_summary", "legacy_diversity", "legacy_privacy", "column_table", "business_figures", "tree_conditional", "tree_unconditional", "tree_summary", "tree_variants", "tree_missing_series", "newest_results"]
 TABLES = ("customer", "orders", "lineitem", "events", "embeddings")
 
 

@@ -180,6 +180,23 @@ def test_tree_reader_takes_the_documented_layout(spark, tmp_path):
     assert [tuple(r) for r in tree.variants(spark, f"{tmp_path}/conditional").collect()] == [("original", 1), ("tsv1", 1)]
 
 
+def test_header_alone_sets_the_number_of_columns(spark, tmp_path):
+    (tmp_path / "original").mkdir()
+    # a record over two lines, names and texts with commas and quotes; none of them makes the table wider or narrower
+    (tmp_path / "original/series_1.csv").write_text('"a\n,b",note,c,d\n1,"x\n' + "," * 500 + '",2,3\n4,"say ""hi"", twice\n",5,6\n')
+    got = {(r["t"], r["col_ord"]): r["value"] for r in tree.read_series(spark, f"{tmp_path}/original").collect()}
+    assert got == {(0, 0): 1.0, (0, 2): 2.0, (0, 3): 3.0, (1, 0): 4.0, (1, 2): 5.0, (1, 3): 6.0}
+
+
+def test_series_are_written_as_they_are_read(spark, tmp_path):
+    rows = [("o", name, 0, t, column, k, value) for name in ("a/b c", "x=1%") for t in range(3) for k, (column, value) in enumerate((("p,q", float(t)), ("series", None if t == 1 else 0.1), ("P,q", float("inf"))))]
+    points = spark.createDataFrame(rows, "variant string, series string, ord long, t int, column string, col_ord int, value double")
+    tree.write_series(points, f"{tmp_path}/original")
+    back = tree.read_series(spark, f"{tmp_path}/original", stems=True).select("series", "t", "column", "value")
+    names = {"P,q": "P,q.1", "series": "series.1"}
+    assert {tuple(r) for r in back.collect()} == {(s, t, names.get(c, c), v) for _, s, _, t, c, _, v in rows}
+
+
 def test_newest_results_come_last(spark, tmp_path):
     for name in ("results_20240101", "results_20240301", "results_20240201"):
         (tmp_path / name).mkdir()
