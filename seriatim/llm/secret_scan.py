@@ -8,11 +8,12 @@ Kinds, in the order that breaks ties between spans with one start:
   access  an access key id
   hex     a run of 16 or more lower-case hexadecimal digits
   jwt     header.payload.signature, where the header decodes to a JSON object with a string "alg"
-          and the payload decodes to a JSON object
-  der     base64 of either alphabet (also wrapped in PEM lines) or hex that decodes to a *private* key in ASN.1: PKCS#8,
+          and the payload decodes to a JSON object; or an encrypted token of five parts, whose header has strings
+          "alg" and "enc" and whose other parts decode, none but the encrypted key being empty
+  der     base64 of either alphabet (also wrapped over lines, within PEM marks or without) or hex that decodes to a *private* key in ASN.1: PKCS#8,
           encrypted PKCS#8, PKCS#1, SEC1 or DSA, its declared lengths nested exactly to the end; or a PEM block
           whose headers declare a cipher and initial vector, over whole cipher blocks
-  ssh     base64, PEM or hex that decodes to an OpenSSH private key, its length-prefixed fields ending exactly at the end
+  ssh     base64 (wrapped or not), PEM or hex that decodes to an OpenSSH private key, its length-prefixed fields ending exactly at the end
 
 Certificates and public keys, SSH ones included, are no secrets and are left alone. Null text counts as empty; rows keep their
 multiplicity, null doc_id included; equal rows get equal results. Spans are code points, end exclusive. Texts of any length
@@ -27,6 +28,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,12 +45,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+ENCRYPTED = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{15,}+)\.([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)")
 #: Lines may end as in a JSON string, with a backslash and n or r. Headers may come before the body.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s|\\[nr])*+(?:[A-Za-z-]+: [^\n\\]*(?:\n|\\r\\n|\\n))*+)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 CIPHER = re.compile(r"Proc-Type: 4,ENCRYPTED.*DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,32}\b", re.DOTALL)
 ESCAPED = re.compile(r"\\[nr]")
 #: Base64 that begins with a SEQUENCE or with the mark of OpenSSH keys.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:MI|MC|MD|ME|MF|MG|MH|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{26,}={0,2}(?![A-Za-z0-9+/=_-])")
+NEXT_LINE = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/=_-])")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
 OPENSSH = b"openssh-key-v1\0"
 #: Object identifiers of password-based encryption, PKCS#5 and PKCS#12.
@@ -66,7 +70,8 @@ def from_base64(text: str) -> bytes | None:
         return None
 
 
-def is_json_object(text: str, needs_alg: bool = False) -> bool:
+def is_json_object(text: str, *needs: str) -> bool:
+    """Whether text decodes to a JSON object in which all names of ``needs`` are strings."""
     raw = from_base64(text)
     if raw is None or raw[:1] != b"{":
         return False
@@ -74,7 +79,7 @@ def is_json_object(text: str, needs_alg: bool = False) -> bool:
         value = json.loads(raw)
     except (ValueError, RecursionError):
         return False
-    return isinstance(value, dict) and (not needs_alg or isinstance(value.get("alg"), str))
+    return isinstance(value, dict) and all(isinstance(value.get(name), str) for name in needs)
 
 
 def members(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -161,13 +166,41 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     m = JWT.search(text)
     while m:
-        good = is_json_object(m[1], True) and is_json_object(m[2])
+        good = is_json_object(m[1], "alg") and is_json_object(m[2])
         if good:
             found.append((m.start(), m.end(), "jwt"))
         m = JWT.search(text, m.end() if good else m.start(2))
+    m = ENCRYPTED.search(text)
+    while m:
+        good = is_json_object(m[1], "alg", "enc") and all(from_base64(part) is not None for part in m.groups()[1:])
+        if good:
+            found.append((m.start(), m.end(), "jwt"))
+        m = ENCRYPTED.search(text, m.end() if good else m.end(1))
     return found
 
 
+def wrapped_key(text: str, first: re.Match[str]) -> tuple[int, str] | None:
+    """(end, kind) of a key that begins in the base64 of ``first`` and goes on over lines as wide, the last of which may be narrower.
+
+    The length that a key in ASN.1 declares says on which line it ends; an OpenSSH key ends with the narrower line, or with the lines.
+    """
+    line, at, parts, n = first[0], first.end(), [first[0]], len(first[0])
+    head = from_base64(line[:8])
+    need = None
+    if head[0] == SEQUENCE:
+        width = head[1] & 0x7F if head[1] & 0x80 else 0
+        if width > 4:
+            return None
+        need = -(-8 * (2 + width + (int.from_bytes(head[2 : 2 + width]) if width else head[1])) // 6)
+        if n >= need:
+            return None
+    while (need is None or n < need) and len(parts[-1]) == len(line) and (m := NEXT_LINE.match(text, at)) and len(m[1]) <= len(line):
+        parts.append(m[1])
+        at, n = m.end(), n + len(m[1])
+    kind = key_kind(from_base64("".join(parts))) if len(parts) > 1 and (need is None or n >= need) else None
+    return (at, kind) if kind else None
+
+
 def spans_of(text: str) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind as listed."""
     found: list[tuple[int, int, str]] = []
@@ -187,9 +220,15 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             pem.append(m.span())
             if kind:
                 found.append((m.start(), m.end(), kind))
+    begins = [a for a, _ in pem]
     for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in pem) and (kind := key_kind(from_base64(m[0]))):
+        i = bisect_right(begins, m.start())
+        if i and m.start() < pem[i - 1][1]:
+            continue
+        if kind := key_kind(from_base64(m[0])):
             found.append((m.start(), m.end(), kind))
+        elif over_lines := wrapped_key(text, m):
+            found.append((m.start(), *over_lines))
     for m in HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((m.start(), m.end(), kind))
