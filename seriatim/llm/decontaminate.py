@@ -15,7 +15,7 @@ occur there must reach ``OVERLAP`` each. The answer is the item's last sentence,
 sentence, but 3 words at least, and so is the question. Items of fewer than 3 words are too short to tell and match nothing.
 
 The index is broadcast in shards of about ``SHARD`` items. Document frequencies, the number of segments and their mean length are
-counted over all items, so scores do not depend on how the index is cut. Null or empty texts and items without
+counted over all items, so scores do not depend on how the index is cut. An item without an id is searched like any other, and its matches have a null item_id. Null or empty texts and items without
 words match nothing. Rows of documents keep their multiplicity; of items that share an id the best match counts, and equal items or
 texts match alike. Texts of any length are read whole, one at a time where they are long. An empty table on either side gives no match. Columns other
 than doc_id, text and item_id are not read, whatever their names; ``clean`` passes them through.
@@ -79,7 +79,7 @@ def parts(text: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    item_ids: np.ndarray  # by item
+    item_ids: list[int | None]  # by item
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     segment_item: np.ndarray
@@ -133,7 +133,7 @@ def statistics(items: DataFrame) -> Statistics:
     return Statistics(whole["n"], whole["n_words"] / max(whole["n"], 1), terms[order], own.column("n").to_numpy()[order])
 
 
-def build(item_ids: list[int], texts: list[str | None], known: Statistics | None = None) -> Index | None:
+def build(item_ids: list[int | None], texts: list[str | None], known: Statistics | None = None) -> Index | None:
     """The index of test items; impacts are BM25 term scores over the segment's score against itself. ``known``: statistics of more items than these."""
     h, first = words(pa.array(texts, pa.string()))
     n_words = np.diff(first)
@@ -158,7 +158,7 @@ def build(item_ids: list[int], texts: list[str | None], known: Statistics | None
     entry = term * (n_segments // BLOCK + 1) + segment // BLOCK
     opens = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
     return Index(
-        np.array(item_ids, np.int64),
+        list(item_ids),
         [sequences(q) for q, _ in both],
         [sequences(a) for _, a in both],
         np.repeat(np.arange(len(texts)), n_pieces),
@@ -232,24 +232,24 @@ def retrieved(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return distinct // len(index.item_ids), distinct % len(index.item_ids), best
 
 
-def matches(index: Index, column: pa.Array) -> list[tuple[int, int, float, float, float]]:
+def matches(index: Index, column: pa.Array) -> list[tuple[int, int | None, float, float, float]]:
     """(text, item id, score, question overlap, answer overlap) of every verified match in a slice."""
     h, first = words(column)
-    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    out: dict[tuple[int, int | None], tuple[float, float, float]] = {}
     grams: tuple[int, np.ndarray] = (-1, h[:0])
     for text, item, score in zip(*(x.tolist() for x in retrieved(index, h, first))):
         if grams[0] != text:
             grams = (text, sequences(h[first[text] : first[text + 1]]))
         q, a = (float(np.isin(x, grams[1]).mean()) if len(x) else 0.0 for x in (index.questions[item], index.answers[item]))
         if q >= OVERLAP and a >= OVERLAP:
-            key = (text, int(index.item_ids[item]))
+            key = (text, index.item_ids[item])
             out[key] = max(out.get(key, (0.0, 0.0, 0.0)), (score, q, a))
-    return [(*k, *v) for k, v in sorted(out.items())]
+    return [(*k, *v) for k, v in sorted(out.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
     """The index of each shard of (item_id, text)."""
-    known = items.select("item_id", "text").where("item_id is not null and text is not null")
+    known = items.select("item_id", "text").where("text is not null")
     shards = -(-known.count() // SHARD)
     over_all = statistics(known) if shards else None
     for k in range(shards):
