@@ -30,11 +30,11 @@ read, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import counted, mapped, stored
@@ -249,13 +249,33 @@ def removed(chosen: DataFrame) -> DataFrame:
     return mapped(chosen, run, "key long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def row_key(salt: int) -> Column:
+    return F.xxhash64("doc_id", "text", *([F.lit(salt)] if salt else []))
+
+
+def known_by_hash(docs: DataFrame, hashed: Callable[[int], Column] = row_key) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text, key), written (key, n, n_bytes, sha)). Rows share a key only where their texts are equal; these repeat each other whole.
+
+    64 bits are few for 10^10 rows, so keys under which different texts meet are found, and their rows get hashes with another salt until none is left.
+    """
+    keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", hashed(0))
+    salt = 0
+    while True:
+        sha = F.sha2("text", 256)
+        twins = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("n_bytes"), F.max(sha).alias("sha"), F.min(sha).alias("other"))
+        twins = stored(twins, "repeat-texts")
+        met = twins.where("sha <> other").select("key", F.lit(True).alias("met"))
+        if met.isEmpty():
+            return keyed, twins.drop("other")
+        salt += 1
+        keyed = keyed.join(met, "key", "left").select("doc_id", "text", F.when(F.col("met"), hashed(salt)).otherwise(F.col("key")).alias("key"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if width < 2 * (RADIUS + REACH):
         raise ValueError(f"width must be {2 * (RADIUS + REACH)} or more, so that windows can hold anchors")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
-    # equal rows share a key; they repeat each other whole
+    keyed, twins = known_by_hash(docs)
     found = stored(positions(keyed.select("key", "text"), width), "repeat-positions", ["kind"])
     chunks = found.where("kind = 0").select("key", "i", F.col("w1").alias("rank"))
     level0 = stored(chunks.join(counted(chunks, ["rank"], "repeat-ranks0").select("rank"), "rank", "left_semi").select("key", "i", "rank").distinct(), "repeat-level0")
@@ -268,8 +288,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         left = left.unionByName(level.select("key", "i", F.lit(k).alias("level")))
     lists = left.groupBy("key").agg(*(F.collect_list(F.when(F.col("level") == k, F.col("i"))).alias(f"i{k}") for k in range(4)))
 
-    twins = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("n_bytes"), F.max(F.sha2("text", 256)).alias("sha"))
-    twins = stored(twins, "repeat-texts")
     bare = found.where("kind = 1").select("key", (2 * F.col("p") + 1 - F.col("i")).alias("q"), "w1", "w2")
     some = lists.join(bare.select("key").distinct(), "key", "full").join(twins.where(f"n_bytes >= {width}").select("key"), "key")
     texts = stored(keyed.select("key", "text").join(stored(some, "repeat-lists"), "key"), "repeat-chosen")

@@ -150,6 +150,54 @@ def test_secrets_match_the_base_rule_and_confirm_structures(spark, docs, rows):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_encrypted_tokens_and_keys_over_lines_without_marks_are_secrets():
+    b64 = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+    head = b64(b'{"alg":"RSA-OAEP","enc":"A256GCM"}')
+    for parts in ([head, b64(b"\x81" * 40), b64(b"\x82" * 12), b64(b"\x83" * 30), b64(b"\x84" * 16)], [b64(b'{"alg":"dir","enc":"A128GCM"}'), "", b64(b"\x82" * 12), b64(b"\x83"), b64(b"\x84" * 16)]):
+        token = ".".join(parts)
+        assert secret_scan.spans_of(f"cookie.{token}, then") == [(7, 7 + len(token), "jwt")]
+        assert secret_scan.spans_of(".".join([b64(b'{"alg":"dir"}') + "abcdef", *parts[1:]])) == [] and secret_scan.spans_of(".".join(parts[:4])) == []
+    rsa = der(0x30, der(2, b"\0"), *[NUMBER] * 8)
+    whole = der(0x30, der(2, b"\0"), *[NUMBER] * 7, der(2, b"\x11" * 60))
+    for kind, raw in (("der", ED25519), ("der", rsa), ("der", whole), ("ssh", OPENSSH)):
+        text = base64.b64encode(raw).decode()
+        for width in (32, 48, 64, 76, len(text) // 2 + len(text) % 2):
+            if len(text) <= width or kind == "ssh" and (width < 48 or len(text) % width == 0):
+                continue
+            for end in ("\n", "\r\n", "\n    ", "\\n"):
+                key = end.join(text[k : k + width] for k in range(0, len(text), width))
+                for after in ("", "\n", "\n\nhello", "\nhello there", f"\n{'A' * width}"):
+                    if kind == "ssh" and len(text) % width == 0:
+                        continue
+                    got = [s for s in secret_scan.spans_of(f"key: {key}{after}") if s[2] in ("der", "ssh")]
+                    assert got == [(5, 5 + len(key), kind)], (kind, width, end, after)
+            assert not secret_scan.spans_of(f"key: {key[:-8]}\nhello")
+    public = base64.b64encode(der(0x30, NUMBER, NUMBER, NUMBER)).decode()
+    assert secret_scan.spans_of("\n".join(public[k : k + 64] for k in range(0, len(public), 64))) == []
+    blocks = f"-----BEGIN PUBLIC KEY-----\n{public}\n-----END PUBLIC KEY-----\n" * 3000
+    assert secret_scan.spans_of(blocks + base64.b64encode(ED25519).decode())[0][2] == "der"
+
+
+def test_rows_of_different_texts_get_keys_of_their_own(spark):
+    rows = [(1, "a" * 9), (1, "a" * 9), (2, "b"), (3, None), (4, "c"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed, twins = suffix_dedup.known_by_hash(docs, lambda salt: (suffix_dedup.row_key(0) * 0 if salt == 0 else F.pmod(suffix_dedup.row_key(salt), F.lit(2)) if salt == 1 else suffix_dedup.row_key(salt)))
+    by_key = collections.defaultdict(set)
+    for r in keyed.collect():
+        by_key[r["key"]].add(r["text"])
+    assert all(len(texts) == 1 for texts in by_key.values()) and sum(r["n"] for r in twins.collect()) == len(rows)
+
+
+def test_items_without_an_id_are_searched_too(spark):
+    question = "which of the seven small rivers of the northern valley froze last winter before the old bridge fell? The answer is the river under the mill near the eastern gate."
+    docs = spark.createDataFrame([(1, f"some words before {question} and some after"), (2, "nothing of the kind")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, question), (7, question), (None, None)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect() if r["item_id"]) == [(1, 7)]
+    alone = items.where("item_id is null")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, alone).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, alone).collect()] == [2]
+
+
 def test_tokens_after_words_and_keys_with_escaped_lines_are_secrets():
     b64 = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
     body = f"{b64(b'{"sub": "1"}')}.abcDEF_123"
