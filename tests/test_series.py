@@ -261,3 +261,11 @@ def test_products_are_summed_in_stripes(spark, cells):
     for (variant, fold, i, j), xy in got.items():
         own = np.array([[1.0, *row] for k, row in enumerate(x) if ("os"[k % 2], k % 3) == (variant, fold)])
         assert i <= j and np.isclose(xy, own[:, i] @ own[:, j])
+
+
+def test_values_on_an_edge_of_a_normalised_bin_count_above_it(spark):
+    """The third value is the middle of its range, but once it is less a mean and over a deviation, a plain floor puts it below the middle."""
+    side = [np.array([[54.96], [61.46], [58.21], [58.54]])]
+    normalized = shape.normalized_columns(points(spark, side, side, ("a",)))
+    got = {r["variant"]: r["entropy"] for r in diversity.entropies(normalized, ["column"], 10, diversity.SLACK).collect()}
+    assert got == pytest.approx(dict.fromkeys("os", 1.5 * np.log(2)), abs=1e-6)
