@@ -269,3 +269,13 @@ def test_values_on_an_edge_of_a_normalised_bin_count_above_it(spark):
     normalized = shape.normalized_columns(points(spark, side, side, ("a",)))
     got = {r["variant"]: r["entropy"] for r in diversity.entropies(normalized, ["column"], 10, diversity.SLACK).collect()}
     assert got == pytest.approx(dict.fromkeys("os", 1.5 * np.log(2)), abs=1e-6)
+
+
+def test_column_measures_read_each_point_once_for_a_pass(spark):
+    """Distinct counts would copy every point for each of them, and sides without a shared series need no join of the points."""
+    rng = np.random.default_rng(4)
+    p = points(spark, [rng.normal(size=(9, 2)) for _ in range(3)], [rng.normal(size=(8, 2)) for _ in range(3)])
+    assert "Expand" not in diversity.column_diversity(p)._jdf.queryExecution().toString()
+    assert "Join" not in fidelity.pooled(p)._jdf.queryExecution().toString()
+    chain = shape.chained(p.where("column = 'a' and series = 0")).orderBy("t").collect()
+    assert [r["before"] for r in chain] == [None, *(r["value"] for r in chain[:-1])] and [r["first"] for r in chain] == [True] + [False] * 8 and [r["last"] for r in chain] == [False] * 8 + [True]
