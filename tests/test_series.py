@@ -279,3 +279,32 @@ def test_column_measures_read_each_point_once_for_a_pass(spark):
     assert "Join" not in fidelity.pooled(p)._jdf.queryExecution().toString()
     chain = shape.chained(p.where("column = 'a' and series = 0")).orderBy("t").collect()
     assert [r["before"] for r in chain] == [None, *(r["value"] for r in chain[:-1])] and [r["first"] for r in chain] == [True] + [False] * 8 and [r["last"] for r in chain] == [False] * 8 + [True]
+
+
+def test_pairs_of_a_block_are_summed_in_strips(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(23, 5))
+    x[3] = 1.0
+    with np.errstate(invalid="ignore"):
+        r = np.abs(np.corrcoef(x))
+    upper = r[np.triu_indices(len(x), 1)]
+    monkeypatch.setattr(nearest, "CELLS", 60)
+    total, n = nearest.pair_sums(x, x, True)
+    assert n == np.isfinite(upper).sum() == 22 * 21 / 2 and np.isclose(total, np.nansum(upper))
+    monkeypatch.setattr(nearest, "absolute_correlations", lambda a, b: np.zeros((len(a), len(b))) if len(a) <= 3 else pytest.fail("a strip has more cells than CELLS"))
+    assert nearest.pair_sums(x, x[:20], False)[1] == 23 * 20
+
+
+def test_number_of_blocks_does_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    rows = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(7).normal(size=(1200, 3)))], "series long, v array<double>")
+    assert nearest.Blocks(rows).ranges.num_rows <= 4 * nearest.PIVOTS < 1200 / 4
+
+
+def test_small_trees_are_written_by_many_tasks(spark, tmp_path):
+    """The part of a file's name is the number of its task; a gathered write has one."""
+    from seriatim.sources import tree
+
+    side = [np.array([[1.0], [2.0]]) for _ in range(12)]
+    tree.write_series(points(spark, side, side[:1], ("a",)).where("variant = 'o'"), f"file://{tmp_path}/tree")
+    files = [f.name for f in (tmp_path / "tree").glob("series=*/*.csv")]
+    assert len(files) == 12 and len({name.split("-")[1] for name in files}) > 3
