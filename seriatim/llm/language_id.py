@@ -1,7 +1,6 @@
 """Language ID by n-gram filters with a bit for each language.
 
-Fitting counts the n-grams of each language on a bounded sample of labelled documents (``FIT_DOCS`` at least, shared out evenly
-over languages with ``LEAST_DOCS`` for each at least, so that rare ones are learned too; chosen by a hash of doc_id). An n-gram enters a language's filter when its share of that language's n-grams is at least
+Fitting counts the n-grams of each language over all labelled documents of the learning fold, or with ``bound`` over a sample of about so many. An n-gram enters a language's filter when its share of that language's n-grams is at least
 ``MIN_SHARE`` and at least ``MIN_LIFT`` of its largest share in any language, so one language holds at most
 (orders / MIN_SHARE) n-grams and the broadcast filter is bounded whatever the input. The filter is bit-sliced: slot s
 holds a mask with one bit per language (several 64-bit words beyond 64 languages), and the AND of an n-gram's slots names all languages that hold it.
@@ -24,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +31,13 @@ from ._spark import hash_mod, mapped
 from ._text import COUNT_BYTES, mixed, slices, summed
 
 ORDERS = (1, 2, 3, 4)
-FIT_DOCS, LEAST_DOCS = 12_000, 100
 MIN_SHARE = 2e-5
 MIN_LIFT = 0.3
 #: A text is in no learned language where its share of known n-grams is below LEAST of this quantile of labelled texts.
 QUANTILE, LEAST = 0.001, 0.5
 HASHES = 3
+#: Rows of each language at least, where a sample is asked for.
+LEAST_DOCS = 100
 SALT = np.uint64(0x2545F4914F6CDD1D)
 _letters: list[np.ndarray] = []
 
@@ -131,9 +132,11 @@ def build(languages: list[str], members: list[np.ndarray]) -> Filters:
     return out
 
 
-def labelled(docs: DataFrame, bound: int) -> DataFrame:
+def labelled(docs: DataFrame, bound: int | None = None) -> DataFrame:
     """lang and text of the learning fold, or of about ``bound`` of its rows: an equal number of each language, or all it has; LEAST_DOCS for each at least."""
     pool = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_mod(F.col("doc_id"), 3) != 1))
+    if bound is None:
+        return pool.select("lang", "text")
     sizes = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     share, left, names = bound, bound, sorted(sizes, key=lambda x: sizes[x])
     for k, x in enumerate(names):  # what small languages leave goes to larger ones
@@ -149,9 +152,8 @@ def labelled(docs: DataFrame, bound: int) -> DataFrame:
     return pool.where(chosen).select("lang", "text")
 
 
-def fit(docs: DataFrame, bound: int = FIT_DOCS) -> Filters | None:
-    """Learns from text and lang where lang is not null and crc32(doc_id as text) mod 3 is not 1."""
-    sample = labelled(docs, bound)
+def fit(docs: DataFrame, bound: int | None = None) -> Filters | None:
+    """Learns from text and lang where lang is not null and crc32(doc_id as text) mod 3 is not 1: all rows, or about ``bound``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=COUNT_BYTES):
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, bound: int = FIT_DOCS) -> Filters | None:
                     h, n = np.unique(grams(points, first, order)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), order, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "ord", "gram", "n"])
 
-    counts = mapped(sample, count, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
+    counts = mapped(labelled(docs, bound), count, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(totals), ["lang", "ord"]).select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
     best = share.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("of"))
@@ -205,7 +207,34 @@ def known_share(filters: Filters, texts: list[str | None]) -> tuple[np.ndarray,
     return hits.max(axis=1) / np.maximum(total, 1), n_letters
 
 
-def least_share(docs: DataFrame, filters: Filters | None, bound: int = FIT_DOCS) -> float:
+#: Ranges that a step of a search for a rank counts.
+RANGES = 4096
+
+
+def lower_quantile(shares: DataFrame, q: float) -> float | None:
+    """The value of the column share (0 to 1) with floor(q * (n - 1)) of all n before it; None without any.
+
+    Each step counts the rows of RANGES ranges of equal width and goes on in the one that holds the rank, until that has one value.
+    """
+    low, high, before = 0.0, 1.0, 0
+    inside, rank = shares, None
+    while True:
+        place = F.floor((F.col("share") - low) * (RANGES / (high - low)))
+        counts = inside.groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("share").alias("low"), F.max("share").alias("high")).collect()
+        if not counts:
+            return None
+        rank = int(np.floor(q * (sum(r["n"] for r in counts) - 1))) if rank is None else rank
+        for r in sorted(counts, key=lambda r: r["at"]):
+            if before + r["n"] > rank:
+                break
+            before += r["n"]
+        low, high = r["low"], r["high"]
+        if low == high:
+            return low
+        inside = shares.where((F.col("share") >= low) & (F.col("share") <= high))
+
+
+def least_share(docs: DataFrame, filters: Filters | None) -> float:
     """Half (``LEAST``) of the share of known n-grams that all but one in a thousand (``QUANTILE``) texts of the learning fold reach; 0 without any."""
     if filters is None:
         return 0.0
@@ -216,8 +245,10 @@ def least_share(docs: DataFrame, filters: Filters | None, bound: int = FIT_DOCS)
             share, n_letters = known_share(model.value, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(share[n_letters > 0])], names=["share"])
 
-    shares = [r["share"] for r in mapped(labelled(docs, bound), run, "share double").collect()]  # about bound numbers
-    return LEAST * float(np.quantile(shares, QUANTILE, method="lower")) if shares else 0.0
+    shares = mapped(labelled(docs), run, "share double").persist(StorageLevel.DISK_ONLY)  # a number for each text
+    least = lower_quantile(shares, QUANTILE)
+    shares.unpersist()
+    return LEAST * (least or 0.0)
 
 
 def keep_known(docs: DataFrame, filters: Filters | None, least: float = 0.0) -> DataFrame:

@@ -601,3 +601,17 @@ def test_pipeline_keeps_what_plain_rules_keep(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids"]) for r in ids) == sorted((i, len(x), x) for i, x in ((i, model.encode(t)) for i, t in want[3]))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_language_threshold_is_a_quantile_of_every_text(spark):
+    """Each rank of whole, equal and close shares is found; the fold is read as a whole, however many rows it has."""
+    from seriatim.llm import language_id
+
+    rng = np.random.default_rng(3)
+    shares = np.concatenate([rng.random(3000), np.full(500, 0.25), 0.5 + 1e-13 * np.arange(40), [0.0, 1.0, 1.0]])
+    df = spark.createDataFrame([(float(x),) for x in shares], "share double").cache()
+    for q in (0.0, 0.001, 0.2501, 0.3, 0.6, 0.605, 1.0):
+        assert language_id.lower_quantile(df, q) == np.quantile(shares, q, method="lower")
+    assert language_id.lower_quantile(df.limit(0), 0.5) is None
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("words").alias("text"), F.lit("en").alias("lang"))
+    assert language_id.labelled(many).count() > 12_500
