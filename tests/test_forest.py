@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,14 @@ def test_column_privacy_of_equal_shifted_and_missing_columns(spark):
     assert same["dcr_mean"] == 0
     few = models.column_privacy(table(spark, o[:4, :, :1], s[:4, :, :1])).first()
     assert few["mir_accuracy"] == 0.5
+
+
+def test_parts_are_gathered_over_batches(monkeypatch):
+    """Rows of many keys in small batches leave a part for each key, not for each batch; a part has ROWS rows at most."""
+    monkeypatch.setattr(forest, "ROWS", 50)
+    names = ["key", "id", "label", "bins"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a", "b"] * 5), pa.array(range(10 * i, 10 * i + 10)), pa.array([0, 1] * 5, pa.int32()), pa.array([bytes([i, j]) for j in range(10)])], names=names) for i in range(24)]
+    got = list(forest.parts(iter(batches)))
+    assert sorted((key, len(ids)) for key, ids, _, _ in got) == sorted([("a", 50), ("a", 50), ("a", 20), ("b", 50), ("b", 50), ("b", 20)])
+    rows = {int(i): (key, int(label), tuple(x)) for key, ids, labels, bins in got for i, label, x in zip(ids, labels, bins)}
+    assert rows == {10 * i + j: ("ab"[j % 2], j % 2, (i, j)) for i in range(24) for j in range(10)}

@@ -1,5 +1,7 @@
 """Exact percentiles, numbering and pruned nearest rows against numpy."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,31 @@ def test_fewer_others_than_wanted_and_unknown_cells(spark):
     assert nearest.nearest(x, x.limit(0)).count() == 0 and nearest.nearest(x.limit(0), x).count() == 0
 
 
+def brute(x, y, k):
+    return np.sort(np.sqrt(((x[:, None] - y) ** 2).sum(axis=2)), axis=1)[:, :k]
+
+
+def test_unrelated_rows_are_compared_without_copies_for_every_block(spark, monkeypatch):
+    """Where nothing can be excluded each row would be sent to all of over 20 blocks."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(150, 30)), rng.normal(size=(200, 30))
+    copies, searched = [], nearest.searched
+    monkeypatch.setattr(nearest, "searched", lambda cells, *rest: copies.append(cells.count()) or searched(cells, *rest))
+    got = nearest.nearest(frame(spark, x), frame(spark, y), 3, 8).collect()
+    assert len(got) == 450 and all(abs(r["distance"] - brute(x, y, 3)[r["series"], r["rank"] - 1]) < 1e-9 for r in got)
+    assert sum(copies) <= 4 * len(x)
+
+
+@pytest.mark.parametrize("size", [8, 4096])
+def test_rows_of_several_keys_meet_their_own_in_one_search(spark, size):
+    rng = np.random.default_rng(5)
+    sides = {"a": (clustered(60, 12, 2), clustered(90, 12, 3)), "b": (rng.normal(size=(50, 9)), rng.normal(size=(70, 9))), "lone": (rng.normal(size=(5, 2)), np.zeros((0, 2)))}
+    x, y = (reduce(lambda a, b: a.unionByName(b), [frame(spark, side[i]).withColumn("key", F.lit(key)) for key, side in sides.items() if len(side[i])]) for i in (0, 1))
+    got = nearest.nearest(x, y, 2, size).collect()
+    want = {key: brute(*side, 2) for key, side in sides.items() if len(side[1])}
+    assert len(got) == 2 * (60 + 50) and all(abs(r["distance"] - want[r["key"]][r["series"], r["rank"] - 1]) < 1e-9 for r in got)
+
+
 def cells(spark, n):
     """How many (row, block) cells are searched, and how many there are."""
     x, blocks = frame(spark, clustered(n, 16, 5)), nearest.Blocks(frame(spark, clustered(n, 16, 6)), 25)
