@@ -7,6 +7,8 @@ import hashlib
 import json
 import math
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriatim.llm import decontaminate, exact_topk, language_id, minhash_dedup, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
-from seriatim.llm._spark import bounded_rows
+from seriatim.llm._spark import CLEANUP_CONF, bounded_rows, shared_dir
 from seriatim.llm.queries import piece_model
 
 SF = "/root/testdata/sf0.001"
@@ -422,6 +424,23 @@ def test_repeats_are_those_of_all_windows(spark, docs, rows):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_leave_no_tables_or_shuffle_files_behind(spark, docs):
+    docs.count()
+    before = spark.conf.get(CLEANUP_CONF)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x.rsplit("/", 1)[1] for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    tables = lambda: {f.parent for f in Path(shared_dir(spark).removeprefix("file:")).rglob("repeat-*/**/*.parquet")}
+    had, made = tables(), shuffles()
+    got = suffix_dedup.remove_repeats(docs)
+    assert {d.name.rsplit("-", 1)[0] for d in tables() - had} == {"repeat-texts", "repeat-removed"}  # what the result reads
+    for _ in range(40):  # files are deleted beside the query
+        if shuffles() <= made:
+            break
+        time.sleep(0.25)
+    assert shuffles() <= made and spark.conf.get(CLEANUP_CONF) == before
+    assert sorted(map(str, got.collect())) == sorted(map(str, got.collect()))  # reads nothing that is gone
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(300)] + [(1000 + i, [0.5] * 8) for i in range(60)]
