@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seriatim.llm import decontaminate, exact_topk, language_id, minhash_dedup, quality_classifier, secret_scan, sentence_piece, suffix_dedup, toxicity, warc
 from seriatim.llm._spark import CLEANUP_CONF, bounded_rows, shared_dir
-from seriatim.llm.queries import piece_model
+from seriatim.llm.queries import op9_suffix, piece_model
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -424,6 +424,29 @@ def test_repeats_are_those_of_all_windows(spark, docs, rows):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_give_kept_texts_and_spans(spark, tmp_path):
+    shared = "".join(chr(97 + int(x)) for x in np.random.default_rng(6).integers(0, 26, 500))
+    short = shared[::-1][:390]  # over 50 words would do, but not under 400 bytes
+    # the letters before and after share a byte, so the repeat begins and ends within a letter
+    rows = [(1, f"x\u00e9{shared}\u00e9 end"), (2, f"y\u00a9{shared}\u00e8{short}"), (3, short), (4, None), (5, f"{shared[:400]}-{shared[:400]}"), (6, "same " * 90), (6, "same " * 90), (7, "caf\u00e9")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = collections.defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t or "")
+    kept = {r["doc_id"]: r for r in suffix_dedup.kept_texts(docs).collect()}
+    assert [tuple(map(tuple, kept[i]["spans"])) for i in range(1, 8)] == [((2, 504),), ((2, 504),), (), (), ((0, 400), (401, 801)), ((0, 450),), ()]
+    assert [kept[i]["kept_text"] for i in range(1, 8)] == ["x end", "y" + short, short, "", "-", "", "caf\u00e9"]
+    assert kept[1]["kept"] == b"x\xc3\xa9 end" and kept[2]["kept"] == b"y\xc2\xa8" + short.encode() and kept[7]["kept"] == "caf\u00e9".encode()
+    got = op9_suffix(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        spans = [tuple(map(int, x.split(":"))) for x in r["removed_spans"].split(",") if x]
+        assert r["kept_text"] == kept[r["doc_id"]]["kept_text"] and spans == list(map(tuple, kept[r["doc_id"]]["spans"]))
+        assert (r["n_removed"], r["n_spans"], r["repeated"]) == (sum(e - s for s, e in spans), len(spans), bool(spans))
+        assert r["kept_sha256"] == hashlib.sha256(kept[r["doc_id"]]["kept"]).hexdigest() and {r["n_bytes"]} == {len(t.encode()) for t in texts[r["doc_id"]]}
+
+
 def test_repeats_leave_no_tables_or_shuffle_files_behind(spark, docs):
     docs.count()
     before = spark.conf.get(CLEANUP_CONF)
