@@ -98,7 +98,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     mixed = F.xxhash64("row")
     candidates = dealt.groupBy("d", F.pmod(mixed, F.lit(groups)).cast("int").alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("x"))
     queries = dealt.where("is_query").groupBy("d", F.pmod(mixed, F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    grid = candidates.join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["d", "g"])
+    # the optimizer takes the exploded queries for as small as they were before, and would broadcast a copy for each group through the driver
+    grid = candidates.join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).hint("merge"), ["d", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

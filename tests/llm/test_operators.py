@@ -464,6 +464,16 @@ def test_repeats_leave_no_tables_or_shuffle_files_behind(spark, docs):
     assert sorted(map(str, got.collect())) == sorted(map(str, got.collect()))  # reads nothing that is gone
 
 
+def test_queries_beside_every_group_are_not_broadcast(spark, monkeypatch):
+    """Tables are small here, so any join that the optimizer is left alone with is a broadcast."""
+    monkeypatch.setattr(exact_topk, "GROUP", 20)
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
+    got = exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+    assert got.count() == 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(300)] + [(1000 + i, [0.5] * 8) for i in range(60)]
