@@ -243,7 +243,8 @@ def found(anchors: DataFrame, own: DataFrame, groups: DataFrame, same: bool, k:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    local = mapped(groups.select(*KEY, "x").join(cells, KEY).select("x", "a"), run, ", ".join(f"{c} long" for c in names))
+    # never broadcast: anchors beside every group they reach are taken for as few as there are anchors, and would all go through the driver
+    local = mapped(groups.select(*KEY, "x").join(cells.hint("merge"), KEY).select("x", "a"), run, ", ".join(f"{c} long" for c in names))
     order = Window.partitionBy("row", "window").orderBy(F.desc("score"), "other_id", "other_row")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

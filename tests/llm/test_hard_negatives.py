@@ -86,3 +86,14 @@ def test_large_components_and_empty_tables(spark):
     assert (100, 4, 1, 5) in {x[:4] for x in got}
     assert hard_negatives.mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
     assert hard_negatives.mine(spark.createDataFrame(rows, SCHEMA), F.lit(False)).count() == 0
+
+
+def test_anchors_beside_every_group_are_not_broadcast(spark, rows):
+    """Tables are small here, so any join that the optimizer is left alone with is a broadcast."""
+    table = spark.createDataFrame(rows, SCHEMA)
+    groups = hard_negatives.grouped(hard_negatives.prepared(table, F.col("vec_id") % 10 == 0, "vec_id", "label", "embedding"))
+    own = hard_negatives.own_search(groups, 5)
+    anchors = own.where("kind = 1").select("d", "row", "id", "label", "q", F.array("bound").alias("least"), F.array(F.lit(hard_negatives.MOST)).alias("most"))
+    got = hard_negatives.found(anchors, own, groups, True, 5)
+    assert got.count() > 0 and "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
