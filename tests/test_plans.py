@@ -197,6 +197,33 @@ def test_series_are_written_as_they_are_read(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == {(s, t, names.get(c, c), v) for _, s, _, t, c, _, v in rows}
 
 
+def test_files_of_a_tree_are_no_business_of_the_driver(spark, tmp_path):
+    """Spark's sources keep every file's path and state on the driver, and look into a folder by a task each."""
+    points = spark.range(300).selectExpr("'o' as variant", "id as series", "0L as ord", "0 as t", "'a' as column", "0 as col_ord", "double(id) as value")
+    tree.write_series(points, f"{tmp_path}/conditional/original")
+    assert len(tree.folders(str(tmp_path))) <= 3 + tree.tasks(spark)  # not one for each series
+    back = tree.read_series(spark, f"{tmp_path}/conditional/original")
+    assert {(r["series"], r["value"]) for r in back.collect()} == {(k, float(k)) for k in range(300)}
+    found = tree.variants(spark, f"{tmp_path}/conditional")
+    assert [tuple(r) for r in found.collect()] == [("original", 300)]
+    assert not any(f.inputFiles() for f in (back, found, tree.data_summary(spark, str(tmp_path))))
+    with pytest.raises(FileExistsError):
+        tree.write_series(points, f"{tmp_path}/conditional/original")
+
+
+def test_other_file_systems_are_left_to_spark(spark, tmp_path, monkeypatch):
+    rows = [("o", name, 0, t, "p,q", 0, float(t)) for name in ("a/b c", "x=1%") for t in range(3)]
+    points = spark.createDataFrame(rows, "variant string, series string, ord long, t int, column string, col_ord int, value double")
+    tree.write_series(points, f"{tmp_path}/conditional/original/ts")
+    monkeypatch.setattr(tree, "local", lambda spark, path: None)
+    tree.write_series(points, f"{tmp_path}/conditional/tsv 2/ts")
+    for folder in ("original", "tsv 2"):
+        back = tree.read_series(spark, f"{tmp_path}/conditional/{folder}", stems=True).select("series", "t", "column", "value")
+        assert {tuple(r) for r in back.collect()} == {(s, t, c, v) for _, s, _, t, c, _, v in rows}
+    assert [tuple(r) for r in tree.variants(spark, f"{tmp_path}/conditional").collect()] == [("original", 2), ("tsv 2", 2)]
+    assert {tuple(r) for r in tree.data_summary(spark, str(tmp_path)).collect()} == {("conditional", "original", 2, False), ("conditional", "tsv 2", 2, False)}
+
+
 def test_newest_results_come_last(spark, tmp_path):
     for name in ("results_20240101", "results_20240301", "results_20240201"):
         (tmp_path / name).mkdir()
