@@ -113,6 +113,24 @@ def test_correlations_skip_unknown_and_constant_cells():
             assert np.isnan(got[i, j]) if np.ptp(a) == 0 or np.ptp(b) == 0 else np.isclose(got[i, j], abs(np.corrcoef(a, b)[0, 1]))
 
 
+def test_autocorrelations_of_many_series_at_once(spark):
+    """A pass over arrays, without a window of lags and a correlation of columns for each."""
+    rng = np.random.default_rng(5)
+    values = {(k, c): [None if rng.random() < 0.1 else float(x) for x in rng.normal(size=int(rng.integers(11, 40))).cumsum()] for k in range(40) for c in ("a", "b")}
+    values |= {(40, "a"): [0.1] * 30, (41, "a"): [0.1] * 29 + [0.2], (42, "a"): [None] * 30, (43, "a"): [1.0] * 10}
+    p = spark.createDataFrame([("o", k, k, t, c, 0, x) for (k, c), xs in values.items() for t, x in enumerate(xs)], "variant string, series long, ord int, t int, column string, col_ord int, value double")
+    frame = fidelity.autocorrelations(p, 10)
+    assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = {(r["series"], r["column"], r["lag"]): r["acf"] for r in frame.collect()}
+    assert len(got) == 10 * len(values)
+    for (k, c), xs in values.items():
+        for lag in range(1, 11):
+            both = [(x, y) for x, y in zip(xs[lag:], xs[:-lag]) if x is not None and y is not None]
+            x, y = np.array(both).T if both and len(xs) > 10 else (np.zeros(1), np.zeros(1))
+            wanted = 0.0 if np.ptp(x) == 0 or np.ptp(y) == 0 else np.corrcoef(x, y)[0, 1]
+            assert np.isclose(got[k, c, lag], wanted, atol=1e-9), (k, c, lag)
+
+
 def test_autocorrelation_of_constants_and_short_series_is_zero(spark):
     p = points(spark, [np.ones((20, 1)), np.arange(5).reshape(-1, 1)], [np.arange(20).reshape(-1, 1)], names=("a",))
     got = fidelity.autocorrelations(p).groupBy("variant", "ord").agg(F.min("acf").alias("lo"), F.max("acf").alias("hi")).collect()
