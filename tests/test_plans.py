@@ -121,6 +121,18 @@ def test_whole_evaluation_of_two_sides_and_a_variant_that_raises(spark, monkeypa
     assert scoring.overall_scores(evaluate.scores(metrics)).count() == 2
 
 
+def test_matrices_are_computed_once_for_all_measures(spark, monkeypatch):
+    made, write = [], shape.written
+    monkeypatch.setattr(shape, "written", lambda df, name: made.append(name) or write(df, name))
+    rng = np.random.default_rng(3)
+    p = sides(spark, series(rng, 6, 8), series(rng, 6, 8))
+    alone = {r["metric"]: r["value"] for r in evaluate.tall(evaluate.fidelity.all_fidelity(p), "fidelity").collect()}
+    made.clear()
+    rows = evaluate.evaluate(p, Config(), learned=False).where("column is null and dimension = 'fidelity'").collect()
+    assert sorted(made) == ["overlap", "padded"] and not shape.SHARED
+    assert {r["metric"]: round(r["value"], 9) for r in rows} == {name: round(x, 9) for name, x in alone.items()}
+
+
 def test_sides_without_a_common_column_have_the_whole_matrix_form(spark):
     rng = np.random.default_rng(2)
     p = sides(spark, series(rng, 6, 8, columns=("a",)), series(rng, 5, 8, columns=("b",)))
